@@ -5,20 +5,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkspan.llm.exact_dedup import mark_duplicates
+from inkspan.llm.packing import pack_documents
+from inkspan.llm.sharding import TABLE_SIZE, assign_shards, lookup_table
 from inkspan.llm.simhash import near_duplicates
 
+SHARDS = [f"shard-{i:02d}" for i in range(64)]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ranks_path() -> str:
+    """The public 50k byte-level vocabulary; its ids are those of ``byte_bpe_50k.json``."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    return assign_shards(docs, "doc_id", SHARDS).select("doc_id", "slot", "shard_id", "shard", "n_bytes")
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = mark_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(_table(spark, sf_dir, "documents"), ranks_path(), capacity=1024)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op6_simhash": op6_simhash}
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_packing": op4_packing,
+    "op6_simhash": op6_simhash,
+}
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id,
+       min(doc_id) OVER (PARTITION BY norm) AS keep_id,
+       count(*) OVER (PARTITION BY norm) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept,
+       sha256(norm) AS text_sha256
+FROM d
+"""
+
+
+def op1_sql() -> str:
+    """Placement in SQL; the slots are written out as one character each."""
+    slots = "".join(chr(48 + i) for i in lookup_table(SHARDS, TABLE_SIZE))
+    return f"""
+WITH d AS (
+  SELECT doc_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT % {TABLE_SIZE} AS slot,
+         CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes
+  FROM documents
+), t AS (SELECT i AS slot, ascii(s[i + 1]) - 48 AS shard_id FROM (SELECT '{slots}' AS s), range({TABLE_SIZE}) r(i))
+SELECT doc_id, d.slot, CAST(shard_id AS INTEGER) AS shard_id, 'shard-' || lpad(CAST(shard_id AS VARCHAR), 2, '0') AS shard, n_bytes
+FROM d JOIN t USING (slot)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_sharding": op1_sql(), "op3_exact_dedup": OP3_SQL}
