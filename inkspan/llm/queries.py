@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkspan.llm import langid
+from inkspan.llm.decontaminate import find_contamination
 from inkspan.llm.exact_dedup import mark_duplicates
 from inkspan.llm.packing import pack_documents
 from inkspan.llm.sharding import TABLE_SIZE, assign_shards, lookup_table
@@ -29,6 +31,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(docs, "doc_id", SHARDS).select("doc_id", "slot", "shard_id", "shard", "n_bytes")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = mark_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -39,6 +45,22 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def remainder(column: str, modulus: int) -> Column:
+    """CRC-32 of a number's decimal text, modulo ``modulus``."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def language_models(docs: DataFrame) -> langid.Models | None:
+    """Fitted on the documents that are not held out."""
+    return langid.train(docs.filter(F.col("lang").isNotNull() & (remainder("doc_id", 4) != 2)))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), language_models(docs))
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -46,8 +68,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_decontamination": op2_decontamination,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
+    "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
 }
 
