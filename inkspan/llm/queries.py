@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm import langid
+from inkspan.llm import langid, quality, url_filter
+from inkspan.llm.chat import format_chat
 from inkspan.llm.decontaminate import find_contamination
 from inkspan.llm.exact_dedup import mark_duplicates
+from inkspan.llm.html_extract import extract_text
 from inkspan.llm.packing import pack_documents
 from inkspan.llm.sharding import TABLE_SIZE, assign_shards, lookup_table
 from inkspan.llm.simhash import near_duplicates
@@ -66,6 +68,30 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = url_filter.train(url_filter.seed_labels(spark))
+    judged = url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, trees)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, _table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0))
+    scored = quality.score(docs, model, threshold=0.3)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chat(_table(spark, sf_dir, "conversations")).select("conv_id", "seq", "turn", "kind", "role", "json")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -73,6 +99,10 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_url_filter": op8_url_filter,
+    "op9_quality": op9_quality,
+    "op10_chat_format": op10_chat_format,
 }
 
 OP3_SQL = r"""
@@ -100,5 +130,13 @@ FROM d JOIN t USING (slot)
 """
 
 
+OP10_SQL = """
+WITH m AS (SELECT conv_id, turn, role, to_json({'content': text, 'role': role}) AS json FROM conversations)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, CAST(json AS VARCHAR)) - 1 AS seq, turn,
+       'message' AS kind, role, CAST(json AS VARCHAR) AS json
+FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": op1_sql(), "op3_exact_dedup": OP3_SQL}
+    return {"op1_sharding": op1_sql(), "op3_exact_dedup": OP3_SQL, "op10_chat_format": OP10_SQL}

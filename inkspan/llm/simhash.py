@@ -139,3 +139,13 @@ def near_duplicates(
         "fingerprint", F.coalesce("component", "rep").alias("component_id")
     )
     return prints.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its near-duplicate class, with the columns of ``docs``.
+
+    Ids should be unique; rows that share one stay or go together. Rows without an id stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, **parameters)
+    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
