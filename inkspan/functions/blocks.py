@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import any_prefix, count, is_all_upper, strip
+from inkspan.functions.text import count, is_all_upper, strip
 
 # Symbol sets and keyword lists of the predicates below.
 SYMBOLS = "∫∑∏√∂∇±×÷≤≥≠≈∞∈∉⊂⊃∪∩∧∨¬∀∃αβγδεζηθικλμνξοπρστυφχψω"
@@ -44,7 +44,7 @@ def is_unprintable(c: Column) -> Column:
 
 
 def is_formula_parsed(c: Column) -> Column:
-    operators = count(c, r"[-+*/=<>^_~()\[\]{}]") + count(c, f"[{SYMBOLS}]")
+    operators = count_chars(c, "-+*/=<>^_~()[]{}" + SYMBOLS)
     ratio = F.coalesce(F.try_divide(operators, F.length(c)) > 0.3, F.lit(False))
     equation = c.contains("=") & c.rlike(r"[(+-]") & (word_count(c) <= 5) & (F.octet_length(c) < 100)
     indexed = (count(c, "[_^]") > 2) & (F.octet_length(c) < 100)
@@ -52,62 +52,65 @@ def is_formula_parsed(c: Column) -> Column:
 
 
 def is_formula_glyph(c: Column) -> Column:
-    symbols = count(c, rf"[-+*/=<>^_{SYMBOLS}{SCRIPTS}]")
+    symbols = count_chars(c, "-+*/=<>^_" + SYMBOLS + SCRIPTS)
     ratio = F.coalesce(F.try_divide(symbols, F.length(c)) > 0.25, F.lit(False))
     function = c.contains("=") & c.rlike("[()]") & (F.octet_length(c) < 50) & (count(c, "[A-Za-z]") < 10) & (symbols > 2)
-    return ratio | c.rlike(BIG) | c.rlike(f"[{SCRIPTS}]") | function
+    return ratio | c.rlike(BIG) | c.rlike("[²³¹⁰⁴-⁹₀-₉]") | function
 
 
 def is_formula_bytes(c: Column) -> Column:
-    symbols = count(c, rf"[-+*/=<>^_{SYMBOLS}]")
+    symbols = count_chars(c, "-+*/=<>^_" + SYMBOLS)
     return F.coalesce(F.try_divide(symbols, F.octet_length(c)) > 0.25, F.lit(False)) | c.rlike(BIG)
 
 
+def count_chars(c: Column, chars: str) -> Column:
+    """Characters of a text that are in a set; faster than a pattern with a long class."""
+    return (F.length(c) - F.length(F.translate(c, chars, ""))).cast("long")
+
+
 def word_count(c: Column) -> Column:
     return count(c, r"(?U)\S+")
 
 
 def is_caption(c: Column) -> Column:
-    return any_prefix(F.lower(c), *CAPTIONS)
+    return F.lower(c).rlike("^(?:" + "|".join(x.replace(".", r"\.") for x in CAPTIONS) + ")")
 
 
-def is_list_item(c: Column) -> Column:
-    """Starts with a bullet, or with a letter or digit and ``)`` or ``.``, or ``(x)``."""
-    t = strip(c)
+def is_list_item(t: Column) -> Column:
+    """Stripped text that starts with a bullet, or with a letter or digit and ``)`` or ``.``, or ``(x)``."""
     bullet = t.rlike("^[•◦▪▫●○■□*–—-]")
     marked = t.rlike(r"(?s)^[0-9a-z][).].") | (t.rlike(r"(?s)^\(.(\)|.\))") & (F.octet_length(t) >= 3))
     return (F.octet_length(t) >= 2) & (bullet | marked)
 
 
-def is_numbered_heading(c: Column) -> Column:
-    """Starts with a heading word, or with dotted or bracketed numbering and under 80 bytes of title."""
-    t = strip(c)
+def is_numbered_heading(t: Column) -> Column:
+    """Stripped text that starts with a heading word, or with dotted or bracketed numbering and under 80 bytes of title."""
     number = F.regexp_extract(t, r"^[0-9A-Z][0-9.A-Z]{0,14}", 0)
     after = F.substr(t, F.length(number) + 1)
     dotted = number.contains(".") & after.rlike("^[ \t]") & (F.octet_length(strip(after)) < 80)
-    tail = F.substr(after, F.lit(2))
-    closed = ~number.contains(".") & after.rlike(r"^[.)][ \t]") & (F.octet_length(strip(tail)) < 80)
-    return any_prefix(F.lower(t), *PARSED_HEADINGS) | ((number != "") & (F.octet_length(t) >= 2) & (dotted | closed))
+    closed = ~number.contains(".") & after.rlike(r"^[.)][ \t]") & (F.octet_length(strip(F.substr(after, F.lit(2)))) < 80)
+    worded = F.lower(t).rlike("^(?:" + "|".join(PARSED_HEADINGS) + ")")
+    return worded | (t.rlike("^[0-9A-Z].") & (dotted | closed))
 
 
-def is_heading_glyph(c: Column, size: Column, bold: Column) -> Column:
-    """A heading word at the start or after a space, numbering before a short title, or bold, large and short."""
-    low = F.lower(c)
-    worded = low.rlike(f"^(?:{GLYPH_HEADINGS})") | low.rlike(f" (?:{GLYPH_HEADINGS})")
-    numbered = F.lit(False)
-    for at in range(1, 10):
-        tail = strip(F.substr(c, F.lit(at + 2)))
-        marked = c.rlike(rf"(?s)^[0-9A-Z].{{{at - 1}}}[.)][ \t]")
-        numbered = numbered | (marked & (F.octet_length(tail) < 80) & ~tail.endswith("."))
-    return worded | numbered | (bold & (F.octet_length(c) < 100) & (size > 12))
-
-
-def block_type_parsed(c: Column, size: Column, bold: Column) -> Column:
-    """formula, heading, caption, footnote, list_item or paragraph, in this order."""
-    t = strip(c)
+def is_heading_glyph(t: Column, size: Column, bold: Column) -> Column:
+    """A heading word at the start or after a space, numbering before a short title, or bold, large and short.
+
+    Of several marks among the first ten characters the last leaves the shortest
+    title, and all leave the same end, so the last one decides.
+    """
+    worded = F.lower(t).rlike(f"(?:^| )(?:{GLYPH_HEADINGS})")
+    mark = r"(?s)^[0-9A-Z].{0,8}[.)](?=[ \t])"
+    tail = strip(F.substr(t, F.length(F.regexp_extract(t, mark, 0)) + 1))
+    numbered = t.rlike(mark) & (F.octet_length(tail) < 80) & ~tail.endswith(".")
+    return worded | (bold & (F.octet_length(t) < 100) & (size > 12)) | numbered
+
+
+def block_type_parsed(t: Column, size: Column, bold: Column) -> Column:
+    """formula, heading, caption, footnote, list_item or paragraph, in this order, of a stripped text."""
     bytes_ = F.octet_length(t)
     short, large = bytes_ < 100, size > 12
-    heading = is_numbered_heading(t) | (bold & short & (large | (is_all_upper(t) & (bytes_ > 2)))) | (large & short & ~t.contains("."))
+    heading = (bold & short & (large | (is_all_upper(t) & (bytes_ > 2)))) | (large & short & ~t.contains(".")) | is_numbered_heading(t)
     footnote = t.rlike("^[0-9]") & (bytes_ < 200) & t.contains(".") & ~t.endswith(".")
     return (
         F.when(t == "", "paragraph")
@@ -120,9 +123,8 @@ def block_type_parsed(c: Column, size: Column, bold: Column) -> Column:
     )
 
 
-def block_type_glyph(c: Column, size: Column, bold: Column) -> Column:
-    """formula, caption, heading or paragraph, in this order."""
-    t = strip(c)
+def block_type_glyph(t: Column, size: Column, bold: Column) -> Column:
+    """formula, caption, heading or paragraph, in this order, of a stripped text."""
     return (
         F.when(t == "", "paragraph")
         .when(is_formula_glyph(t), "formula")
@@ -139,9 +141,8 @@ def is_line_numbers(c: Column) -> Column:
     return (F.size(lines) >= 3) & (digits / F.size(lines) > 0.7)
 
 
-def should_translate(c: Column) -> Column:
-    """Three bytes or more, neither line numbers nor formula, and 0.3 of its bytes ASCII letters."""
-    t = strip(c)
+def should_translate(t: Column) -> Column:
+    """Stripped text of three bytes or more, neither line numbers nor formula, and 0.3 of its bytes ASCII letters."""
     letters = F.coalesce(F.try_divide(count(t, "[A-Za-z]"), F.octet_length(t)), F.lit(0.0))
     return (F.octet_length(t) >= 3) & ~is_line_numbers(t) & ~is_formula_bytes(t) & (letters >= 0.3)
 

@@ -140,12 +140,12 @@ SELECT doc_id, pos,
 FROM (SELECT *, lower(text) AS low, {BT} AS t FROM blocks)
 """)
 def block_predicates(t):
-    c = F.col("text")
-    return t.blocks.select(
+    c, own = F.col("text"), F.col("t")
+    return t.blocks.withColumn("t", text.strip(c)).select(
         "doc_id", "pos", blocks.is_postscript(c).alias("postscript"), blocks.is_postscript_short(c).alias("postscript_short"),
         blocks.is_unprintable(c).alias("unprintable"), blocks.is_formula_parsed(c).alias("formula_parsed"), blocks.is_formula_glyph(c).alias("formula_glyph"),
-        blocks.is_formula_bytes(c).alias("formula_bytes"), blocks.is_caption(c).alias("caption"), blocks.is_list_item(c).alias("list_item"),
-        blocks.is_line_numbers(c).alias("line_numbers"), blocks.should_translate(c).alias("translate_block"),
+        blocks.is_formula_bytes(c).alias("formula_bytes"), blocks.is_caption(c).alias("caption"), blocks.is_list_item(own).alias("list_item"),
+        blocks.is_line_numbers(c).alias("line_numbers"), blocks.should_translate(own).alias("translate_block"),
         blocks.is_translatable_block(c, F.lit("paragraph"), F.col("x"), F.col("y"), F.col("width")).alias("translatable"),
     )
 
@@ -179,8 +179,8 @@ SELECT doc_id, pos,
 FROM (SELECT *, {NUM} AS num, substr(t, length({NUM}) + 1) AS rest FROM (SELECT *, {BT} AS t FROM blocks))
 """)
 def block_types(t):
-    args = F.col("text"), F.col("font_size"), F.col("is_bold")
-    return t.blocks.select("doc_id", "pos", blocks.block_type_parsed(*args).alias("parsed_type"), blocks.block_type_glyph(*args).alias("glyph_type"))
+    args = F.col("t"), F.col("font_size"), F.col("is_bold")
+    return t.blocks.withColumn("t", text.strip(F.col("text"))).select("doc_id", "pos", blocks.block_type_parsed(*args).alias("parsed_type"), blocks.block_type_glyph(*args).alias("glyph_type"))
 
 
 @query(rf"""
