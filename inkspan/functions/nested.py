@@ -85,19 +85,3 @@ def parse_detections(raw: DataFrame, width: int, height: int, stride: int = 6) -
         (get(3) * height).alias("height"), get(4).alias("confidence"), get(5).cast("long").alias("class_id"),
     )
 
-
-def tag_positions(text: Column, pattern: str) -> Column:
-    """Array of (tag, position, line) of a pattern's matches: positions are characters from 0, lines from 1."""
-    pieces = F.split(text, pattern, -1)
-    tags = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    state = "struct<at:bigint,line:bigint,out:array<struct<tag:string,position:bigint,line:bigint>>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(1).cast("long").alias("line"), F.array().cast("array<struct<tag:string,position:bigint,line:bigint>>").alias("out")).cast(state)
-
-    def step(s: Column, pair: Column) -> Column:
-        position = s["at"] + F.length(pair["piece"])
-        line = s["line"] + F.length(pair["piece"]) - F.length(F.replace(pair["piece"], F.lit("\n"), F.lit("")))
-        out = F.array_append(s["out"], F.struct(pair["tag"].alias("tag"), position.alias("position"), line.alias("line")))
-        return F.struct((position + F.length(pair["tag"])).alias("at"), line.alias("line"), out.alias("out")).cast(state)
-
-    pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(tags)).alias("piece"), tags.alias("tag"))
-    return F.aggregate(pairs, start, step, lambda s: s["out"])

@@ -27,6 +27,16 @@ class Span(NamedTuple):
     name: str
 
 
+def tags(text: str) -> list[tuple[str, int, int]]:
+    """Environment tags with their position from 0 and line from 1."""
+    found, at, line = [], 0, 1
+    for m in TAG.finditer(text):
+        line += text.count("\n", at, m.start())
+        at = m.start()
+        found.append((m.group(), at, line))
+    return found
+
+
 def environments(text: str, names: set[str] | None = None, kind: str = "environment") -> list[Span]:
     """Balanced environments, outermost of each name first met; one pass over the tags with a stack per name."""
     open_at: dict[str, list[int]] = {}

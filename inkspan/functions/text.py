@@ -84,11 +84,9 @@ def tidy_lines(c: Column) -> Column:
 def collapse_blank_lines(c: Column) -> Column:
     """One empty line for each run of blank ones."""
     lines = F.transform(F.split(c, "\n", -1), lambda x: F.when(strip(x) == "", F.lit("")).otherwise(x))
-    kept = F.filter(
-        F.transform(lines, lambda x, i: F.struct(x.alias("line"), ((i > 0) & (x == "") & (F.get(lines, i - 1) == "")).alias("again"))),
-        lambda s: ~s["again"],
-    )
-    return F.array_join(F.transform(kept, lambda s: s["line"]), "\n")
+    pairs = F.arrays_zip(lines.alias("line"), F.concat(F.array(F.lit("-")), lines).alias("before"))
+    kept = F.filter(pairs, lambda p: p["line"].isNotNull() & ~((p["line"] == "") & (p["before"] == "")))
+    return F.array_join(F.transform(kept, lambda p: p["line"]), "\n")
 
 
 def fix_typos(c: Column) -> Column:

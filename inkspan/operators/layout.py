@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,26 +75,30 @@ def reading_order(blocks: DataFrame, keys: list[str], tolerance: float = 5.0) ->
 def pack_batches(blocks: DataFrame, key: str, order: str, window: int = 4000, separator: str = SEPARATOR) -> DataFrame:
     """``(key, order, batch)``: consecutive blocks whose bytes and separators fit the window; a larger block is alone.
 
-    The batch number depends on all blocks before, so a document's sizes (not
-    its texts) are folded in order inside one array.
+    A block's batch depends on all blocks before it, so each document's sizes,
+    not its texts, are put in order in one array and walked once.
     """
     gap = len(separator.encode())
-    sizes = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.octet_length("text").cast("long").alias("n"))))
-    start = F.struct(
-        F.lit(0).cast("long").alias("batch"), F.lit(-1).cast("long").alias("used"),
-        F.array().cast("array<struct<at:bigint,batch:bigint>>").alias("out"),
-    )
 
-    def step(s: Column, b: Column) -> Column:
-        alone = b["n"] >= window
-        opens = alone | (s["used"] < 0) | (s["used"] + gap + b["n"] > window)
-        batch = s["batch"] + F.when(opens & (F.size(s["out"]) > 0), 1).otherwise(0)
-        used = F.when(alone, -1).when(opens, b["n"]).otherwise(s["used"] + gap + b["n"])
-        out = F.array_append(s["out"], F.struct(b["at"].alias("at"), batch.alias("batch")))
-        return F.struct(batch.alias("batch"), used.cast("long").alias("used"), out.alias("out"))
+    @F.pandas_udf("array<bigint>")
+    def walked(sizes: pd.Series) -> pd.Series:
+        return pd.Series([_batches(s, window, gap) for s in sizes])
 
-    folded = blocks.groupBy(key).agg(F.aggregate(sizes, start, step, lambda s: s["out"]).alias("out"))
-    return folded.select(key, F.inline("out")).withColumnRenamed("at", order)
+    sizes = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.octet_length("text").cast("long").alias("n"))))
+    rows = blocks.groupBy(key).agg(sizes.alias("sizes"))
+    rows = rows.select(key, F.transform("sizes", lambda s: s["at"]).alias("at"), walked(F.transform("sizes", lambda s: s["n"])).alias("batch"))
+    return rows.select(key, F.inline(F.arrays_zip("at", "batch"))).withColumnRenamed("at", order)
+
+
+def _batches(sizes: Iterable[int], window: int, gap: int) -> list[int]:
+    out, batch, used = [], 0, None  # bytes of the open batch; None if there is none
+    for n in sizes:
+        grown = n if used is None else used + gap + n
+        if out and (used is None or n >= window or grown > window):
+            batch, grown = batch + 1, n
+        out.append(batch)
+        used = None if n >= window else grown
+    return out
 
 
 def batch_texts(blocks: DataFrame, batches: DataFrame, key: str, order: str, separator: str = SEPARATOR) -> DataFrame:

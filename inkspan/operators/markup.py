@@ -262,3 +262,64 @@ def missing_includes(docs: DataFrame, files: DataFrame) -> DataFrame:
 
 def prefix_length(a: Column, b: Column) -> Column:
     return common_prefix(a, b).cast("long")
+
+
+def excess_closings(docs: DataFrame) -> DataFrame:
+    """Closing braces beyond the open ones so far: ``(doc_id, line_no, mark)``, comments cut at the first percent sign."""
+    marks = F.regexp_extract_all(F.regexp_replace("line", "%.*", ""), F.lit(r"[{}]"), F.lit(0))
+    rows = lines(docs).select("doc_id", "line_no", F.posexplode(marks).alias("mark", "m"))
+    surplus = F.sum(F.when(F.col("m") == "{", 1).otherwise(-1)).over(W.partitionBy("doc_id").orderBy("line_no", "mark"))
+    return rows.withColumn("surplus", surplus).filter("m = '}' and surplus < 0").select("doc_id", "line_no", "mark")
+
+
+def common_error_rows(docs: DataFrame) -> DataFrame:
+    """``(doc_id, line_no, severity, message)``: misspelt commands, odd dollars, triple backslashes, garbled text; line 0 is the document."""
+    from inkspan.functions.text import TYPOS, is_garbled
+
+    own = lines(docs)
+    cut = F.regexp_replace("line", "%.*", "")
+    dollars = F.length(cut) - F.length(F.replace(cut, F.lit("$"), F.lit("")))
+    found = [F.when(cut.contains(wrong), F.struct(F.lit("error").alias("severity"), F.lit(f"typo {wrong}").alias("message"))) for wrong in TYPOS]
+    found.append(F.when(dollars % 2 == 1, F.struct(F.lit("warning").alias("severity"), F.lit("odd number of $").alias("message"))))
+    found.append(F.when(strip(cut).endswith("\\\\\\"), F.struct(F.lit("warning").alias("severity"), F.lit("triple backslash").alias("message"))))
+    found.append(F.when(is_garbled(F.col("line")), F.struct(F.lit("error").alias("severity"), F.lit("garbled text").alias("message"))))
+    by_line = own.select("doc_id", "line_no", F.inline(F.array_compact(F.array(*found))))
+    return by_line.unionByName(document_error_rows(docs).withColumn("line_no", F.lit(0).cast("long")))
+
+
+def document_error_rows(docs: DataFrame) -> DataFrame:
+    """``(doc_id, severity, message)``: missing class, begin or end of the document, odd display maths, and what follows the end."""
+    c, end = F.col("text"), "\\end{document}"
+    after = F.split(F.substr(c, F.locate(end, c) + len(end)), "\n", -1)
+    trailing = (F.locate(end, c) > 0) & F.exists(after, lambda x: (strip(x) != "") & ~strip(x).startswith("%"))
+    row = lambda severity, message: F.struct(F.lit(severity).alias("severity"), F.lit(message).alias("message"))
+    found = [F.when(~c.contains(m), row("error", f"missing {m}")) for m in ("\\documentclass", "\\begin{document}", end)]
+    found.append(F.when(trailing, row("warning", "content after the document")))
+    found.append(F.when(F.regexp_count(c, F.lit(r"\$\$")) % 2 == 1, row("error", "unmatched $$")))
+    return docs.select("doc_id", F.inline(F.array_compact(F.array(*found))))
+
+
+def issue_summary(issues: DataFrame) -> DataFrame:
+    """Errors and warnings per document."""
+    count = lambda s: F.count_if(F.col("severity") == s)
+    return issues.groupBy("doc_id").agg(count("error").alias("errors"), count("warning").alias("warnings"))
+
+
+def incomplete_definitions(docs: DataFrame, ahead: int = 10) -> DataFrame:
+    """Command definitions whose braces do not balance in the next lines: ``(doc_id, line_no)``."""
+    c = F.col("line")
+    count = lambda x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
+    surplus = (count("{") - count("\\{") / 2) - (count("}") - count("\\}") / 2)
+    w = W.partitionBy("doc_id").orderBy("line_no")
+    rows = lines(docs).withColumn("n", surplus.cast("long")).withColumn("total", F.sum("n").over(w))
+    later = F.collect_list("total").over(w.rowsBetween(1, ahead))
+    rows = rows.withColumns({"start": F.col("total") - F.col("n"), "later": later})
+    opens = c.rlike(r"\\(?:re)?newcommand") & ~strip(c).startswith("%") & (F.col("n") > 0)
+    return rows.filter(opens & ~F.array_contains("later", F.col("start"))).select("doc_id", "line_no")
+
+
+def scaled_tables(docs: DataFrame, ahead: int = 9) -> DataFrame:
+    """Table begins and whether a resizebox stands on their line or the next ones: ``(doc_id, line_no, scaled)``."""
+    w = W.partitionBy("doc_id").orderBy("line_no")
+    rows = lines(docs).withColumn("scaled", F.bool_or(F.col("line").contains("\\resizebox")).over(w.rowsBetween(0, ahead)))
+    return rows.filter(F.col("line").contains("\\begin{table")).select("doc_id", "line_no", "scaled")

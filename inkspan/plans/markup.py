@@ -282,30 +282,73 @@ def command_line_structure(t):
 
 @query(r"""
 SELECT doc_id, array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i > 1 AND l[i] = '' AND l[i - 1] = '' THEN NULL ELSE l[i] END), lambda x: x IS NOT NULL), chr(10)) AS collapsed
-FROM (SELECT doc_id, string_split(replace(substr(text, 1, 300), ' ', chr(10) || chr(10) || chr(10)), chr(10)) AS l FROM documents)
+FROM (SELECT doc_id, string_split(replace(text, '. ', chr(10) || chr(10) || chr(10)), chr(10)) AS l FROM documents)
 """)
 def blank_line_collapse(t):
-    loose = F.replace(F.substring("text", 1, 300), F.lit(" "), F.lit("\n\n\n"))
+    loose = F.replace("text", F.lit(". "), F.lit("\n\n\n"))
     return t.documents.select("doc_id", text.collapse_blank_lines(loose).alias("collapsed"))
 
 
-@query()
+UNESCAPED = r"replace(replace(regexp_replace(text, '(?m)^[ \t]*%.*$', '', 'g'), '\{', ''), '\}', '')"
+
+
+@query(rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(text, '{TAG}') AS tags FROM tex),
+n AS (SELECT doc_id, 0 AS i, CAST([] AS VARCHAR[]) AS stack, CAST(NULL AS VARCHAR) AS error FROM t
+  UNION ALL SELECT doc_id, i + 1, CASE WHEN b THEN list_append(stack, name) WHEN len(stack) > 0 THEN stack[1:len(stack) - 1] ELSE stack END,
+    CASE WHEN b THEN NULL WHEN len(stack) = 0 THEN 'unexpected end ' || name WHEN stack[len(stack)] <> name THEN 'expected end ' || stack[len(stack)] || ' but found ' || name END
+  FROM (SELECT n.doc_id, i, stack, starts_with(tags[i + 1], '\begin') AS b, regexp_extract(tags[i + 1], '{TAG}', 2) AS name FROM n JOIN t ON t.doc_id = n.doc_id WHERE error IS NULL AND i < len(tags))),
+f AS (SELECT doc_id, arg_max((error, stack), i) AS s FROM n GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(max(list_reduce(list_transform(regexp_extract_all({UNESCAPED}, '[{{}}]'), lambda x: {{'depth': CASE WHEN x = '{{' THEN 1::BIGINT ELSE -1 END, 'most': 0::BIGINT}}),
+    lambda a, x: {{'depth': greatest(a.depth + x.depth, 0), 'most': greatest(a.most, a.depth + x.depth)}}, {{'depth': 0::BIGINT, 'most': 0::BIGINT}}).most) AS BIGINT) AS max_depth FROM tex GROUP BY doc_id)
+SELECT f.doc_id, coalesce(s[1], CASE WHEN len(s[2]) > 0 THEN 'unclosed ' || s[2][len(s[2])] END) AS error, max_depth FROM f JOIN m ON f.doc_id = m.doc_id
+""")
 def nesting_validation(t):
     return t.tex.select("doc_id", tex.nesting_error(F.col("text")).alias("error"), tex.max_brace_depth(F.col("text")).alias("max_depth"))
 
 
-@query()
+@query(r"""
+SELECT doc_id, '\begin{document}' || chr(10) || text || chr(10) || '\begin{thebibliography}{9} $x$ \end{thebibliography}' || chr(10) || '\end{document}' AS text FROM documents
+""")
 def bibliography_inlining(t):
-    made = F.concat(F.lit("\\begin{document}\n"), F.substring("text", 1, 60), F.lit("\n\\bibliography{refs} tail\n\\end{document}"))
+    made = F.concat(F.lit("\\begin{document}\n"), "text", F.lit("\n\\bibliography{refs} tail\n\\end{document}"))
     return t.documents.select("doc_id", tex.inline_bibliography(made, F.lit("\\begin{thebibliography}{9} $x$ \\end{thebibliography}")).alias("text"))
 
 
-@query()
+def _sections(table: str, name: str) -> str:
+    patterns = [(p.replace(r"\z", "$").replace("()()", "").replace("'", "''"), k, level) for p, k, level in sections.PATTERNS]
+    fits = [f"regexp_matches(t, '{p}')" + ("" if k in sections.NUMBERED else " AND font_size >= 11") for p, k, _ in patterns]
+    which = "CASE " + " ".join(f"WHEN {f} THEN {i}" for i, f in enumerate(fits, 1)) + " END"
+    groups = lambda g: "CASE w " + " ".join(f"WHEN {i} THEN " + (f"regexp_extract(t, '{p}', {g})" if k in sections.NUMBERED else "''") for i, (p, k, _) in enumerate(patterns, 1)) + " END"
+    kinds = f"([{', '.join(repr(k) for _, k, _ in patterns)}])[w]"
+    levels = f"([{', '.join(str(level) for _, _, level in patterns)}])[w]"
+    return rf"""{name}_b AS (SELECT *, max(contains(lower(t), 'appendix') OR contains(t, '附录')) OVER (PARTITION BY doc_id ORDER BY page, pos ROWS UNBOUNDED PRECEDING) AS app, {which} AS w
+    FROM (SELECT *, {trimmed('text')} AS t FROM {table}) WHERE strlen(t) BETWEEN 2 AND 150),
+  {name} AS (SELECT doc_id, page, pos, type, level, number, CASE WHEN title = '' THEN t ELSE title END AS title, app OR contains(type, 'appendix') AS is_appendix
+    FROM (SELECT *, {kinds} AS type, CAST({levels} AS BIGINT) AS level, {groups(1)} AS number, {trimmed(groups(2))} AS title FROM {name}_b WHERE w IS NOT NULL)
+    QUALIFY row_number() OVER (PARTITION BY doc_id, type, CASE WHEN number <> '' THEN number ELSE lower(CASE WHEN title = '' THEN t ELSE title END) END ORDER BY page, pos) = 1)"""
+
+
+@query(f"WITH {_sections('blocks', 'own')} SELECT * FROM own")
 def section_extraction(t):
     return sections.extract_sections(t.blocks.withColumn("block_type", F.lit("paragraph")))
 
 
-@query()
+KEY = "type || ':' || CASE WHEN number <> '' THEN number ELSE lower(title) END"
+
+
+@query(f"""
+WITH {_sections('blocks', 'own')}, other_blocks AS (SELECT * FROM blocks WHERE pos % 25 <> 0), {_sections('other_blocks', 'other')},
+g AS (SELECT a.doc_id, count(*) AS missing FROM own a WHERE NOT EXISTS (SELECT 1 FROM other b WHERE a.doc_id = b.doc_id AND a.{KEY.replace('number', 'a.number').replace('title', 'a.title')} = b.{KEY.replace('number', 'b.number').replace('title', 'b.title')})
+  AND NOT EXISTS (SELECT 1 FROM other b WHERE a.doc_id = b.doc_id AND a.type = b.type AND abs(a.page - b.page) <= 2 AND lower(a.title) = lower(b.title)) GROUP BY a.doc_id),
+x AS (SELECT doc_id, count(*) AS total, count(*) FILTER (is_appendix) AS app FROM own GROUP BY doc_id), y AS (SELECT doc_id, count(*) FILTER (is_appendix) AS app FROM other GROUP BY doc_id),
+p AS (SELECT doc_id, max(page) AS a, max(page) FILTER (pos % 25 <> 0) AS b FROM blocks GROUP BY doc_id),
+r AS (SELECT p.doc_id, coalesce(x.total, 0) AS total, coalesce(g.missing, 0) AS missing, coalesce(x.app, 0) AS app, coalesce(y.app, 0) AS kept, (a - b) / a AS diff FROM p
+  LEFT JOIN x ON p.doc_id = x.doc_id LEFT JOIN y ON p.doc_id = y.doc_id LEFT JOIN g ON p.doc_id = g.doc_id WHERE b IS NOT NULL),
+s AS (SELECT *, CASE WHEN total > 0 THEN least(CASE WHEN diff > 0.15 THEN 80 ELSE 100 END, (total - missing) * 80.0::DOUBLE / total + 20) WHEN diff > 0.15 THEN greatest(100 - diff * 100, 0) ELSE 100 END
+  - CASE WHEN app > 0 AND kept = 0 THEN 15 WHEN app > kept THEN (app - kept) * 5 ELSE 0 END AS score FROM r)
+SELECT doc_id, total, missing, score, missing = 0 AND score >= 70 AS is_complete FROM s
+""")
 def content_validation(t):
     own = t.blocks.withColumn("block_type", F.lit("paragraph"))
     other = own.filter(F.col("pos") % 25 != 0)
@@ -321,3 +364,81 @@ SELECT doc_id, a AS original_pages, b AS translated_pages, a - b AS difference,
 def page_count_difference(t):
     pages = lambda b: b.groupBy("doc_id").agg(F.max("page").alias("pages"))
     return sections.page_difference(pages(t.blocks), pages(t.blocks.filter("pos % 20 < 15 and pos < 100")))
+
+
+MARKED = "SELECT doc_id, line_no, regexp_replace(CASE WHEN (doc_id + line_no) % 9 = 0 THEN '}}{' || line ELSE line END, '%.*', '') AS cut FROM tex_lines"
+
+
+@query(f"""
+WITH m AS (SELECT doc_id, line_no, unnest(marks) AS m, unnest(range(len(marks))) AS i FROM (SELECT doc_id, line_no, regexp_extract_all(cut, '[{{}}]') AS marks FROM ({MARKED}))),
+s AS (SELECT *, sum(CASE WHEN m = '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY line_no, i) AS r FROM m)
+SELECT doc_id, line_no + 1 AS line_no, i AS mark FROM s WHERE m = '}}' AND r < 0
+""")
+def editor_excess_braces(t):
+    k = F.col("doc_id") + F.col("line_no")
+    made = t.tex_lines.withColumn("line", F.when(k % 9 == 0, F.concat(F.lit("}}{"), "line")).otherwise(F.col("line")))
+    return markup.excess_closings(t.joined(made))
+
+
+DOCUMENT_ERRORS = r"""SELECT doc_id, unnest(list_filter([CASE WHEN NOT contains(text, '\documentclass') THEN {'severity': 'error', 'message': 'missing \documentclass'} END,
+  CASE WHEN NOT contains(text, '\begin{document}') THEN {'severity': 'error', 'message': 'missing \begin{document}'} END, CASE WHEN NOT contains(text, '\end{document}') THEN {'severity': 'error', 'message': 'missing \end{document}'} END,
+  CASE WHEN strpos(text, '\end{document}') > 0 AND len(list_filter(string_split(substr(text, strpos(text, '\end{document}') + 14), chr(10)), lambda x: regexp_matches(x, '\S') AND NOT regexp_matches(x, '^\s*%'))) > 0
+    THEN {'severity': 'warning', 'message': 'content after the document'} END,
+  CASE WHEN len(regexp_extract_all(text, '\$\$')) % 2 = 1 THEN {'severity': 'error', 'message': 'unmatched $$'} END], lambda e: e IS NOT NULL)) AS e FROM marked"""
+MADE = r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text || chr(10) || '\begin{document} $$x \begn{a} \\\' WHEN 1 THEN text || '\begin{document}' || chr(10) || '\end{document}' || chr(10) || ' % fine' WHEN 2 THEN '\begin{document}\end{document}' || text ELSE text || ' $ $$ ' END AS text FROM tex"""
+
+
+def _made(t):
+    d, c = F.col("doc_id") % 4, F.col("text")
+    made = (
+        F.when(d == 0, F.concat(c, F.lit("\n\\begin{document} $$x \\begn{a} \\\\\\"))).when(d == 1, F.concat(c, F.lit("\\begin{document}\n\\end{document}\n % fine")))
+        .when(d == 2, F.concat(F.lit("\\begin{document}\\end{document}"), c)).otherwise(F.concat(c, F.lit(" $ $$ ")))
+    )
+    return t.tex.select("doc_id", made.alias("text"))
+
+
+@query(f"WITH marked AS ({MADE}) SELECT doc_id, e.severity AS severity, e.message AS message FROM ({DOCUMENT_ERRORS})")
+def document_structure_checks(t):
+    return markup.document_error_rows(_made(t))
+
+
+LINE_ERRORS = r"""SELECT doc_id, line_no, unnest(list_filter([CASE WHEN contains(cut, '\begn{') THEN {'severity': 'error', 'message': 'typo \begn{'} END, CASE WHEN contains(cut, '\ened{') THEN {'severity': 'error', 'message': 'typo \ened{'} END,
+  CASE WHEN contains(cut, '\docmentclass') THEN {'severity': 'error', 'message': 'typo \docmentclass'} END, CASE WHEN contains(cut, '\usepackge') THEN {'severity': 'error', 'message': 'typo \usepackge'} END,
+  CASE WHEN (length(cut) - length(replace(cut, '$', ''))) % 2 = 1 THEN {'severity': 'warning', 'message': 'odd number of $'} END, CASE WHEN suffix(regexp_replace(cut, '\s+$', ''), '\\\') THEN {'severity': 'warning', 'message': 'triple backslash'} END,
+  CASE WHEN contains(line, '�') THEN {'severity': 'error', 'message': 'garbled text'} END], lambda e: e IS NOT NULL)) AS e
+  FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line, regexp_replace(unnest(l), '%.*', '') AS cut FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM marked))"""
+ISSUES = f"SELECT doc_id, line_no, e.severity AS severity, e.message AS message FROM ({LINE_ERRORS}) UNION ALL SELECT doc_id, 0, e.severity, e.message FROM ({DOCUMENT_ERRORS})"
+
+
+@query(f"WITH marked AS ({MADE}) {ISSUES}")
+def editor_common_errors(t):
+    return markup.common_error_rows(_made(t))
+
+
+@query(f"WITH marked AS ({MADE}), i AS ({ISSUES}) SELECT doc_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM i GROUP BY doc_id")
+def issue_summary(t):
+    return markup.issue_summary(markup.common_error_rows(_made(t)))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, line_no, line, (length(line) - length(replace(line, '{', '')) - len(regexp_extract_all(line, '\\\{'))) - (length(line) - length(replace(line, '}', '')) - len(regexp_extract_all(line, '\\\}'))) AS n
+  FROM (SELECT doc_id, line_no, CASE WHEN (doc_id + line_no) % 5 = 0 THEN '\newcommand{\x}{' || line ELSE line END AS line FROM tex_lines)),
+s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY line_no) AS total FROM l),
+w AS (SELECT *, total - n AS start, list(total) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS later FROM s)
+SELECT doc_id, line_no + 1 AS line_no FROM w WHERE regexp_matches(line, '\\(?:re)?newcommand') AND NOT regexp_matches(line, '^\s*%') AND n > 0 AND NOT coalesce(list_contains(later, start), false)
+""")
+def incomplete_definitions(t):
+    k = F.col("doc_id") + F.col("line_no")
+    made = t.tex_lines.withColumn("line", F.when(k % 5 == 0, F.concat(F.lit("\\newcommand{\\x}{"), "line")).otherwise(F.col("line")))
+    return markup.incomplete_definitions(t.joined(made))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, line_no, CASE WHEN (doc_id + line_no) % 17 = 0 THEN line || '\resizebox{' ELSE line END AS line FROM tex_lines),
+w AS (SELECT *, bool_or(contains(line, '\resizebox')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS scaled FROM l)
+SELECT doc_id, line_no + 1 AS line_no, scaled FROM w WHERE contains(line, '\begin{table')
+""")
+def scaled_tables(t):
+    k = F.col("doc_id") + F.col("line_no")
+    made = t.tex_lines.withColumn("line", F.when(k % 17 == 0, F.concat("line", F.lit("\\resizebox{"))).otherwise(F.col("line")))
+    return markup.scaled_tables(t.joined(made))

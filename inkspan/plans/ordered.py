@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkspan.functions import nested, tex
+from inkspan.functions import nested
+from inkspan.functions.rules import spans
+from inkspan.operators import rules
 from inkspan.plans.catalog import query
 
-SPANS = "SELECT doc_id, pos, (pos * 7 + doc_id) % 50 AS s, (pos * 7 + doc_id) % 50 + 1 + (pos * 5 + doc_id) % 9 AS e FROM blocks WHERE pos < 30"
+SPANS = "SELECT doc_id, pos, (pos * 7 + doc_id) % 50 AS s, (pos * 7 + doc_id) % 50 + 1 + (pos * 5 + doc_id) % 9 AS e FROM blocks"
 
 
-def spans(t):
+def intervals(t):
     d, p = F.col("doc_id"), F.col("pos")
     start = (p * 7 + d) % 50
-    return t.blocks.filter("pos < 30").select("doc_id", "pos", start.alias("s"), (start + 1 + (p * 5 + d) % 9).alias("e"))
+    return t.blocks.select("doc_id", "pos", start.alias("s"), (start + 1 + (p * 5 + d) % 9).alias("e"))
 
 
 @query(f"""
@@ -24,7 +26,7 @@ r AS (SELECT doc_id, 0 AS k, CAST(-1 AS BIGINT) AS last, CAST(-1 AS BIGINT) AS s
 SELECT doc_id, s AS start, last AS stop FROM r WHERE k > 0
 """.replace("min((i.s, -i.e))", "min([i.s, -i.e])"))
 def interval_deoverlap(t):
-    return nested.keep_disjoint(spans(t), "doc_id", "s", "e")
+    return nested.keep_disjoint(intervals(t), "doc_id", "s", "e")
 
 
 @query(f"""
@@ -32,7 +34,7 @@ WITH i AS ({SPANS}) SELECT a.doc_id, a.pos, min(b.pos) IS NOT NULL AS is_nested,
 FROM i a LEFT JOIN i b ON a.doc_id = b.doc_id AND a.pos <> b.pos AND b.s <= a.s AND b.e >= a.e AND (b.s < a.s OR b.e > a.e) GROUP BY a.doc_id, a.pos
 """)
 def nested_intervals(t):
-    return nested.mark_nested(spans(t), "doc_id", "pos", "s", "e")
+    return nested.mark_nested(intervals(t), "doc_id", "pos", "s", "e")
 
 
 @query("""
@@ -88,17 +90,47 @@ def category_dimension(t):
 
 
 @query(r"""
-SELECT doc_id, element, x * 100 AS x, y * 200 AS y, w AS class_id FROM (SELECT doc_id, pos AS element, (pos % 8) / 8.0::DOUBLE AS x, (pos % 4) / 4.0::DOUBLE AS y, pos % 12 AS w FROM blocks WHERE pos < 20)
+SELECT doc_id, element, x * 100 AS x, y * 200 AS y, w AS class_id FROM (SELECT doc_id, pos AS element, (pos % 8) / 8.0::DOUBLE AS x, (pos % 4) / 4.0::DOUBLE AS y, pos % 12 AS w FROM blocks)
 """)
 def detector_output(t):
     d = F.col("pos")
     one = F.array((d % 8) / 8.0, (d % 4) / 4.0, F.lit(0.1), F.lit(0.1), F.lit(0.5), (d % 12).cast("double"))
     flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(d.alias("p"), one.alias("v")))), lambda s: s["v"]))
-    raw = t.blocks.filter("pos < 20").groupBy("doc_id").agg(flat.alias("output"))
+    raw = t.blocks.groupBy("doc_id").agg(flat.alias("output"))
     return nested.parse_detections(raw, 100, 200).select("doc_id", "element", "x", "y", "class_id")
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT doc_id, regexp_split_to_array(text, '\\(begin|end)\{([^}]+)\}') AS pieces, regexp_extract_all(text, '\\(begin|end)\{([^}]+)\}') AS tags FROM tex),
+l AS (SELECT doc_id, tags, list_transform(pieces, lambda x: length(x)) AS n, list_transform(pieces, lambda x: length(x) - length(replace(x, chr(10), ''))) AS k, list_transform(tags, lambda x: length(x)) AS m FROM p)
+SELECT doc_id, tags[i] AS tag, CAST(list_sum(n[1:i]) + coalesce(list_sum(m[1:i - 1]), 0) AS BIGINT) AS position, CAST(1 + list_sum(k[1:i]) AS BIGINT) AS line
+FROM (SELECT *, unnest(range(1, len(tags) + 1)) AS i FROM l)
+""")
 def structure_spans(t):
-    """Environment tags with their 0-based character position and line."""
-    return t.tex.select("doc_id", F.inline(nested.tag_positions(F.col("text"), tex.ENV_TAG)))
+    """Environment tags with their 0-based character position and 1-based line."""
+    return rules.explode_rule(t.tex, "doc_id", "text", spans.tags, "tag string, position bigint, line bigint")
+
+
+@query("""
+SELECT arxiv_id, min(doc_id) AS first FROM (SELECT *, doc_id % 7 AS search FROM papers) GROUP BY arxiv_id ORDER BY arxiv_id LIMIT 1000
+""")
+def harvest_distinct(t):
+    """Entries of several searches, one per identifier, up to the harvest's target of 1,000."""
+    return t.papers.groupBy("arxiv_id").agg(F.min("doc_id").alias("first")).orderBy("arxiv_id").limit(1000)
+
+
+@query("SELECT doc_id % 50 AS base, list(name ORDER BY name DESC) AS backups FROM (SELECT doc_id, 'b' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS name FROM papers) GROUP BY 1")
+def backup_listing(t):
+    named = t.papers.select((F.col("doc_id") % 50).alias("base"), F.concat(F.lit("b"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("name"))
+    return named.groupBy("base").agg(F.sort_array(F.collect_list("name"), asc=False).alias("backups"))
+
+
+@query("""
+SELECT doc_id, '<<<LATEX_' || (['CMD', 'MATH', 'TABLE'])[CAST(doc_id % 3 AS INTEGER) + 1] || '_' || doc_id || '>>>' AS placeholder, (['CMD', 'MATH', 'TABLE'])[CAST(doc_id % 3 AS INTEGER) + 1] AS type FROM documents
+""")
+def placeholder_generation(t):
+    d = F.col("doc_id")
+    kind = F.element_at(F.array(F.lit("CMD"), F.lit("MATH"), F.lit("TABLE")), (d % 3 + 1).cast("int"))
+    made = nested.placeholder(kind, d)
+    info = F.create_map(made, kind)
+    return t.documents.select("doc_id", made.alias("placeholder"), F.element_at(info, made).alias("type"))

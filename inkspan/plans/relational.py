@@ -242,12 +242,12 @@ def preferred_main_file(t):
 
 
 @query("""
-WITH RECURSIVE r AS (SELECT parent AS root, parent AS node, 0 AS depth FROM (SELECT DISTINCT parent FROM include_edges WHERE parent < 40)
+WITH RECURSIVE r AS (SELECT parent AS root, parent AS node, 0 AS depth FROM (SELECT DISTINCT parent FROM include_edges)
   UNION SELECT root, child, depth + 1 FROM r JOIN include_edges ON node = parent WHERE depth < 6)
 SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY root, node
 """)
 def include_closure(t):
-    start = t.include_edges.filter("parent < 40").select(F.col("parent").alias("root")).distinct()
+    start = t.include_edges.select(F.col("parent").alias("root")).distinct()
     return frontier.expand(t.include_edges, start, depth=6)
 
 
@@ -300,7 +300,16 @@ def layout_first_violation(t):
     return bad.groupBy("doc_id").agg(F.min("element").alias("element"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE d AS (SELECT doc_id, page, class_id, element, x, y, width, height, confidence, row_number() OVER (PARTITION BY doc_id, page, class_id ORDER BY confidence DESC, element) AS r
+    FROM layout_elements WHERE confidence >= 0.1),
+k AS (SELECT doc_id, page, class_id, r, [{{'element': element, 'x': x, 'y': y, 'width': width, 'height': height, 'confidence': confidence}}] AS kept FROM d WHERE r = 1
+  UNION ALL SELECT d.doc_id, d.page, d.class_id, d.r, CASE WHEN len(list_filter(k.kept, lambda e: {IOU.replace('b.', 'd.')} >= 0.5)) > 0 THEN k.kept
+    ELSE list_append(k.kept, {{'element': d.element, 'x': d.x, 'y': d.y, 'width': d.width, 'height': d.height, 'confidence': d.confidence}}) END
+  FROM k JOIN d ON d.doc_id = k.doc_id AND d.page = k.page AND d.class_id = k.class_id AND d.r = k.r + 1),
+l AS (SELECT doc_id, page, class_id, arg_max(kept, r) AS kept FROM k GROUP BY ALL)
+SELECT doc_id, page, class_id, e.element AS element, e.confidence AS confidence FROM (SELECT doc_id, page, class_id, unnest(kept) AS e FROM l)
+""")
 def layout_suppression(t):
     return layout.suppress(t.layout_elements, ["doc_id", "page", "class_id"], least=0.1)
 
@@ -314,7 +323,13 @@ def reading_order(t):
     return layout.reading_order(t.blocks, ["doc_id", "page"]).select("doc_id", "page", "pos", "line", "place")
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT doc_id, pos, CAST(strlen(text) AS BIGINT) AS n FROM blocks),
+p AS (SELECT doc_id, pos, CAST(0 AS BIGINT) AS batch, CASE WHEN n >= 1000 THEN -1 ELSE n END AS used FROM s WHERE pos = 0
+  UNION ALL SELECT s.doc_id, s.pos, p.batch + CASE WHEN s.n >= 1000 OR p.used < 0 OR p.used + 23 + s.n > 1000 THEN 1 ELSE 0 END,
+    CASE WHEN s.n >= 1000 THEN -1 WHEN p.used < 0 OR p.used + 23 + s.n > 1000 THEN s.n ELSE p.used + 23 + s.n END FROM p JOIN s ON s.doc_id = p.doc_id AND s.pos = p.pos + 1)
+SELECT doc_id, pos, batch FROM p
+""")
 def batch_packing(t):
     return layout.pack_batches(t.blocks, "doc_id", "pos", window=1000)
 
@@ -327,11 +342,10 @@ def batch_partition(t):
     return texts.groupBy("doc_id").agg(F.sum("members").alias("members"), F.sum(F.octet_length("text") - gap * (F.col("members") - 1)).cast("decimal(38,0)").alias("bytes"))
 
 
-@query("SELECT doc_id, [trim(regexp_replace(line, '^\\s+|\\s+$', '', 'g')), '', ''] AS padded, ['a', 'b' || chr(10) || '---BLOCK_SEPARATOR---' || chr(10) || 'c'] AS merged FROM doc_lines WHERE line_no = 0")
+@query("SELECT doc_id, [trim(regexp_replace(line, '^\\s+|\\s+$', '', 'g')), '', ''] AS padded, ['a', 'b' || chr(10) || '---BLOCK_SEPARATOR---' || chr(10) || 'c'] AS merged FROM doc_lines")
 def batch_splitting(t):
-    first = t.doc_lines.filter("line_no = 0")
     three = F.lit("a" + layout.SEPARATOR + " b" + layout.SEPARATOR + "c ")
-    return first.select("doc_id", layout.split_batch(F.col("line"), F.lit(3)).alias("padded"), layout.split_batch(three, F.lit(2)).alias("merged"))
+    return t.doc_lines.select("doc_id", layout.split_batch(F.col("line"), F.lit(3)).alias("padded"), layout.split_batch(three, F.lit(2)).alias("merged"))
 
 
 @query("""

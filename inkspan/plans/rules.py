@@ -125,7 +125,7 @@ def placeholder_recovery(t):
 
 @query()
 def font_fitting(t):
-    return rules.with_text(t.blocks.filter("pos < 3"), "size", lambda x: repairs.fit_font(x, 200.0, 60.0), "text", kind="double").select("doc_id", "pos", "size")
+    return rules.with_text(t.blocks, "size", lambda x: repairs.fit_font(x, 200.0, 60.0), "text", kind="double").select("doc_id", "pos", "size")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'UTF-8' ELSE 'UTF-8-BOM' END AS encoding, md5(text) AS text FROM documents")

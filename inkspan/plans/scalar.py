@@ -215,9 +215,17 @@ def text_widths(t):
     )
 
 
-@query()
+WRAP = """list_reduce(list_transform(list_filter(string_split(text, ''), lambda c: c <> '' AND c <> chr(13)), lambda c: {'lines': CASE WHEN c = chr(10) THEN 1::BIGINT ELSE 0 END,
+  'used': CASE WHEN c IN (' ', chr(9)) THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END * font_size}), lambda a, q: {'lines': a.lines + CASE WHEN q.lines = 1 OR a.used + q.used > 200 THEN 1::BIGINT ELSE 0 END,
+  'used': CASE WHEN q.lines = 1 THEN 0::DOUBLE WHEN a.used + q.used > 200 THEN q.used ELSE a.used + q.used END}, {'lines': 1::BIGINT, 'used': 0::DOUBLE}).lines"""
+
+
+@query(rf"""
+SELECT doc_id, pos, l AS lines, l <= greatest(floor(60 / (font_size * 1.2::DOUBLE)), 1) AND ({n('text', '[ 	]')} * 0.25::DOUBLE + (length(text) - {n('text', '[ 	]')}) * 0.5::DOUBLE) * font_size / l <= 200 AS fits
+FROM (SELECT *, {WRAP} AS l FROM blocks)
+""")
 def text_wrapping(t):
-    c, size = F.substring("text", 1, 400), F.col("font_size")
+    c, size = F.col("text"), F.col("font_size")
     return t.blocks.select(
         "doc_id", "pos", geometry.lines_needed(c, size, F.lit(200.0)).alias("lines"), geometry.fits_bounds(c, size, F.lit(200.0), F.lit(60.0)).alias("fits")
     )
