@@ -62,7 +62,7 @@ def reduce_chunks(chunks: DataFrame, key: str, order: str, text: str, tokens: st
     """Chunks of each key joined in order, with their number and token sum."""
     ordered = F.array_sort(F.collect_list(F.struct(order, text)))
     joined = F.array_join(F.transform(ordered, lambda s: s[text]), "")
-    return chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.sum(tokens).cast("decimal(38,0)").alias("tokens"), joined.alias("text"))
+    return chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.sum(tokens).cast("long").alias("tokens"), joined.alias("text"))
 
 
 def recovery_report(attempts: DataFrame) -> DataFrame:

@@ -40,10 +40,11 @@ def report_rows(records: DataFrame) -> DataFrame:
 
 def report_title(records: DataFrame, shown: int = 5) -> DataFrame:
     """One row: title with the first ``shown`` ids and the number of records."""
-    first = records.orderBy("id").limit(shown).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    total = records.agg(F.count("*").alias("n"))
+    first = records.orderBy("id").limit(shown).agg(F.array_sort(F.collect_list("id")).alias("ids"), F.lit(None).cast("long").alias("n"))
+    total = records.agg(F.lit(None).cast("array<string>").alias("ids"), F.count("*").alias("n"))
+    both = first.unionByName(total).agg(F.max("ids").alias("ids"), F.max("n").alias("n"))
     more = F.when(F.col("n") > shown, ", ...").otherwise("")
-    return first.join(F.broadcast(total)).select(F.concat(F.lit("errors - "), F.array_join("ids", ", "), more, F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("title"))
+    return both.select(F.concat(F.lit("errors - "), F.array_join("ids", ", "), more, F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("title"))
 
 
 def text_report(records: DataFrame) -> DataFrame:

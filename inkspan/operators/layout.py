@@ -140,3 +140,14 @@ def is_text_pages(blocks: DataFrame, pages: int = 3) -> DataFrame:
         F.coalesce(F.max("page"), F.lit(0)).alias("pages"), F.count("*").alias("blocks"),
         (F.sum(F.when(F.col("page") <= pages, chars).otherwise(0)) > 0).alias("is_text"),
     )
+
+
+def placed_runs(runs: DataFrame) -> DataFrame:
+    """``runs`` with usable positions: where no run of a page has one, its runs are stacked in order as lines of their own."""
+    page = W.partitionBy("doc_id", "page")
+    placed = F.bool_or((F.col("x") > 0) | (F.col("y") > 0)).over(page)
+    line = F.row_number().over(page.orderBy("pos"))
+    rows = runs.withColumns({"placed": placed, "line": line})
+    return rows.withColumns(
+        {"x": F.when(F.col("placed"), F.col("x")).otherwise(50.0), "y": F.when(F.col("placed"), F.col("y")).otherwise(750.0 - 15.0 * (F.col("line") - 1))}
+    ).drop("placed", "line")

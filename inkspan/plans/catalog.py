@@ -15,6 +15,7 @@ MODULES = ["scalar", "relational", "markup", "ordered", "rules"]
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
+_MODULES: dict[str, str] = {}
 
 
 def query(oracle: str | None = None):
@@ -26,6 +27,7 @@ def query(oracle: str | None = None):
             return found.withColumns({c: F.col(f"`{c}`").cast("long") for c, kind in found.dtypes if kind in ("int", "smallint", "tinyint")})
 
         _QUERIES[build.__name__] = run
+        _MODULES[build.__name__] = build.__module__.rpartition(".")[2]
         if oracle:
             _ORACLES[build.__name__] = sql(oracle)
         return build
@@ -46,3 +48,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     _load()
     return dict(_ORACLES)
+
+
+def query_module(name: str) -> str:
+    """Module of this package that registers a query."""
+    _load()
+    return _MODULES[name]

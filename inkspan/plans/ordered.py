@@ -67,7 +67,7 @@ def placeholder_maps(t):
     )
 
 
-@query("SELECT doc_id, count(*) AS chunks, sum(strlen(line)) AS tokens, string_agg(line, '' ORDER BY line_no) AS text FROM doc_lines GROUP BY doc_id")
+@query("SELECT doc_id, count(*) AS chunks, CAST(sum(strlen(line)) AS BIGINT) AS tokens, string_agg(line, '' ORDER BY line_no) AS text FROM doc_lines GROUP BY doc_id")
 def chunk_reduction(t):
     return nested.reduce_chunks(t.doc_lines.withColumn("tokens", F.octet_length("line")), "doc_id", "line_no", "line", "tokens")
 

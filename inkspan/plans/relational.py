@@ -334,12 +334,12 @@ def batch_packing(t):
     return layout.pack_batches(t.blocks, "doc_id", "pos", window=1000)
 
 
-@query("SELECT doc_id, count(*) AS members, sum(strlen(text)) AS bytes FROM blocks GROUP BY doc_id")
+@query("SELECT doc_id, count(*) AS members, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM blocks GROUP BY doc_id")
 def batch_partition(t):
     packed = layout.pack_batches(t.blocks, "doc_id", "pos", window=1000)
     texts = layout.batch_texts(t.blocks, packed, "doc_id", "pos")
     gap = len(layout.SEPARATOR)
-    return texts.groupBy("doc_id").agg(F.sum("members").alias("members"), F.sum(F.octet_length("text") - gap * (F.col("members") - 1)).cast("decimal(38,0)").alias("bytes"))
+    return texts.groupBy("doc_id").agg(F.sum("members").alias("members"), F.sum(F.octet_length("text") - gap * (F.col("members") - 1)).cast("long").alias("bytes"))
 
 
 @query("SELECT doc_id, [trim(regexp_replace(line, '^\\s+|\\s+$', '', 'g')), '', ''] AS padded, ['a', 'b' || chr(10) || '---BLOCK_SEPARATOR---' || chr(10) || 'c'] AS merged FROM doc_lines")
@@ -359,3 +359,14 @@ def glyph_row_blocks(t):
 @query("SELECT doc_id, page, pos AS element, 'text' AS type, x, y, width, height, 1.0::DOUBLE AS confidence FROM blocks WHERE page = 1")
 def rule_layout(t):
     return layout.text_layout(t.blocks.filter("page = 1"))
+
+
+@query("""
+WITH r AS (SELECT doc_id, page, pos, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE x END AS x, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE y END AS y FROM blocks),
+w AS (SELECT *, bool_or(x > 0 OR y > 0) OVER (PARTITION BY doc_id, page) AS placed, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS line FROM r)
+SELECT doc_id, page, pos, CAST(CASE WHEN placed THEN x ELSE 50 END AS DOUBLE) AS x, CAST(CASE WHEN placed THEN y ELSE 750 - 15 * (line - 1) END AS DOUBLE) AS y FROM w
+""")
+def glyph_run_fallback(t):
+    lost = F.col("doc_id") % 4 == 0
+    runs = t.blocks.withColumns({c: F.when(lost, 0.0).otherwise(F.col(c)) for c in ("x", "y")})
+    return layout.placed_runs(runs).select("doc_id", "page", "pos", "x", "y")
