@@ -142,12 +142,16 @@ def is_text_pages(blocks: DataFrame, pages: int = 3) -> DataFrame:
     )
 
 
-def placed_runs(runs: DataFrame) -> DataFrame:
-    """``runs`` with usable positions: where no run of a page has one, its runs are stacked in order as lines of their own."""
+def placed_runs(runs: DataFrame, width: float = 612.0, height: float = 792.0, margin: float = 72.0) -> DataFrame:
+    """``runs`` with usable boxes: where no run of a page has a position, its runs are stacked from the top.
+
+    A stacked run is as wide as the page's text, and as high as its bytes take
+    at 80 to a line and 50 lines to a page.
+    """
     page = W.partitionBy("doc_id", "page")
     placed = F.bool_or((F.col("x") > 0) | (F.col("y") > 0)).over(page)
-    line = F.row_number().over(page.orderBy("pos"))
-    rows = runs.withColumns({"placed": placed, "line": line})
-    return rows.withColumns(
-        {"x": F.when(F.col("placed"), F.col("x")).otherwise(50.0), "y": F.when(F.col("placed"), F.col("y")).otherwise(750.0 - 15.0 * (F.col("line") - 1))}
-    ).drop("placed", "line")
+    own = F.greatest(F.octet_length("text"), F.lit(80)).cast("long")
+    rows = runs.withColumns({"placed": placed, "own": own, "so_far": F.sum(own).over(page.orderBy("pos"))})
+    line = height / 50
+    stacked = {"x": F.lit(margin), "y": height - margin - F.col("so_far") / 80.0 * line, "width": F.lit(width - 2 * margin), "height": F.col("own") / 80.0 * line}
+    return rows.withColumns({c: F.when(F.col("placed"), F.col(c)).otherwise(v) for c, v in stacked.items()}).drop("placed", "own", "so_far")

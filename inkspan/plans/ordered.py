@@ -83,10 +83,8 @@ def recovery_report(t):
 
 @query("SELECT category, count(*) AS papers FROM (SELECT 'cat' || doc_id % 64 AS category FROM papers) GROUP BY category")
 def category_dimension(t):
-    from inkspan.functions.nested import categories
-
     named = t.papers.select(F.concat(F.lit("cat"), (F.col("doc_id") % 64).cast("string")).alias("category"))
-    return named.join(F.broadcast(categories(t.spark, 64)), "category", "left_semi").groupBy("category").agg(F.count("*").alias("papers"))
+    return named.join(F.broadcast(nested.categories(t.spark, 64)), "category", "left_semi").groupBy("category").agg(F.count("*").alias("papers"))
 
 
 @query(r"""

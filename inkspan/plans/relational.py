@@ -362,11 +362,12 @@ def rule_layout(t):
 
 
 @query("""
-WITH r AS (SELECT doc_id, page, pos, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE x END AS x, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE y END AS y FROM blocks),
-w AS (SELECT *, bool_or(x > 0 OR y > 0) OVER (PARTITION BY doc_id, page) AS placed, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS line FROM r)
-SELECT doc_id, page, pos, CAST(CASE WHEN placed THEN x ELSE 50 END AS DOUBLE) AS x, CAST(CASE WHEN placed THEN y ELSE 750 - 15 * (line - 1) END AS DOUBLE) AS y FROM w
+WITH r AS (SELECT doc_id, page, pos, width, height, greatest(strlen(text), 80) AS own, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE x END AS x, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE y END AS y FROM blocks),
+w AS (SELECT *, bool_or(x > 0 OR y > 0) OVER (PARTITION BY doc_id, page) AS placed, CAST(sum(own) OVER (PARTITION BY doc_id, page ORDER BY pos) AS BIGINT) AS so_far FROM r)
+SELECT doc_id, page, pos, CASE WHEN placed THEN x ELSE 72 END AS x, CASE WHEN placed THEN y ELSE 720::DOUBLE - so_far / 80.0::DOUBLE * 15.84::DOUBLE END AS y,
+  CASE WHEN placed THEN width ELSE 468 END AS width, CASE WHEN placed THEN height ELSE own / 80.0::DOUBLE * 15.84::DOUBLE END AS height FROM w
 """)
 def glyph_run_fallback(t):
     lost = F.col("doc_id") % 4 == 0
     runs = t.blocks.withColumns({c: F.when(lost, 0.0).otherwise(F.col(c)) for c in ("x", "y")})
-    return layout.placed_runs(runs).select("doc_id", "page", "pos", "x", "y")
+    return layout.placed_runs(runs).select("doc_id", "page", "pos", "x", "y", "width", "height")
