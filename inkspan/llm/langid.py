@@ -180,8 +180,9 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", m
     """Models from rows with a language; null languages and texts without a letter teach nothing.
 
     The sample is bounded: a language's texts are drawn whole, by their hash, at
-    the rate that gives ``max_chars`` on average. Every tenth drawn text is held
-    back to set the language's rejection limit. None if there is no usable row.
+    the rate that gives ``max_chars`` on average; copies of a drawn text count
+    once. Every tenth drawn text is held back to set the language's rejection
+    limit. None if there is no usable row.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter(r"lang is not null and text rlike '\\p{L}'").withColumn("draw", F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1_000_000)))
@@ -191,7 +192,7 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", m
     rate = F.lit(0)
     for lang, n in sizes.items():
         rate = F.when(F.col("lang") == lang, int(min(1.0, max_chars / n) * 1_000_000)).otherwise(rate)
-    drawn = rows.filter(F.col("draw") < rate)
+    drawn = rows.filter(F.col("draw") < rate).select("lang", "text").distinct()
     held = F.pmod(F.xxhash64("text", F.lit("held")), F.lit(10)) == 0
     counts = drawn.filter(~held).groupBy("lang").applyInPandas(_count, "lang string, grams binary, counts binary").collect()
     fitted = {r["lang"]: (np.frombuffer(r["grams"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in counts}
