@@ -92,17 +92,37 @@ def _probes(number: int, shift: int, width: int, ball: int):
     return F.transform(flips, lambda flip: F.struct(F.lit(number).alias("segment"), own.bitwiseXOR(flip).alias("at")))
 
 
-def hamming_links(classes: DataFrame, key: str, value: str = "fingerprint", radius: int = 4, count: int = 3) -> DataFrame:
-    """All pairs ``(a, b)``, a < b, of keys whose fingerprints differ in at most ``radius`` bits.
+def midpoint_links(classes: DataFrame, key: str, value: str = "fingerprint") -> DataFrame:
+    """Links ``(a, b)`` that connect every two keys whose fingerprints differ in at most two bits.
+
+    Such fingerprints share a point at most one bit from either, so each key
+    names its fingerprint and the 64 points around it, and links to the least
+    key that names the same point: rows grow with the keys, not with their
+    pairs, and a point has 65 keys at most.
+    """
+    rows = classes.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
+    flips = F.array(*[F.lit(x - (x >> (BITS - 1) << BITS)).cast("long") for x in _ball(BITS, 1)])
+    points = rows.select(F.col(key).alias("a"), F.col(value).alias("f"), F.explode(flips).alias("flip"))
+    points = points.select("a", F.col("f").bitwiseXOR(F.col("flip")).alias("point"))
+    named = points.groupBy("point").agg(F.min("a").alias("b"), F.max("a").alias("most"))
+    shared = named.filter("b <> most").select("point", "b")
+    return points.join(shared, "point").filter("a <> b").select("a", "b").distinct()
+
+
+def hamming_links(classes: DataFrame, key: str, value: str = "fingerprint", radius: int = 4, count: int = 3, group: str | None = None) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of keys whose fingerprints differ in at most ``radius`` bits.
 
     ``classes`` has one row per distinct key. Each pair comes out once: from the
     first segment whose ball holds it. Null keys or fingerprints have no links.
+    With ``group``, a column that tells what is connected already, the pairs are
+    distinct pairs of different groups instead.
     """
     parts = segments(radius, count)
-    rows = classes.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("f"))
-    table = rows.select("k", "f", F.posexplode(F.array(*[_segment(F.col("f"), s, w) for s, w, _ in parts])).alias("segment", "at"))
+    rows = classes.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
+    rows = rows.select(F.col(key).alias("k"), F.col(value).alias("f"), F.col(group or key).alias("g"))
+    table = rows.select("k", "f", "g", F.posexplode(F.array(*[_segment(F.col("f"), s, w) for s, w, _ in parts])).alias("segment", "at"))
     probes = F.flatten(F.array(*[_probes(i, *part) for i, part in enumerate(parts)]))
-    probed = rows.select("k", "f", F.inline(probes))
+    probed = rows.select("k", "f", "g", F.inline(probes))
     a, b = probed.alias("a"), table.alias("b")
     differing = F.col("a.f").bitwiseXOR(F.col("b.f"))
     first = F.lit(None).cast("int")
@@ -113,9 +133,12 @@ def hamming_links(classes: DataFrame, key: str, value: str = "fingerprint", radi
         (F.col("a.segment") == F.col("b.segment"))
         & (F.col("a.at") == F.col("b.at"))
         & (F.col("a.k") < F.col("b.k"))
+        & (F.col("a.g") != F.col("b.g"))
         & (F.bit_count(differing) <= radius)
         & (first == F.col("a.segment")),
     )
+    if group:
+        return joined.select(F.least("a.g", "b.g").alias("a"), F.greatest("a.g", "b.g").alias("b")).distinct()
     return joined.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
 
 
@@ -127,17 +150,25 @@ def near_duplicates(
     Documents link when their fingerprints differ in at most ``radius`` bits;
     ``component_id`` is the smallest id reachable by links, itself included.
     Equal fingerprints are one class before any search, so a group of copies
-    costs one row in it. Null and wordless texts have fingerprint zero and link
+    costs one row in it. Classes at most two bits apart are connected first by
+    the points they share, so a large group of near copies is mostly one
+    component before the multi-index search, which then emits links between
+    different components only. Null and wordless texts have fingerprint zero and link
     like any other. Rows without an id are kept, with the component that their
     fingerprint has, or null if no row of it has an id. Repeated ids count once
     per row. An empty table gives an empty result; other columns are not read.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = materialise(prints.groupBy("fingerprint").agg(F.min(id_col).alias("rep")), "classes")
-    labels = connected_components(hamming_links(classes, "rep", radius=radius, count=segment_count), "a", "b")
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").select(
-        "fingerprint", F.coalesce("component", "rep").alias("component_id")
-    )
+    if radius >= 2:
+        near = connected_components(midpoint_links(classes, "rep"), "a", "b")
+        classes = classes.join(near, F.col("rep") == F.col("node"), "left").select("fingerprint", "rep", F.coalesce("component", "rep").alias("near"))
+        classes = materialise(classes, "classes")
+    else:
+        classes = classes.withColumn("near", F.col("rep"))
+    links = hamming_links(classes, "rep", radius=radius, count=segment_count, group="near")
+    labels = connected_components(links, "a", "b")
+    named = classes.join(labels, F.col("near") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "near").alias("component_id"))
     return prints.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 

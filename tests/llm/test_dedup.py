@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkspan.llm.components import connected_components
 from inkspan.llm.exact_dedup import deduplicate, mark_duplicates
-from inkspan.llm.simhash import fingerprint, hamming_links, keep_representatives, near_duplicates, segments
+from inkspan.llm.simhash import fingerprint, hamming_links, keep_representatives, midpoint_links, near_duplicates, segments
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string"
@@ -100,6 +100,28 @@ def test_links_are_all_pairs_within_the_radius(spark):
     assert found == {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if bin(prints[i] ^ prints[j]).count("1") <= 4}
 
 
+def test_midpoints_connect_all_pairs_within_two_bits(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 20, dtype=np.uint64)
+    prints = {int(b) for b in base} | {0, 2**64 - 1, 2**63, 1, 3}
+    for b in base.tolist():
+        for _ in range(8):
+            prints.add(b ^ sum(1 << int(x) for x in rng.choice(64, rng.integers(1, 5), replace=False)))
+    prints = sorted(prints)
+    near = {i: i for i in range(len(prints))}
+    pairs = [(i, j) for i in near for j in near if i < j and bin(prints[i] ^ prints[j]).count("1") <= 2]
+    for _ in prints:
+        for i, j in pairs:
+            near[i] = near[j] = min(near[i], near[j])
+    rows = spark.createDataFrame([(i, int(np.uint64(p).astype(np.int64))) for i, p in enumerate(prints)], "rep long, fingerprint long")
+    found = {r.node: r.component for r in connected_components(midpoint_links(rows, "rep"), "a", "b").collect()}
+    assert found == {i: c for i, c in near.items() if any(i in p for p in pairs)}
+    grouped = rows.withColumn("near", F.create_map(*[F.lit(x) for kv in near.items() for x in kv])[F.col("rep")].cast("long"))
+    links = {(r.a, r.b) for r in hamming_links(grouped, "rep", group="near").collect()}
+    wanted = {tuple(sorted((near[i], near[j]))) for i in near for j in near if i < j and bin(prints[i] ^ prints[j]).count("1") <= 4 and near[i] != near[j]}
+    assert links == wanted
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(150)]
