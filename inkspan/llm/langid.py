@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 ORDER = 4
-#: Characters of training text a language has on average at most, drawn by the text's hash. A bounded sample.
+#: Characters of distinct training texts a language has on average at most, besides its first text. A bounded sample.
 TRAIN_CHARS = 3_000_000
 #: A text counts for this many characters at most where the score is formed.
 SCORE_CHARS = 64
@@ -179,27 +179,29 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
 def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", max_chars: int = TRAIN_CHARS) -> Models | None:
     """Models from rows with a language; null languages and texts without a letter teach nothing.
 
-    The sample is bounded: a language's texts are drawn whole, by their hash, at
-    the rate that gives ``max_chars`` on average; copies of a drawn text count
-    once. Every tenth drawn text is held back to set the language's rejection
-    limit. None if there is no usable row.
+    The sample is bounded: a language's distinct texts are drawn whole, by their
+    hash, at the rate that gives ``max_chars`` on average, however many copies
+    they have. Its text of the lowest hash is always drawn and never held back,
+    so every language has a model; the sample is over ``max_chars`` by that text
+    at most on average. Of the others every tenth is held back to set the
+    language's rejection limit; without one nothing is rejected. None if there
+    is no usable row.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.filter(r"lang is not null and text rlike '\\p{L}'").withColumn("draw", F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1_000_000)))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(F.length("text"))).collect()}
+    rows = rows.filter(r"lang is not null and text rlike '\\p{L}'").withColumn("hash", F.xxhash64("text", F.lit("langid")))
+    rows = rows.withColumn("draw", F.pmod("hash", F.lit(1_000_000)))
+    texts = rows.groupBy("lang", "hash", "draw").agg(F.first(F.length("text")).alias("chars"))
+    sizes = texts.groupBy("lang").agg(F.sum("chars"), F.min(F.struct("draw", "hash"))["hash"]).collect()
     if not sizes:
         return None
-    rate = F.lit(0)
-    for lang, n in sizes.items():
+    rate, lowest = F.lit(0), F.lit(None)
+    for lang, n, least in sizes:
         rate = F.when(F.col("lang") == lang, int(min(1.0, max_chars / n) * 1_000_000)).otherwise(rate)
-    drawn = rows.filter(F.col("draw") < rate).select("lang", "text").distinct()
-    held = F.pmod(F.xxhash64("text", F.lit("held")), F.lit(10)) == 0
+        lowest = F.when(F.col("lang") == lang, least).otherwise(lowest)
+    drawn = rows.withColumn("first", F.col("hash") == lowest).filter((F.col("draw") < rate) | F.col("first")).select("lang", "text", "first").distinct()
+    held = (F.pmod(F.xxhash64("text", F.lit("held")), F.lit(10)) == 0) & ~F.col("first")
     counts = drawn.filter(~held).groupBy("lang").applyInPandas(_count, "lang string, grams binary, counts binary").collect()
     fitted = {r["lang"]: (np.frombuffer(r["grams"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in counts}
-    if not fitted:  # so few texts that all were held back
-        held = F.lit(False)
-        counts = drawn.groupBy("lang").applyInPandas(_count, "lang string, grams binary, counts binary").collect()
-        fitted = {r["lang"]: (np.frombuffer(r["grams"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in counts}
     models = Models(fitted)
     scored = predict(drawn.filter(held), models, "text").groupBy("lang_pred")
     for lang, limit in scored.agg(F.percentile_approx("entropy", ACCEPTED, 10_000)).collect():

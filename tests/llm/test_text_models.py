@@ -185,3 +185,21 @@ def test_extraction_operator(spark):
     assert sorted((r.page_id, r.n_chars) for r in found) == [(1, 64), (2, 0), (3, 0), (3, 299_999)]
     assert all(r.n_chars == len(r.text) for r in found)
     assert extract_text(spark.createDataFrame([], "page_id long, html string"), Model({}, [[0, 0], [0, 0]])).count() == 0
+
+
+def test_every_language_is_learned_from_copies_or_a_few_long_texts(spark):
+    def text(lang, i, n):
+        letters = "abcdefghijklmnopqrstuvwxyzäöüßéèêçñåøæ"[lang * 4 : lang * 4 + 6]
+        rng = np.random.default_rng(lang * 1000 + i)
+        return "".join(letters[x] if x < 6 else " " for x in rng.integers(0, 7, n))
+
+    copies = [(f"copies{k}", text(k, i, 500)) for k in range(4) for i in range(20) for _ in range(100)]
+    long = [(f"long{k}", text(4 + k, i, 40_000)) for k in range(4) for i in range(4)]
+    plain = [("plain", text(8, i, 300)) for i in range(30)]
+    rows = spark.createDataFrame(copies + long + plain, "lang string, text string")
+    models = langid.train(rows, max_chars=20_000)
+    assert models.langs == sorted({x for x, _ in copies + long + plain})
+    fresh = {f"copies{k}": text(k, 99, 400) for k in range(4)} | {f"long{k}": text(4 + k, 99, 400) for k in range(4)} | {"plain": text(8, 99, 400)}
+    assert {x: models.predict(t)[0] for x, t in fresh.items()} == {x: x for x in fresh}
+    taught = langid.train(rows.filter("lang like 'copies%'"), max_chars=20_000)
+    assert all(np.isfinite(x) for x in taught.limits.values())  # 20 distinct texts are within the bound: all are drawn, some held back
