@@ -24,11 +24,13 @@ END = 0
 GROUP = 512
 #: No cut leaves a piece shorter than this, unless a document is.
 LEAST_CUT = 16
+#: Strings that are one id wherever a text holds them, as the vocabulary's ``tokenizers`` file has it.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
-    """Byte-level BPE from a rank file; special tokens' strings in a text are ordinary text."""
+    """Byte-level BPE from a rank file; special strings are single ids where ``allowed_special`` says so."""
     import base64
 
     import public_tokenizers
@@ -36,7 +38,7 @@ def tokenizer(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def difference(lengths: list[int], windows: int) -> list[list[int]]:
@@ -151,7 +153,7 @@ def _rows(batches, path: str, capacity: int, names: list[str]):
     for got in batches:
         kinds = [got.column(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         for doc, text in zip(got.column(0).to_pylist(), got.column(1)):
-            tokens = np.append(encode.encode_to_numpy(text.as_py() or "", disallowed_special=()), np.uint32(END)).astype(np.uint32)
+            tokens = np.append(encode.encode_to_numpy(text.as_py() or "", allowed_special="all"), np.uint32(END)).astype(np.uint32)
             whole = len(tokens) // capacity * capacity
             for start in range(0, whole, capacity):
                 emit([(doc, tokens[start : start + capacity], start, len(tokens))])

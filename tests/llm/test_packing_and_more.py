@@ -91,6 +91,17 @@ def test_packing_edge_cases(spark):
     assert packing.pack_documents(spark.createDataFrame([], DOCS), ranks_path()).count() == 0
 
 
+def test_special_strings_get_the_ids_of_the_json_tokenizer(spark):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x  <|endoftext|>  y\n", "<|endoftext|", "<|ENDOFTEXT|> <|endoftext|>s", "don't<|endoftext|>'ll", "q " * 2000 + "<|endoftext|>"]
+    found = defaultdict(list)
+    for p in packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), DOCS), ranks_path()).collect():
+        found[p.doc_id].append((p.start, np.frombuffer(p.ids, "<u4").tolist(), p.doc_tokens))
+    for i, t in enumerate(texts):
+        ids = [x for _, part, _ in sorted(found[i]) for x in part]
+        assert ids == plain.encode(t, add_special_tokens=False).ids + [0] and {n for *_, n in found[i]} == {len(ids)}, t
+
+
 def test_lookup_table_is_even_and_stable():
     names = [f"s{i}" for i in range(10)]
     table = lookup_table(names, 1009)
