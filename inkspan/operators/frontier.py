@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def expand(edges: DataFrame, start: DataFrame, depth: int = 20) -> DataFrame:
-    """Rows ``(root, node, depth)``: every node within ``depth`` edges of a root, at its least depth.
+def expand(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """Rows ``(root, node, depth)``: every node that a root reaches, at its least depth.
+
+    With ``depth``, only nodes within that many edges; without, rounds go on
+    until nothing new is found, which cycles do not prevent.
 
     Rounds join only the pairs that the last round found; each round is cut off
     from the ones before by a checkpoint, and an empty frontier ends it.
@@ -20,7 +25,7 @@ def expand(edges: DataFrame, start: DataFrame, depth: int = 20) -> DataFrame:
     steps = edges.select(F.col("parent").alias("node"), F.col("child").alias("next")).distinct()
     frontier = start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     found = frontier
-    for at in range(1, depth + 1):
+    for at in count(1) if depth is None else range(1, depth + 1):
         reached = frontier.join(steps, "node").select("root", F.col("next").alias("node"), F.lit(at).alias("depth")).distinct()
         frontier = reached.join(found.select("root", "node"), ["root", "node"], "left_anti").checkpoint()
         if frontier.isEmpty():

@@ -251,6 +251,12 @@ def include_closure(t):
     return frontier.expand(t.include_edges, start, depth=6)
 
 
+@query()
+def include_closure_whole(t):
+    start = t.include_edges.select(F.col("parent").alias("root")).distinct()
+    return frontier.expand(t.include_edges, start)
+
+
 IOU = """CASE WHEN least(b.x + b.width, e.x + e.width) < greatest(b.x, e.x) OR least(b.y + b.height, e.y + e.height) < greatest(b.y, e.y) THEN 0 ELSE
   (least(b.x + b.width, e.x + e.width) - greatest(b.x, e.x)) * (least(b.y + b.height, e.y + e.height) - greatest(b.y, e.y)) /
   (b.width * b.height + e.width * e.height - (least(b.x + b.width, e.x + e.width) - greatest(b.x, e.x)) * (least(b.y + b.height, e.y + e.height) - greatest(b.y, e.y))) END"""
