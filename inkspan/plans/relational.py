@@ -367,6 +367,11 @@ def rule_layout(t):
     return layout.text_layout(t.blocks.filter("page = 1"))
 
 
+@query("SELECT doc_id, page, pos AS element, 'text' AS type, x, y, width, height, 1.0::DOUBLE AS confidence FROM blocks")
+def rule_layout_pages(t):
+    return layout.text_layout(t.blocks)
+
+
 @query("""
 WITH r AS (SELECT doc_id, page, pos, width, height, greatest(strlen(text), 80) AS own, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE x END AS x, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE y END AS y FROM blocks),
 w AS (SELECT *, bool_or(x > 0 OR y > 0) OVER (PARTITION BY doc_id, page) AS placed, CAST(sum(own) OVER (PARTITION BY doc_id, page ORDER BY pos) AS BIGINT) AS so_far FROM r)
