@@ -19,9 +19,10 @@ def expand(edges: DataFrame, start: DataFrame, depth: int | None = None) -> Data
     """
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkspan-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder)
     steps = edges.select(F.col("parent").alias("node"), F.col("child").alias("next")).distinct()
     frontier = start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     found = frontier

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -16,6 +17,7 @@ def spark():
         .config("spark.default.parallelism", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-inkspan-"))
         .config("spark.driver.memory", "6g")
         .getOrCreate()
     )
