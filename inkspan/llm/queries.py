@@ -88,8 +88,48 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+#: Tools of the derived calls: argument, type and whether it is required. ``sum`` has none.
+TOOLS = ["search", "fetch", "sum"]
+TOOL_SCHEMAS = [("search", "query", "string", True), ("search", "limit", "integer", False), ("search", "options", "object", False), ("fetch", "query", "string", True), ("fetch", "limit", "number", True)]
+#: Arguments of the derived calls as written, and their canonical form; ``@`` stands for a number.
+ARGUMENTS = [
+    ('{"query": "q@", "limit": @}', '{"limit":@,"query":"q@"}'),
+    ('{"query": "q@", "limit": "@"}', '{"limit":"@","query":"q@"}'),
+    ('{ "limit":3 }', '{"limit":3}'),
+    ("not json @", '{"raw":"not json @"}'),
+    ("[1, @]", "[1,@]"),
+    ('{"query": "q@", "limit": @.5, "extra": null}', '{"extra":null,"limit":@.5,"query":"q@"}'),
+    ('{"query": "q@", "options": {"b": [true, null], "a": "@"}}', '{"options":{"a":"@","b":[true,null]},"query":"q@"}'),
+]
+
+
+def tool_events(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results read from a conversation's own rows, as the table has no tool traffic.
+
+    Every assistant message makes one call; four in five build on the call two
+    turns before. Every user message answers the call before it; each fourth one
+    claims an earlier turn, and the first one answers no call.
+    """
+    k = F.col("conv_id") + F.col("turn")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(k, F.lit(len(values))) + 1).cast("int"))
+    said = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    calls = said.filter("role = 'assistant'").select(
+        "conv_id", "turn", F.concat(F.lit("c"), F.col("turn")).alias("call_id"), pick(TOOLS).alias("name"),
+        F.replace(pick([a for a, _ in ARGUMENTS]), F.lit("@"), F.pmod(k, F.lit(97)).cast("string")).alias("arguments"),
+        F.when(k % 5 != 0, F.concat(F.lit("c"), F.col("turn") - 2)).alias("after_id"),
+    )
+    results = said.filter("role = 'user'").select(
+        "conv_id", F.when(k % 4 == 0, F.col("turn") - 3).otherwise(F.col("turn")).alias("turn"), F.concat(F.lit("c"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content")
+    )
+    return calls, results
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_chat(_table(spark, sf_dir, "conversations")).select("conv_id", "seq", "turn", "kind", "role", "json")
+    messages = _table(spark, sf_dir, "conversations")
+    calls, results = tool_events(messages)
+    schemas = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x) for x in row]) for row in TOOL_SCHEMAS]))).toDF("name", "key", "type", "required")
+    events = format_chat(messages, calls, results, schemas)
+    return events.select("conv_id", "seq", "turn", "kind", "role", "call_id", "depth", "linked", F.array_join("errors", "; ").alias("errors"), "json")
 
 
 QUERIES = {
@@ -130,13 +170,57 @@ FROM d JOIN t USING (slot)
 """
 
 
-OP10_SQL = """
-WITH m AS (SELECT conv_id, turn, role, to_json({'content': text, 'role': role}) AS json FROM conversations)
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, CAST(json AS VARCHAR)) - 1 AS seq, turn,
-       'message' AS kind, role, CAST(json AS VARCHAR) AS json
-FROM m
+def op10_sql() -> str:
+    """Links by recursion over chains, order by window, checks by DuckDB's JSON functions."""
+    quoted = lambda values: ", ".join("'" + v + "'" for v in values)
+    schemas = ", ".join(f"('{n}', '{k}', '{t}', {str(r).lower()})" for n, k, t, r in TOOL_SCHEMAS)
+    n, pick = "CAST(k % 97 AS VARCHAR)", f"[CAST(k % {len(ARGUMENTS)} AS INTEGER) + 1]"
+    return f"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, conv_id + turn AS k FROM conversations),
+schemas(name, key, type, required) AS (VALUES {schemas}),
+calls AS (
+  SELECT conv_id, turn, 'c' || turn AS call_id, ([{quoted(TOOLS)}])[CAST(k % {len(TOOLS)} AS INTEGER) + 1] AS name,
+    replace(([{quoted(a for a, _ in ARGUMENTS)}]){pick}, '@', {n}) AS arguments, replace(([{quoted(c for _, c in ARGUMENTS)}]){pick}, '@', {n}) AS canonical,
+    CASE WHEN k % 5 <> 0 THEN 'c' || (turn - 2) END AS after_id FROM m WHERE role = 'assistant'),
+results AS (
+  SELECT conv_id, CASE WHEN k % 4 = 0 THEN turn - 3 ELSE turn END AS turn, 'c' || (turn - 1) AS call_id, text AS content FROM m WHERE role = 'user'),
+given AS (SELECT conv_id, call_id, max(turn) AS result_turn FROM results GROUP BY ALL),
+nodes AS (
+  SELECT conv_id, call_id, call_turn, after_id, greatest(last_turn, coalesce(result_turn, last_turn)) AS settled FROM (
+    SELECT conv_id, call_id, min(turn) AS call_turn, max(turn) AS last_turn, min(after_id) AS after_id FROM calls GROUP BY conv_id, call_id) LEFT JOIN given USING (conv_id, call_id)),
+chain AS (
+  SELECT a.conv_id, a.call_id, b.after_id AS up, b.settled AS due, 1 AS depth FROM nodes a JOIN nodes b ON a.conv_id = b.conv_id AND a.after_id = b.call_id
+  UNION ALL SELECT a.conv_id, a.call_id, b.after_id, b.settled, a.depth + 1 FROM chain a JOIN nodes b ON a.conv_id = b.conv_id AND a.up = b.call_id),
+placed AS (
+  SELECT conv_id, call_id, call_turn, due, coalesce(depth, 0) AS depth FROM nodes LEFT JOIN (
+    SELECT conv_id, call_id, max(due) AS due, max(depth) AS depth FROM chain GROUP BY conv_id, call_id) USING (conv_id, call_id)),
+checked AS (
+  SELECT conv_id, call_id, name, CASE WHEN json_valid(arguments) THEN arguments::JSON END AS j FROM calls),
+sound AS (SELECT * FROM checked WHERE json_type(j) = 'OBJECT'),
+typed AS (
+  SELECT conv_id, call_id, key, type, required, CASE json_type(j, '$.' || key) WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer'
+    WHEN 'DOUBLE' THEN 'number' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN 'null' END AS given FROM sound JOIN schemas USING (name)),
+errors AS (
+  SELECT conv_id, call_id, string_agg(DISTINCT error, '; ' ORDER BY error) AS errors FROM (
+    SELECT conv_id, call_id, 'arguments are not an object' AS error FROM checked WHERE coalesce(json_type(j), '') <> 'OBJECT'
+    UNION ALL SELECT conv_id, call_id, 'tool has no schema' FROM calls WHERE name NOT IN (SELECT name FROM schemas)
+    UNION ALL SELECT conv_id, call_id, 'missing ' || key FROM typed WHERE required AND given IS NULL
+    UNION ALL SELECT conv_id, call_id, key || ' is ' || given || ', not ' || type FROM typed WHERE given <> type AND NOT (type = 'number' AND given = 'integer')) GROUP BY conv_id, call_id),
+events AS (
+  SELECT conv_id, turn, 0 AS level, NULL AS call_id, role, NULL AS linked, NULL AS errors, CAST(to_json({{'content': text, 'role': role}}) AS VARCHAR) AS json FROM m
+  UNION ALL
+  SELECT c.conv_id, greatest(turn, coalesce(due, turn)), 1 + 2 * depth, c.call_id, 'assistant', g.call_id IS NOT NULL, coalesce(errors, ''),
+    '{{"arguments":' || canonical || ',"id":"' || c.call_id || '","name":"' || name || '","type":"call"}}'
+  FROM calls c JOIN placed USING (conv_id, call_id) LEFT JOIN given g USING (conv_id, call_id) LEFT JOIN errors USING (conv_id, call_id)
+  UNION ALL
+  SELECT r.conv_id, greatest(turn, coalesce(call_turn, turn), coalesce(due, turn)), 2 + 2 * coalesce(depth, 0), r.call_id, 'tool', p.call_id IS NOT NULL, NULL,
+    CAST(to_json({{'content': content, 'id': r.call_id, 'type': 'result'}}) AS VARCHAR)
+  FROM results r LEFT JOIN placed p USING (conv_id, call_id))
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, level, call_id NULLS FIRST, role NULLS FIRST, json) - 1 AS seq, turn,
+  CASE WHEN level = 0 THEN 'message' WHEN level % 2 = 1 THEN 'call' ELSE 'result' END AS kind, role, call_id,
+  CASE WHEN level > 0 THEN (level - 1) // 2 END AS depth, linked, errors, json FROM events
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": op1_sql(), "op3_exact_dedup": OP3_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_sharding": op1_sql(), "op3_exact_dedup": OP3_SQL, "op10_chat_format": op10_sql()}

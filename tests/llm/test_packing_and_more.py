@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from inkspan.llm import chat, packing, url_filter
-from inkspan.llm.queries import URL_RULES, op4_packing, op8_url_filter, ranks_path
+from inkspan.llm.queries import URL_RULES, op4_packing, op8_url_filter, op10_chat_format, ranks_path
 from inkspan.llm.sharding import assign_shards, lookup_table, write_shards
 
 SF = "/root/testdata/sf0.01"
@@ -202,6 +202,68 @@ def test_chat_links_orders_and_validates(spark):
     assert chat.format_chat(messages.limit(0)).count() == 0
 
 
+def plain_order(calls, results):
+    """Due turn and depth of each call, by walking its chain; None where the chain goes round in a circle."""
+    own = {i: t for t, i, _ in calls}
+    parent = {i: p for _, i, p in calls}
+    settled = {i: max([own[i], *[t for t, j in results if j == i]]) for i in own}
+    placed = {}
+    for i in own:
+        seen, due, at = [], None, parent[i]
+        while at in own and at not in seen:
+            seen.append(at)
+            due = settled[at] if due is None else max(due, settled[at])
+            at = parent[at]
+        placed[i] = None if at in own else (due, len(seen))
+    return placed
+
+
+def test_chains_of_calls_match_a_plain_walk(spark):
+    rng = random.Random(11)
+    calls = [(rng.randint(0, 40), f"c{i}", rng.choice([None, "gone", f"c{rng.randint(0, 79)}", f"c{max(0, i - 1)}"])) for i in range(80)]
+    calls += [(5, f"d{i}", f"d{i - 1}") for i in range(50)]
+    rng.shuffle(calls)
+    results = [(rng.randint(0, 60), rng.choice(calls)[1]) for _ in range(90)]
+    wanted = plain_order(calls, results)
+    events = chat.format_chat(
+        spark.createDataFrame([], "conv_id long, turn long, role string, text string"),
+        spark.createDataFrame([(1, t, i, "get", "{}", p) for t, i, p in calls], chat.CALLS + ", after_id string"),
+        spark.createDataFrame([(1, t, i, "r") for t, i in results], chat.RESULTS),
+        spark.createDataFrame([("get", None, None, None)], chat.SCHEMAS),
+    ).collect()
+    own = {i: t for t, i, _ in calls}
+    place = {}
+    for r in events:
+        due, depth = wanted[r.call_id] or (None, 0)
+        if r.kind == "call":
+            assert (r.turn, r.depth) == (max(own[r.call_id], -1 if due is None else due), depth)
+            assert r.errors == ([] if wanted[r.call_id] else ["depends on itself"])
+        place.setdefault((r.kind, r.call_id), []).append(r.seq)
+    assert sorted(r.seq for r in events) == list(range(len(events))) and None in wanted.values() and max(w[1] for w in wanted.values() if w) >= 49
+    for (kind, i), at in place.items():
+        if kind == "result":
+            assert min(at) > place["call", i][0]
+    for _, i, p in calls:
+        if p in own and wanted[i]:
+            assert place["call", i][0] > max(place["call", p] + place.get(("result", p), []))
+
+
+def test_chat_query_links_and_rejects(spark):
+    found = op10_chat_format(spark, "/root/testdata/sf0.001").collect()
+    kinds = Counter(r.kind for r in found)
+    assert min(kinds["message"], kinds["call"], kinds["result"]) > 0 and max(r.depth or 0 for r in found) >= 2
+    assert {r.linked for r in found if r.kind == "call"} == {True, False} and len({r.errors for r in found if r.kind == "call"}) > 4
+
+
+def test_chat_with_long_texts_and_clashing_columns(spark):
+    messages = spark.createDataFrame([(1, 0, "user", "x" * 300_000, "m")], "conv_id long, turn long, role string, text string, level string").withColumn("depth", F.lit("d"))
+    long_ = '{"a": "' + "y" * 300_000 + '"}'
+    calls = spark.createDataFrame([(1, 1, "a", "get", long_, 1)] * 2, chat.CALLS + ", seq int")
+    results = spark.createDataFrame([(1, None, "a", None)], chat.RESULTS).withColumn("due", F.lit(3))
+    found = chat.format_chat(messages, calls, results).orderBy("seq").collect()
+    assert [r.kind for r in found] == ["message", "call", "call", "result"] and len(found[1].json) > 300_000 and found[3].turn == 1
+
+
 def test_long_conversations_are_numbered_across_stretches(spark):
     turns = list(range(1500)) * 2
     random.Random(0).shuffle(turns)
