@@ -1,10 +1,14 @@
 """Benchmark decontamination by item-sized windows.
 
-A window of a document has as many words as a benchmark item. Its SimHash is
-looked up in a multi-index over the items' fingerprints, whose blocks hold every
-item within the radius, and candidates are verified by the exact weighted
-similarity of the shingle multisets. Windows that share no shingle with any item
-have similarity zero and are passed over before fingerprints are formed.
+A window of a document has as many words as a benchmark item. Postings of the
+items' shingles tell which windows hold enough of an item's shingles for the
+threshold; others cannot reach it and are passed over before fingerprints are
+formed. SimHashes of the windows that are left are held against the item's by
+blocks, one of which agrees up to a small ball wherever the whole distance is
+within the radius, and candidates are verified by the exact weighted similarity
+of the shingle multisets. An item that repeats a shingle weighs it several times
+in its fingerprint, so its distances have no such bound: its windows go straight
+to the exact similarity.
 """
 
 from __future__ import annotations
@@ -58,91 +62,100 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) or len(b) else 0.0
 
 
-class Sized:
-    """Multi-index over the items of one window size."""
+class Item:
+    """A benchmark item: its shingles, and its fingerprint unless a shingle repeats."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], shingle: int, words: int, radius: int, blocks: int):
-        self.items, self.shingle, self.words, self.radius = items, shingle, words, radius
-        self.shingles = max(1, words - shingle + 1)
-        self.prints = np.array([_packed(2 * _bits(h).sum(0, dtype=np.int64)[None, :] > len(h))[0] for _, h in items], np.uint64)
-        self.blocks = []
-        for shift, width, ball in segments(radius, blocks):
-            values = np.arange(1 << width, dtype=np.uint64)
-            own = (self.prints >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-            self.blocks.append((np.uint64(shift), np.uint64((1 << width) - 1), np.bitwise_count(values[:, None] ^ own[None, :]) <= ball))
+    __slots__ = ("name", "words", "hashes", "print")
 
-    def candidates(self, prints: np.ndarray) -> np.ndarray:
-        """(window, item) pairs within the radius: any block's ball holds them, then the whole distance does."""
-        near = np.zeros((len(prints), len(self.items)), bool)
-        for shift, mask, table in self.blocks:
-            near |= table[(prints >> shift) & mask]
-        at = np.argwhere(near)
-        return at[np.bitwise_count(prints[at[:, 0]] ^ self.prints[at[:, 1]]) <= self.radius]
+    def __init__(self, name: int, words: int, hashes: np.ndarray):
+        self.name, self.words, self.hashes = name, words, hashes
+        repeats = len(np.unique(hashes)) < len(hashes)
+        self.print = None if repeats else _packed(2 * _bits(hashes).sum(0, dtype=np.int64)[None, :] > len(hashes))[0]
 
 
 class Index:
-    """Items by window size, with the sorted shingle hashes that select windows."""
+    """Items with the postings of their shingles, as sorted arrays: some 30 bytes for each word of the items."""
 
     def __init__(self, items: list[tuple[int, str]], shingle: int, threshold: float, radius: int, blocks: int):
-        self.shingle, self.threshold = shingle, threshold
-        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for item, text in items:
+        self.threshold, self.radius, self.blocks = threshold, radius, segments(radius, blocks)
+        self.items: dict[int, list[Item]] = {}
+        for name, text in items:
             words = words_of(text)
             if words:
-                by_size.setdefault(len(words), []).append((item, hashes_of(words, shingle)))
-        self.sizes = [Sized(found, min(shingle, n), n, radius, blocks) for n, found in sorted(by_size.items())]
-        self.grams = sorted({s.shingle for s in self.sizes})
-        self.known = {}
-        for gram in self.grams:
-            known = np.unique(np.concatenate([h for s in self.sizes if s.shingle == gram for _, h in s.items]))
-            owners = {}
-            for i, s in enumerate(self.sizes):
-                if s.shingle == gram:
-                    for h in np.unique(np.concatenate([h for _, h in s.items])).tolist():
-                        owners.setdefault(h, []).append(i)
-            self.known[gram] = (known, owners)
+                self.items.setdefault(min(shingle, len(words)), []).append(Item(name, len(words), hashes_of(words, shingle)))
+        self.postings = {}
+        for gram, own in self.items.items():
+            hashes = [np.unique(i.hashes) for i in own]
+            owner = np.repeat(np.arange(len(own), dtype=np.int32), [len(h) for h in hashes])
+            hashes = np.concatenate(hashes)
+            order = np.argsort(hashes, kind="stable")
+            known, starts = np.unique(hashes[order], return_index=True)
+            self.postings[gram] = known, np.append(starts, len(order)), owner[order]
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, float]]:
         """``(item, first word, words, similarity)``: the best window of each item at or over the threshold."""
-        words, best = words_of(text), {}
-        for gram in self.grams:
-            known, owners = self.known[gram]
+        words, found = words_of(text), []
+        for gram, own in self.items.items():
             hashes = hashes_of(words, gram)
             if not len(hashes):
                 continue
-            at = np.searchsorted(known, hashes)
-            at[at == len(known)] = 0
+            known, starts, owners = self.postings[gram]
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             hit = np.flatnonzero(known[at] == hashes)
             if not len(hit):
                 continue
-            places: dict[int, list[int]] = {}
-            for p in hit.tolist():
-                for i in owners[int(hashes[p])]:
-                    places.setdefault(i, []).append(p)
-            for i, at_ in places.items():
-                self._search(self.sizes[i], hashes, np.array(at_), len(words), best)
-        return sorted((item, start, size, score) for item, (score, start, size) in best.items())
-
-    def _search(self, sized: Sized, hashes: np.ndarray, hit: np.ndarray, n_words: int, best: dict) -> None:
-        span = min(sized.shingles, len(hashes))
-        last = len(hashes) - span
+            lengths = starts[at[hit] + 1] - starts[at[hit]]
+            ends = np.cumsum(lengths)
+            holder = owners[np.arange(ends[-1]) + np.repeat(starts[at[hit]] - ends + lengths, lengths)]
+            places = np.repeat(hit, lengths)
+            order = np.argsort(holder, kind="stable")
+            names, firsts = np.unique(holder[order], return_index=True)
+            for i, held in zip(names.tolist(), np.split(places[order], firsts[1:])):
+                best = self._best(own[i], hashes, held)
+                if best:
+                    found.append((own[i].name, best[1], min(own[i].words, len(words)), -best[0]))
+        return self._once(found)
+
+    @staticmethod
+    def _once(found: list) -> list:
+        best = {}
+        for item, start, size, score in found:
+            if item not in best or (-score, start) < (-best[item][3], best[item][1]):
+                best[item] = (item, start, size, score)
+        return sorted(best.values())
+
+    def _best(self, item: Item, hashes: np.ndarray, held: np.ndarray) -> tuple[float, int] | None:
+        """(-similarity, start) of the best window of one item, given the places of its shingles in the text."""
+        span = min(len(item.hashes), len(hashes))
+        due = self.threshold / (1 + self.threshold) * (span + len(item.hashes)) - 1e-6  # shingles in common at the threshold
+        if len(held) < due:
+            return None
+        last, best = len(hashes) - span, None
         cover = np.zeros(last + 2, np.int64)
-        np.add.at(cover, np.clip(hit - span + 1, 0, last), 1)
-        np.add.at(cover, np.minimum(hit, last) + 1, -1)
-        starts = np.flatnonzero(np.cumsum(cover)[: last + 1] > 0)
+        np.add.at(cover, np.clip(held - span + 1, 0, last), 1)
+        np.add.at(cover, np.minimum(held, last) + 1, -1)
+        starts = np.flatnonzero(np.cumsum(cover)[: last + 1] >= due)
         for lo in range(0, len(starts), CHUNK):
             some = starts[lo : lo + CHUNK]
             for run in np.split(some, np.flatnonzero(np.diff(some) > span) + 1):
-                base, end = int(run[0]), int(run[-1]) + span
-                sums = np.zeros((end - base + 1, BITS), np.int32)
-                np.cumsum(_bits(hashes[base:end]), axis=0, dtype=np.int32, out=sums[1:])
-                counts = sums[run - base + span] - sums[run - base]
-                for w, item in sized.candidates(_packed(2 * counts > span)).tolist():
-                    name, own = sized.items[item]
-                    start = int(run[w])
-                    score = similarity(hashes[start : start + span], own)
-                    if score >= self.threshold and (name not in best or (-score, start) < (-best[name][0], best[name][1])):
-                        best[name] = (score, start, min(sized.words, n_words))
+                for start in self._candidates(item, hashes, run, span):
+                    score = similarity(hashes[start : start + span], item.hashes)
+                    if score >= self.threshold and (best is None or (-score, start) < best):
+                        best = (-score, start)
+        return best
+
+    def _candidates(self, item: Item, hashes: np.ndarray, run: np.ndarray, span: int) -> list[int]:
+        """Windows whose fingerprints are within the radius: some block's ball holds them, then the whole distance does."""
+        if item.print is None or not len(run):
+            return run.tolist()
+        base, end = int(run[0]), int(run[-1]) + span
+        sums = np.zeros((end - base + 1, BITS), np.int32)
+        np.cumsum(_bits(hashes[base:end]), axis=0, dtype=np.int32, out=sums[1:])
+        differing = _packed(2 * (sums[run - base + span] - sums[run - base]) > span) ^ item.print
+        near = np.zeros(len(run), bool)
+        for shift, width, ball in self.blocks:
+            near |= np.bitwise_count((differing >> np.uint64(shift)) & np.uint64((1 << width) - 1)) <= ball
+        return run[near & (np.bitwise_count(differing) <= self.radius)].tolist()
 
 
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str, shingle: int, threshold: float, radius: int) -> Iterator[Index]:

@@ -22,8 +22,8 @@ from pyspark.sql.types import StructType
 
 # Element kinds of HTML, and words that names of boilerplate and of content use.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("head title script style noscript template iframe svg canvas object audio video math".split())
-RAW = set("title script style noscript template iframe textarea svg".split())
+UNSEEN = set("head title script style noscript template iframe".split())
+RAW = set("title script style noscript template iframe textarea".split())
 INLINE = set("a abbr b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 BOILERPLATE = set(
     "ad ads adbox advert adverts advertisement banner bar breadcrumb breadcrumbs byline comment comments consent contact cookie cookies copyright disclaimer disqus dropdown footer form gdpr header legal links login masthead menu meta modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup privacy promo promoted recommended related replies reply respond search share sharing side sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets".split()
@@ -58,6 +58,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     runs: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []  # open elements with the block each belongs to
     parts: list[str] = []
+    opened: dict[str, int] = {}  # open elements by tag
+    inline: list[dict[str, int]] = [{}]  # inline ones since each open block, so that an end tag without its start costs no walk
     at, pos, size, in_link = 0, 0, len(page), 0
 
     def end_run() -> None:
@@ -71,12 +73,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nonlocal at, in_link
         while len(stack) > depth:
             tag, block = stack.pop()
+            opened[tag] -= 1
+            if tag in INLINE:
+                inline[-1][tag] -= 1
+            else:
+                inline.pop()
             if tag == "a":
                 in_link = max(0, in_link - 1)
             if block != (stack[-1][1] if stack else 0):
                 end_run()
             at = stack[-1][1] if stack else 0
 
+    def opening(tag: str, block: int) -> None:
+        stack.append((tag, block))
+        opened[tag] = opened.get(tag, 0) + 1
+        if tag in INLINE:
+            inline[-1][tag] = inline[-1].get(tag, 0) + 1
+        else:
+            inline.append({})
+
     def text(value: str) -> None:
         if value and nodes[at].shown:
             value = entities.unescape(value)
@@ -109,6 +124,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         pos, tag = m.end(), m.group(2).lower()
         if m.group(1):
+            if not (inline[-1] if tag in INLINE else opened).get(tag):
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     if tag not in INLINE:
@@ -122,7 +139,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             parts.append(" ")
         if tag in VOID:
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened.get("p"):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
                     close(i)
@@ -131,7 +148,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
         if tag in IMPLIED:
             ends, stops = IMPLIED[tag]
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if any(opened.get(e) for e in ends) else ():
                 if stack[i][0] in ends:
                     close(i)
                     break
@@ -139,16 +156,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
         attrs = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m.group(3))}
         if tag in INLINE and not ({"class", "id", "role", "hidden"} & attrs.keys()):
-            stack.append((tag, at))
+            opening(tag, at)
         else:
             if tag not in INLINE:
                 end_run()
             elif parts:
                 end_run()
-            hidden = "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-            nodes.append(Node(at, tag, attrs, nodes[at].shown and tag not in UNSEEN and not hidden))
+            nodes.append(Node(at, tag, attrs, nodes[at].shown and tag not in UNSEEN))
             at = len(nodes) - 1
-            stack.append((tag, at))
+            opening(tag, at)
         if tag == "a":
             in_link += 1
         if tag in RAW:
@@ -172,7 +188,7 @@ def features(nodes: list[Node], runs: list[tuple[int, str]]) -> list[list[str]]:
             own.append("content name")
         if node.attrs.get("role", "").lower() in ROLES:
             own.append("boilerplate role")
-        if node.attrs.get("aria-hidden") == "true":
+        if node.attrs.get("aria-hidden") == "true" or "hidden" in node.attrs or "display:none" in node.attrs.get("style", "").replace(" ", "").lower():
             own.append("hidden")
         text = [runs[r][1] for r in node.runs]
         length = sum(map(len, text))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +20,10 @@ from inkspan.llm.columns import without
 TREES, DEPTH, RATE, LEAST = 24, 3, 0.4, 8
 #: Labelled URLs that take part in fitting at most, on average. A bounded sample, drawn by the URL's hash.
 TRAIN_ROWS = 20_000
-FEATURES = ("length", "host_length", "depth", "labels", "hyphens", "digit_ratio", "entropy", "parameters", "marked", "suffix_rate")
+FEATURES = ("length", "host_length", "depth", "labels", "hyphens", "digit_ratio", "entropy", "parameters", "suffix_rate")
 
-# Words of hosts that the seed labels call unwanted, and of ordinary ones.
-UNWANTED = "adult ads bet bets bonus casino cheap click crack dating escort farm free gamble hot jackpot loan lottery nude pharma pills poker porn prize promo replica sex slots spam track viagra warez win xxx".split()
-ORDINARY = "arch art atlas blog book bridge city coast craft daily field garden green guide history home house journal lake library light market math museum music nature news north ocean open paper park press river school science stone story studio town travel tree voice water wiki wood world".split()
+# Syllables of made-up hosts and paths, and suffixes; the labelled URLs share them between the classes.
+SYLLABLES = "ba ce di fo gu ha ke li mo nu pa re si to va we zo an el in or us".split()
 SUFFIXES = "com org net info edu io de fr es".split()
 
 
@@ -65,8 +65,6 @@ def features(url: Column, suffix_rates: dict[str, float] | None = None, default_
     suffix, rate = F.regexp_extract(host, r"([^.]*)$", 1), F.lit(default_rate)
     for name, value in sorted((suffix_rates or {}).items()):
         rate = F.when(suffix == name, F.lit(value)).otherwise(rate)
-    tokens = F.split(host, "[.-]")
-    marked = F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in UNWANTED])))
     length = F.length(url)
     return {
         "length": F.floor(length / 10).cast("double"),
@@ -77,35 +75,56 @@ def features(url: Column, suffix_rates: dict[str, float] | None = None, default_
         "digit_ratio": F.round(F.regexp_count(url, F.lit("[0-9]")) / F.greatest(length, F.lit(1)), 1),
         "entropy": F.round(_entropy(host) * 2) / 2,
         "parameters": F.regexp_count(url, F.lit("[?&][^?&#=]+=")).cast("double"),
-        "marked": marked.cast("double"),
         "suffix_rate": F.round(rate, 2),
     }
 
 
-def seed_labels(spark: SparkSession, rows: int = 8_000) -> DataFrame:
-    """Labelled URLs ``(url string, blocked int)`` built by rule from the word lists above.
+#: Chances in percent by class (ordinary, unwanted) of each trait that the labelled URLs are drawn with: value -> chances.
+TRAITS = {
+    "words": {1: (50, 15), 2: (40, 50), 3: (10, 35)},
+    "joint": {"": (93, 10), "-": (7, 90)},
+    "host_digits": {0: (97, 75), 3: (3, 25)},
+    "depth": {1: (20, 25), 2: (40, 30), 3: (25, 20), 4: (15, 15), 6: (0, 10)},
+    "parameters": {0: (60, 45), 1: (20, 15), 2: (19, 15), 4: (1, 25)},
+    "id_digits": {0: (25, 20), 3: (35, 25), 4: (35, 30), 12: (5, 25)},
+    "front": {"": (40, 40), "www.": (30, 15), "m.": (15, 20), "blog.": (15, 25)},
+    "suffix": {"com": (40, 35), "org": (20, 10), "net": (15, 15), "edu": (10, 1), "de": (5, 5), "fr": (5, 4), "info": (3, 20), "io": (2, 10)},
+}
 
-    Unwanted hosts join one or two unwanted words, ordinary ones use ordinary
-    words, some with a hyphen; suffixes, paths and parameters are drawn alike for both.
-    """
 
-    def pick(words: Sequence[str], salt: int) -> Column:
-        return F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
-
-    def draw(salt: int, n: int) -> Column:
-        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
-
-    blocked = draw(1, 3) == 0
-    joint = F.when(blocked, F.when(draw(2, 4) < 3, "-").otherwise("")).otherwise(F.when(draw(2, 8) == 0, "-").otherwise(""))
-    second = F.when(blocked, F.when(draw(3, 2) == 0, pick(UNWANTED, 4)).otherwise(pick(ORDINARY, 5))).otherwise(
-        F.when(draw(3, 2) == 0, pick(ORDINARY, 5)).otherwise("")
-    )
-    name = F.concat(F.when(blocked, pick(UNWANTED, 6)).otherwise(pick(ORDINARY, 7)), F.when(second == "", "").otherwise(joint), second)
-    front = F.element_at(F.array(*[F.lit(x) for x in ("", "www.", "m.", "blog.")]), (draw(8, 4) + 1).cast("int"))
-    tail = F.element_at(F.array(*[F.lit(x) for x in ("", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top")]), (draw(9, 6) + 1).cast("int"))
-    path = F.concat(F.lit("/"), pick(ORDINARY, 10), F.lit("/"), draw(11, 10_000).cast("string"), tail)
-    domain = F.when(draw(14, 3) == 0, F.concat(F.lit("example."), pick(SUFFIXES, 12))).otherwise(pick(SUFFIXES, 12))
-    url = F.concat(F.when(draw(13, 3) == 0, "http://").otherwise("https://"), front, name, F.lit("."), domain, path)
+def seed_labels(spark: SparkSession, rows: int = 8_000, seed: int = 0) -> DataFrame:
+    """Labelled URLs ``(url string, blocked int)``, a third of them unwanted.
+
+    Names are joined from random syllables, the same for both classes, so no word
+    tells them apart; the classes differ only in how often a trait occurs
+    (``TRAITS``: hyphens, digits, depth, parameters, suffixes), and overlap in all.
+    """
+    draw = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(n))
+    blocked = draw("label", 3) == 0
+
+    def trait(name: str) -> Column:
+        values = list(TRAITS[name])
+        ordinary, unwanted = (list(accumulate(chances)) for chances in zip(*TRAITS[name].values()))
+        found = F.lit(values[-1])
+        for value, few, many in reversed(list(zip(values, ordinary, unwanted))):
+            found = F.when(draw(name, 100) < F.when(blocked, many).otherwise(few), F.lit(value)).otherwise(found)
+        return found
+
+    def word(salt: str) -> Column:
+        picks = [F.element_at(F.array(*[F.lit(x) for x in SYLLABLES]), (draw(f"{salt}{i}", len(SYLLABLES)) + 1).cast("int")) for i in range(4)]
+        return F.concat(*picks[:2], *[F.when(draw(f"{salt} size", 3) >= i, p).otherwise("") for i, p in enumerate(picks[2:], 1)])
+
+    def number(salt: str, digits: Column) -> Column:
+        return F.substr(F.lpad(F.abs(F.xxhash64("id", F.lit(seed), F.lit(salt))).cast("string"), 18, "7"), F.lit(3), digits)
+
+    words = trait("words")
+    host = F.concat(word("a"), F.when(words > 1, F.concat(trait("joint"), word("b"))).otherwise(""), F.when(words > 2, F.concat(trait("joint"), word("c"))).otherwise(""))
+    host = F.concat(trait("front"), host, number("host", trait("host_digits")), F.when(draw("example", 3) == 0, ".example").otherwise(""), F.lit("."), trait("suffix"))
+    steps = F.array(*[word(f"path{i}") for i in range(6)])
+    ending = F.element_at(F.array(*[F.lit(x) for x in ("", "/", ".html", "#top")]), (draw("ending", 4) + 1).cast("int"))
+    path = F.concat(F.array_join(F.slice(steps, 1, trait("depth")), "/"), F.lit("/"), number("id", trait("id_digits")), ending)
+    query = F.array_join(F.transform(F.slice(F.array(F.lit("page"), F.lit("ref"), F.lit("utm"), F.lit("sid")), 1, trait("parameters")), lambda k: F.concat(k, F.lit("="), number("value", F.lit(2)))), "&")
+    url = F.concat(F.when(draw("scheme", 3) == 0, "http://").otherwise("https://"), host, F.lit("/"), path, F.when(trait("parameters") > 0, "?").otherwise(""), query)
     return spark.range(rows).select(url.alias("url"), blocked.cast("int").alias("blocked"))
 
 

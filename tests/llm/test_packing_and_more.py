@@ -183,6 +183,31 @@ def test_trees_on_held_out_urls(spark):
         assert abs(own - 1 / (1 + np.exp(-z))) < 1e-9
 
 
+def test_trees_use_the_lexical_features_and_hold_on_new_names(spark):
+    """Names of the test URLs were in no training URL, and no single feature decides."""
+    trees = url_filter.train(url_filter.seed_labels(spark))
+    new = url_filter.seed_labels(spark, 3000, seed=1).withColumn("url", F.translate("url", "aeiou", "éyäöü"))
+    judged = url_filter.filter_urls(new, [], trees).collect()
+    assert np.mean([(r.verdict == "block") == (r.blocked == 1) for r in judged]) > 0.9
+
+    def used(node):
+        return set() if isinstance(node, float) else {node[0]} | used(node[2]) | used(node[3])
+
+    features = set().union(*map(used, trees.trees))
+    assert {"hyphens", "depth", "digit_ratio", "parameters", "suffix_rate"} <= features and features & {"length", "host_length", "entropy"}
+    hyphens = [("-" in plain_url(r.url)[0]) == (r.blocked == 1) for r in judged]
+    assert np.mean([(r.verdict == "block") == (r.blocked == 1) for r in judged]) > np.mean(hyphens)
+
+
+def test_url_filter_on_long_and_repeated_urls(spark):
+    trees = url_filter.train(url_filter.seed_labels(spark, 500))
+    long_ = "http://a.com/" + "x/" * 100_000
+    rows = spark.createDataFrame([(1, long_), (2, "http://b.de/"), (2, "http://b.de/")], "page_id long, url string").withColumn("HOST", F.lit(1)).withColumn("made_features", F.lit("m"))
+    found = url_filter.filter_urls(rows.drop("made_features"), [], trees).collect()
+    assert len(found) == 3 and len(next(r for r in found if r.page_id == 1).path) == 200_001
+    assert len({(r.verdict, r.block_score) for r in found if r.page_id == 2}) == 1
+
+
 def test_chat_links_orders_and_validates(spark):
     messages = spark.createDataFrame([(1, 0, "user", 'hi "x"'), (1, 1, "assistant", None), (1, 3, None, "done"), (None, 0, "user", "n"), (1, 3, None, "done")], "conv_id long, turn long, role string, text string")
     calls = spark.createDataFrame([(1, 1, "a", "get", '{"b": 1, "a": "x"}'), (1, 1, "b", "get", '{"a": 5, "z": [1]}'), (1, 1, "c", "nope", "[1]"), (1, 2, None, "get", "{")], chat.CALLS)

@@ -48,6 +48,17 @@ def test_contamination_matches_brute_force(spark):
     assert got == expected and {r.doc_id for r in found} >= {1, 5, 7, 8}
 
 
+def test_contamination_with_repeated_shingles_matches_brute_force(spark):
+    rng = np.random.default_rng(3)
+    items = [(1, " ".join("xy"[i % 2] for i in range(13))), (2, "a b c d e " * 6), (3, "z " * 9)]
+    items += [(10 + i, " ".join(rng.choice(list("pqr"), size=rng.integers(5, 25)))) for i in range(20)]
+    docs = [(1, " ".join("yx"[i % 2] for i in range(13))), (2, "z z z z z z z z"), (3, "w " + "a b c d e " * 5 + "a b c d x e")]
+    docs += [(10 + i, " ".join(rng.choice(list("pqr"), size=rng.integers(4, 60)))) for i in range(30)] + [(100 + i, t + " q") for i, t in items]
+    found = D.find_contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    wanted = {k: (round(s, 9), at) for k, (s, at) in brute_contamination(docs, items).items()}
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word) for r in found} == wanted and (1, 1) in wanted and len(found) == len(wanted)
+
+
 def test_contamination_on_documents(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     found = {(r.doc_id, r.item_id): r.similarity for r in D.find_contamination(docs, items).collect()}
@@ -203,3 +214,17 @@ def test_every_language_is_learned_from_copies_or_a_few_long_texts(spark):
     assert {x: models.predict(t)[0] for x, t in fresh.items()} == {x: x for x in fresh}
     taught = langid.train(rows.filter("lang like 'copies%'"), max_chars=20_000)
     assert all(np.isfinite(x) for x in taught.limits.values())  # 20 distinct texts are within the bound: all are drawn, some held back
+
+
+def test_pages_of_unclosed_and_unopened_tags_take_linear_time():
+    import time
+
+    start = time.time()
+    for page in ("<b>" * 20_000 + "</i>" * 20_000, "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000, "<b>" * 20_000 + "<div>" * 20_000, "<b>" * 20_000 + "<li>" * 2_000):
+        parse(page)
+    assert time.time() - start < 20
+
+
+def test_inline_formulas_and_drawings_stay_in_the_text():
+    page = "<article><h1>On sums</h1><p>We know <math>x=2</math> holds, and <object>so on</object> it goes for the rest of it.</p></article>"
+    assert default_model().extract(page) == "On sums We know x=2 holds, and so on it goes for the rest of it."
