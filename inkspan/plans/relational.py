@@ -241,20 +241,22 @@ def preferred_main_file(t):
     return repository.main_files(files)
 
 
-@query("""
-WITH RECURSIVE r AS (SELECT parent AS root, parent AS node, 0 AS depth FROM (SELECT DISTINCT parent FROM include_edges)
-  UNION SELECT root, child, depth + 1 FROM r JOIN include_edges ON node = parent WHERE depth < 6)
-SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY root, node
-""")
+CLOSURE_SQL = """
+WITH RECURSIVE r(root, node, depth) USING KEY (root, node) AS (SELECT DISTINCT parent, parent, 0 FROM include_edges
+  UNION SELECT r.root, e.child, r.depth + 1 FROM r JOIN include_edges e ON r.node = e.parent LEFT JOIN recurring.r AS seen ON seen.root = r.root AND seen.node = e.child WHERE seen.node IS NULL)
+SELECT root, node, CAST(depth AS BIGINT) AS depth FROM r
+"""
+
+
+@query(CLOSURE_SQL)
 def include_closure(t):
     start = t.include_edges.select(F.col("parent").alias("root")).distinct()
-    return frontier.expand(t.include_edges, start, depth=6)
+    return frontier.expand(t.include_edges, start)
 
 
-@query()
+@query(CLOSURE_SQL)
 def include_closure_whole(t):
-    start = t.include_edges.select(F.col("parent").alias("root")).distinct()
-    return frontier.expand(t.include_edges, start)
+    return include_closure(t)
 
 
 IOU = """CASE WHEN least(b.x + b.width, e.x + e.width) < greatest(b.x, e.x) OR least(b.y + b.height, e.y + e.height) < greatest(b.y, e.y) THEN 0 ELSE
@@ -362,9 +364,9 @@ def glyph_row_blocks(t):
     return layout.page_blocks(t.blocks.withColumn("row", F.floor(F.col("pos") / 2)))
 
 
-@query("SELECT doc_id, page, pos AS element, 'text' AS type, x, y, width, height, 1.0::DOUBLE AS confidence FROM blocks WHERE page = 1")
+@query("SELECT doc_id, page, pos AS element, 'text' AS type, x, y, width, height, 1.0::DOUBLE AS confidence FROM blocks")
 def rule_layout(t):
-    return layout.text_layout(t.blocks.filter("page = 1"))
+    return layout.text_layout(t.blocks)
 
 
 @query("SELECT doc_id, page, pos AS element, 'text' AS type, x, y, width, height, 1.0::DOUBLE AS confidence FROM blocks")

@@ -62,12 +62,13 @@ class Tables:
             "line_no", F.col("line_no").cast("long")
         )
 
-    @cached_property
-    def tex_lines(self) -> DataFrame:
-        k, line, d, n = F.col("doc_id") + F.col("line_no"), F.col("line"), F.col("doc_id"), F.col("line_no")
+    @staticmethod
+    def tex_line(d, n, line):
+        """A line of a document as a line of mark-up."""
+        k = d + n
         env = _pick(ENVIRONMENTS, k)
         begin = F.concat(F.when(k % 6 == 5, "% ").otherwise(""), F.lit("\\begin{"), env, F.lit("} "), line)
-        made = (
+        return (
             F.when(n == 0, F.concat(F.lit("\\documentclass[11pt]{"), _pick(["article", "report", "book"], d), F.lit("}")))
             .when(k % 11 == 0, F.concat(F.lit("\\section{"), line, F.lit("}")))
             .when(k % 11 == 1, F.concat(F.lit("\\subsection*{"), line, F.lit("}")))
@@ -78,19 +79,28 @@ class Tables:
             .when(k % 11 == 6, F.concat(line, F.lit(" 5\\% x { y \\} % note }")))
             .otherwise(F.concat(begin, F.when(k % 7 == 0, "").otherwise(F.concat(F.lit(" \\end{"), env, F.lit("}")))))
         )
-        return self.doc_lines.select("doc_id", "line_no", made.alias("line"))
 
-    @cached_property
-    def tex_translated_lines(self) -> DataFrame:
-        k, line, d, n = F.col("doc_id") + F.col("line_no"), F.col("line"), F.col("doc_id"), F.col("line_no")
-        made = (
+    @staticmethod
+    def translated_line(d, n, line):
+        """A line of mark-up as its translation has it."""
+        k = d + n
+        return (
             F.when((n == 0) & (d % 2 == 0), "\\documentclass[11pt]{ctexart}")
             .when(k % 4 == 0, F.regexp_replace(line, "^% ", ""))
             .when(k % 9 == 0, F.concat(line, F.lit(" \\end{figure}")))
             .when(k % 13 == 0, F.concat(line, F.lit("\\usepackage{ctex}")))
             .otherwise(line)
         )
-        return self.tex_lines.select("doc_id", "line_no", made.alias("line"))
+
+    @cached_property
+    def tex_lines(self) -> DataFrame:
+        d, n = F.col("doc_id"), F.col("line_no")
+        return self.doc_lines.select(d, n, self.tex_line(d, n, F.col("line")).alias("line"))
+
+    @cached_property
+    def tex_translated_lines(self) -> DataFrame:
+        d, n = F.col("doc_id"), F.col("line_no")
+        return self.tex_lines.select(d, n, self.translated_line(d, n, F.col("line")).alias("line"))
 
     @staticmethod
     def joined(lines: DataFrame) -> DataFrame:
@@ -99,12 +109,16 @@ class Tables:
 
     @cached_property
     def tex(self) -> DataFrame:
-        return self.joined(self.tex_lines)
+        """Whole texts, line by line inside the row: nothing is exploded or shuffled."""
+        d = F.col("doc_id")
+        made = F.transform(F.split("text", "\n", -1), lambda line, n: self.tex_line(d, n.cast("long"), line))
+        return self.documents.filter("text is not null").select(d, F.array_join(made, "\n").alias("text"))
 
     @cached_property
     def tex_pairs(self) -> DataFrame:
-        other = self.joined(self.tex_translated_lines).withColumnRenamed("text", "translated")
-        return self.tex.withColumnRenamed("text", "original").join(other, "doc_id")
+        d = F.col("doc_id")
+        made = F.transform(F.split("original", "\n", -1), lambda line, n: self.translated_line(d, n.cast("long"), line))
+        return self.tex.withColumnRenamed("text", "original").select(d, "original", F.array_join(made, "\n").alias("translated"))
 
     @cached_property
     def blocks(self) -> DataFrame:
