@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from inkspan.functions.rules.spans import TAG, balanced
 from inkspan.functions.rules.validators import live
@@ -53,15 +54,15 @@ def restore_line_structure(text: str, original: str = "") -> str:
 
 def _tag_stack(text: str) -> list[tuple[str, int]]:
     """Environments left open when every end closes the nearest begin of its name."""
-    stack: list[tuple[str, int]] = []
+    begun: dict[str, list[int]] = {}
+    left: dict[int, str] = {}  # position -> name, in text order
     for m in TAG.finditer(text):
         if m.group(1) == "begin":
-            stack.append((m.group(2), m.start()))
-        else:
-            below = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == m.group(2)), None)
-            if below is not None:
-                del stack[below]
-    return stack
+            begun.setdefault(m.group(2), []).append(m.start())
+            left[m.start()] = m.group(2)
+        elif begun.get(m.group(2)):
+            del left[begun[m.group(2)].pop()]
+    return [(name, at) for at, name in left.items()]
 
 
 def insert_missing_ends(text: str) -> str:
@@ -76,17 +77,19 @@ def restore_environments(text: str, original: str = "") -> str:
 
 def fix_nesting(text: str) -> str:
     """Before an end that skips open environments, those are ended."""
-    stack, out, at = [], [], 0
+    stack, held, out, at = [], Counter(), [], 0
     for m in TAG.finditer(text):
         name = m.group(2)
         if m.group(1) == "begin":
             stack.append(name)
-        elif name in stack:
+            held[name] += 1
+        elif held[name]:
             out.append(text[at : m.start()])
             at = m.start()
             while stack[-1] != name:
+                held[stack[-1]] -= 1
                 out.append(f"\n\\end{{{stack.pop()}}}\n")
-            stack.pop()
+            held[stack.pop()] -= 1
     return "".join([*out, text[at:]])
 
 

@@ -87,11 +87,19 @@ def comments(text: str) -> list[Span]:
 
 
 def authors(text: str) -> list[Span]:
-    found = []
-    for m in re.finditer(r"\\author\s*\{", text):
-        end = balanced(text, m.end() - 1)
-        if end:
-            found.append(Span(m.start(), end, "author", "author"))
+    starts = list(re.finditer(r"\\author\s*\{", text))
+    ends = closings(text) if starts else {}
+    return [Span(m.start(), ends[m.end() - 1], "author", "author") for m in starts if m.end() - 1 in ends]
+
+
+def closings(text: str) -> dict[int, int]:
+    """For every opening brace that is closed, the position after the brace that closes it, in one pass."""
+    found, opened = {}, []
+    for m in re.finditer("[{}]", text):
+        if m.group() == "{":
+            opened.append(m.start())
+        elif opened:
+            found[opened.pop()] = m.end()
     return found
 
 

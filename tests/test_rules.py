@@ -201,3 +201,36 @@ def test_rule_operators_on_nulls_and_empty_tables(spark):
     assert rules.restore(rules.protect(frame, "text")).count() == 3
     for made in (rules.chunk(frame.limit(0), "doc_id", "text"), rules.structures(frame.limit(0), "doc_id", "text"), rules.protect(frame.limit(0), "text")):
         assert made.count() == 0
+
+
+def plain_open(text_):
+    """Environments left open, by walking the list of open ones at every end."""
+    left = []
+    for m in spans.TAG.finditer(text_):
+        if m.group(1) == "begin":
+            left.append((m.group(2), m.start()))
+        else:
+            for i in reversed(range(len(left))):
+                if left[i][0] == m.group(2):
+                    del left[i]
+                    break
+    return left
+
+
+def test_open_environments_and_braces_match_plain_walks():
+    rng = random.Random(5)
+    for _ in range(300):
+        made = "".join(rng.choice(["\\begin{a}", "\\begin{b}", "\\end{a}", "\\end{b}", "\\end{c}", "{", "}", "x ", "\\author{", "\\author {n}", "\n"]) for _ in range(rng.randint(0, 30)))
+        assert repairs._tag_stack(made) == plain_open(made)
+        ends = spans.closings(made)
+        assert all(ends.get(i, 0) == spans.balanced(made, i) for i, c in enumerate(made) if c == "{")
+        assert plain_open(repairs.insert_missing_ends(made)) == []
+
+
+def test_unmatched_tags_and_braces_take_linear_time():
+    import time
+
+    start = time.time()
+    tags = "\\begin{a}\n" * 40_000 + "\\end{b}\n" * 40_000
+    repairs.insert_missing_ends(tags), repairs.fix_nesting(tags), spans.authors("\\author{" * 100_000)
+    assert time.time() - start < 20
