@@ -207,7 +207,7 @@ def labels(c: Column) -> Column:
 
 def includes(c: Column) -> Column:
     """Targets of input and include commands, with ``.tex`` added where it lacks."""
-    found = F.regexp_extract_all(c, F.lit(r"\\(?:input|include)\{([^}]+)\}"), F.lit(1))
+    found = F.regexp_extract_all(c, F.lit(r"\\(?:input|include)\s*\{([^}]+)\}"), F.lit(1))
     return F.array_distinct(F.transform(found, lambda x: F.when(strip(x).endswith(".tex"), strip(x)).otherwise(F.concat(strip(x), F.lit(".tex")))))
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkspan.functions import tex
+
 
 def expand(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     """Rows ``(root, node, depth)``: every node that a root reaches, at its least depth.
@@ -33,3 +35,38 @@ def expand(edges: DataFrame, start: DataFrame, depth: int | None = None) -> Data
             break
         found = found.unionByName(frontier)
     return found
+
+
+def clean_path(c: Column) -> Column:
+    """A relative path without empty, ``.`` and inner ``..`` steps."""
+
+    def step(done, part):
+        up = (part == "..") & (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("..")) != "..")
+        return F.when(part.isin("", "."), done).when(up, F.slice(done, 1, F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(c, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def include_edges(files: DataFrame) -> DataFrame:
+    """Edges ``(parent, child)`` between rows of ``files`` (project, path, text), as structs of project and path.
+
+    A target gets ``.tex`` where it lacks it. It is sought beside the including
+    file first, unless it starts with that folder, and then from the project's
+    top; targets that no file has give no edge.
+    """
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    wanted = files.select("project", "path", folder.alias("folder"), F.explode(tex.includes(F.col("text"))).alias("target"))
+    wanted = wanted.select("project", "path", clean_path(F.concat_ws("/", "folder", "target")).alias("near"), clean_path(F.col("target")).alias("far"), (~F.col("target").startswith("/") & ~F.startswith("target", "folder")).alias("beside"))
+    there = files.select("project", F.col("path").alias("found"))
+    near = wanted.filter("beside").join(there, [wanted["project"] == there["project"], wanted["near"] == there["found"]], "left_semi")
+    left = wanted.join(near.select("project", "path", "far").distinct(), ["project", "path", "far"], "left_anti")
+    far = left.join(there, [left["project"] == there["project"], left["far"] == there["found"]], "left_semi")
+    node = lambda path: F.struct("project", F.col(path).alias("path"))
+    return near.select(node("path").alias("parent"), node("near").alias("child")).unionByName(far.select(node("path").alias("parent"), node("far").alias("child")))
+
+
+def included_files(files: DataFrame, mains: DataFrame) -> DataFrame:
+    """Rows ``(project, main, path, depth)``: every file that a project's main file (project, path) includes, directly or not."""
+    start = mains.select(F.struct("project", "path").alias("root"))
+    reached = expand(include_edges(files), start).filter("depth > 0")
+    return reached.select("root.project", F.col("root.path").alias("main"), "node.path", "depth")

@@ -31,3 +31,17 @@ def test_whole_closure_matches_brute_force(spark):
     found = catalog.queries()["include_closure_whole"](spark, SF).collect()
     assert {(r.root, r.node): r.depth for r in found} == plain_closure(edges, edges) and len(found) == len({(r.root, r.node) for r in found})
     assert max(r.depth for r in found) > 6
+
+
+def test_includes_are_resolved_beside_the_file_and_from_the_top(spark):
+    files = [
+        (1, "main.tex", "\\input {parts/a} \\include{missing} \\input{./b.tex}"), (1, "parts/a.tex", "\\input{c} \\input{../b} \\input{parts/d}"), (1, "parts/c.tex", "\\input{main}"),
+        (1, "c.tex", ""), (1, "b.tex", None), (1, "parts/d.tex", "\\input{e}"), (1, "e.tex", ""), (2, "main.tex", "\\input{c}"), (2, "parts/c.tex", ""),
+    ]
+    files += [(3, f"f{i}.tex", f"\\input{{f{i + 1}}}") for i in range(31)]
+    found = frontier.included_files(
+        spark.createDataFrame(files, "project long, path string, text string"), spark.createDataFrame([(1, "main.tex"), (2, "main.tex"), (3, "f0.tex")], "project long, path string")
+    ).collect()
+    paths = {p: {(r.path, r.depth) for r in found if r.project == p} for p in (1, 2, 3)}
+    assert paths[1] == {("parts/a.tex", 1), ("b.tex", 1), ("parts/c.tex", 2), ("parts/d.tex", 2), ("e.tex", 3)} and not paths[2]
+    assert paths[3] == {(f"f{i}.tex", i) for i in range(1, 31)}
