@@ -3,12 +3,15 @@
 A fingerprint is split into segments. Two fingerprints within the radius agree
 in some segment up to a small number of bits, so enumerating that small Hamming
 ball around each segment value and looking the values up in a table of all
-fingerprints finds every pair; full distances are then verified.
+fingerprints finds every pair; full distances are then verified. A segment value
+that many fingerprints share is looked up together with blocks of the other bits.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.llm.components import connected_components
-from inkspan.llm.scratch import materialise
+from inkspan.llm.scratch import Tables, discard
 
 BITS = 64
 #: Shingles whose bits are unpacked at a time; bounds memory for very long texts.
 CHUNK = 1 << 16
+#: A segment value with more fingerprints than the i-th of these is looked up with i + 1 further blocks. Sets the cost, never the result.
+HEAT = (1 << 6, 1 << 12, 1 << 16)
 
 
 def shingle_bounds(words: list[bytes], size: int) -> tuple[bytes, list[int], list[int]]:
@@ -101,7 +106,7 @@ def midpoint_links(classes: DataFrame, key: str, value: str = "fingerprint") ->
     pairs, and a point has 65 keys at most.
     """
     rows = classes.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
-    flips = F.array(*[F.lit(x - (x >> (BITS - 1) << BITS)).cast("long") for x in _ball(BITS, 1)])
+    flips = F.array(*[F.lit(_signed(x)).cast("long") for x in _ball(BITS, 1)])
     points = rows.select(F.col(key).alias("a"), F.col(value).alias("f"), F.explode(flips).alias("flip"))
     points = points.select("a", F.col("f").bitwiseXOR(F.col("flip")).alias("point"))
     named = points.groupBy("point").agg(F.min("a").alias("b"), F.max("a").alias("most"))
@@ -109,37 +114,78 @@ def midpoint_links(classes: DataFrame, key: str, value: str = "fingerprint") ->
     return points.join(shared, "point").filter("a <> b").select("a", "b").distinct()
 
 
-def hamming_links(classes: DataFrame, key: str, value: str = "fingerprint", radius: int = 4, count: int = 3, group: str | None = None) -> DataFrame:
+def _signed(x: int) -> int:
+    return x - (x >> (BITS - 1) << BITS)
+
+
+def block_masks(shift: int, width: int, radius: int, agreeing: int) -> list[int]:
+    """Masks over the bits outside a segment such that two values within the radius agree under one of them, at least.
+
+    The bits are cut into ``radius + agreeing`` blocks, of which ``agreeing`` must
+    be free of differences; each mask covers that many blocks.
+    """
+    outside = [b for b in range(BITS) if not shift <= b < shift + width]
+    count = radius + agreeing
+    blocks = [sum(1 << b for b in outside[len(outside) * i // count : len(outside) * (i + 1) // count]) for i in range(count)]
+    return [sum(chosen) for chosen in combinations(blocks, agreeing)]
+
+
+def _heat(table: DataFrame) -> DataFrame:
+    """Rows ``(segment, at, depth, main)`` of the segment values over the first of ``HEAT``; main is the value's largest group."""
+    groups = table.groupBy("segment", "at", "g").agg(F.count("*").alias("n"))
+    values = groups.groupBy("segment", "at").agg(F.sum("n").alias("n"), F.max_by("g", F.struct("n", "g")).alias("main"))
+    depth = sum((F.col("n") > bound).cast("int") for bound in HEAT)
+    return values.filter(F.col("n") > HEAT[0]).select("segment", "at", depth.alias("depth"), "main")
+
+
+def hamming_links(
+    classes: DataFrame,
+    key: str,
+    value: str = "fingerprint",
+    radius: int = 4,
+    count: int = 3,
+    group: str | None = None,
+    tables: Tables | None = None,
+) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of keys whose fingerprints differ in at most ``radius`` bits.
 
-    ``classes`` has one row per distinct key. Each pair comes out once: from the
-    first segment whose ball holds it. Null keys or fingerprints have no links.
-    With ``group``, a column that tells what is connected already, the pairs are
-    distinct pairs of different groups instead.
+    ``classes`` has one row per distinct key. Each pair comes out once. Null keys
+    or fingerprints have no links. With ``group``, a column that tells what is
+    connected already, the pairs are distinct pairs of different groups instead.
+
+    A segment value that n fingerprints share would cost n * n comparisons. Over
+    ``HEAT`` it is therefore looked up under every choice of one to three blocks
+    of the other bits, all of which a pair within the radius must have alike in
+    some choice; and its largest group is not compared with itself. The heat of
+    values is written through ``tables``, for the caller to clear after reading.
     """
     parts = segments(radius, count)
+    tables = tables or Tables(classes.sparkSession)
     rows = classes.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
     rows = rows.select(F.col(key).alias("k"), F.col(value).alias("f"), F.col(group or key).alias("g"))
     table = rows.select("k", "f", "g", F.posexplode(F.array(*[_segment(F.col("f"), s, w) for s, w, _ in parts])).alias("segment", "at"))
-    probes = F.flatten(F.array(*[_probes(i, *part) for i, part in enumerate(parts)]))
-    probed = rows.select("k", "f", "g", F.inline(probes))
-    a, b = probed.alias("a"), table.alias("b")
+    probed = rows.select("k", "f", "g", F.inline(F.flatten(F.array(*[_probes(i, *part) for i, part in enumerate(parts)]))))
+    heat = tables.write(_heat(table), "heat")
+    # Masks by segment and depth; without heat one empty mask, under which all agree.
+    masks = F.array(*[F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in block_masks(s, w, radius, d)]) for d in range(len(HEAT) + 1)]) for s, w, _ in parts])
+    chosen = F.get(F.get(masks, F.col("segment")), F.coalesce("depth", F.lit(0)))
+    own = F.coalesce(F.col("g") == F.col("main"), F.lit(False))
+    sides = F.when(F.col("main").isNull() | own, F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))
+
+    def keyed(side: DataFrame, main) -> DataFrame:
+        looked = side.join(heat, ["segment", "at"], "left").select("k", "f", "g", "segment", "at", "depth", main)
+        return looked.select("*", F.explode(chosen).alias("mask")).withColumn("part", F.col("f").bitwiseAND(F.col("mask")))
+
+    a, b = keyed(probed, F.explode(sides).alias("main")).alias("a"), keyed(table, own.alias("main")).alias("b")
     differing = F.col("a.f").bitwiseXOR(F.col("b.f"))
     first = F.lit(None).cast("int")
     for i, (s, w, r) in reversed(list(enumerate(parts))):
         first = F.when(F.bit_count(_segment(differing, s, w)) <= r, i).otherwise(first)
-    joined = a.join(
-        b,
-        (F.col("a.segment") == F.col("b.segment"))
-        & (F.col("a.at") == F.col("b.at"))
-        & (F.col("a.k") < F.col("b.k"))
-        & (F.col("a.g") != F.col("b.g"))
-        & (F.bit_count(differing) <= radius)
-        & (first == F.col("a.segment")),
-    )
-    if group:
-        return joined.select(F.least("a.g", "b.g").alias("a"), F.greatest("a.g", "b.g").alias("b")).distinct()
-    return joined.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("segment", "at", "mask", "part", "main")]
+    apart = (F.col("a.k") < F.col("b.k")) & (F.col("a.g") != F.col("b.g"))
+    joined = a.join(b, reduce(and_, same) & apart & (F.bit_count(differing) <= radius) & (first == F.col("a.segment")))
+    ends = (F.least("a.g", "b.g"), F.greatest("a.g", "b.g")) if group else (F.col("a.k"), F.col("b.k"))
+    return joined.select(ends[0].alias("a"), ends[1].alias("b")).distinct()
 
 
 def near_duplicates(
@@ -157,17 +203,22 @@ def near_duplicates(
     like any other. Rows without an id are kept, with the component that their
     fingerprint has, or null if no row of it has an id. Repeated ids count once
     per row. An empty table gives an empty result; other columns are not read.
+    The result reads three tables in the shared folder; all others are deleted.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = materialise(prints.groupBy("fingerprint").agg(F.min(id_col).alias("rep")), "classes")
+    read, passing = Tables(docs.sparkSession), Tables(docs.sparkSession)
+    prints = read.write(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    classes = passing.write(prints.groupBy("fingerprint").agg(F.min(id_col).alias("rep")), "classes")
     if radius >= 2:
         near = connected_components(midpoint_links(classes, "rep"), "a", "b")
-        classes = classes.join(near, F.col("rep") == F.col("node"), "left").select("fingerprint", "rep", F.coalesce("component", "rep").alias("near"))
-        classes = materialise(classes, "classes")
+        joined = classes.join(near, F.col("rep") == F.col("node"), "left")
     else:
-        classes = classes.withColumn("near", F.col("rep"))
-    links = hamming_links(classes, "rep", radius=radius, count=segment_count, group="near")
+        joined, near = classes.withColumn("component", F.col("rep")), None
+    classes = read.write(joined.select("fingerprint", "rep", F.coalesce("component", "rep").alias("near")), "classes")
+    if near is not None:
+        discard(near)
+    links = hamming_links(classes, "rep", radius=radius, count=segment_count, group="near", tables=passing)
     labels = connected_components(links, "a", "b")
+    passing.clear()
     named = classes.join(labels, F.col("near") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "near").alias("component_id"))
     return prints.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
 

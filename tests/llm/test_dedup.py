@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkspan.llm.components import connected_components
 from inkspan.llm.exact_dedup import deduplicate, mark_duplicates
-from inkspan.llm.simhash import fingerprint, hamming_links, keep_representatives, midpoint_links, near_duplicates, segments
+from inkspan.llm.simhash import block_masks, fingerprint, hamming_links, keep_representatives, midpoint_links, near_duplicates, segments
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string"
@@ -100,6 +101,45 @@ def test_links_are_all_pairs_within_the_radius(spark):
     assert found == {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if bin(prints[i] ^ prints[j]).count("1") <= 4}
 
 
+@pytest.mark.parametrize("depth", [0, 1, 2, 3])
+def test_masks_cover_every_pair_within_the_radius(depth):
+    rng = random.Random(depth)
+    for shift, width, _ in segments(4, 3):
+        masks = block_masks(shift, width, 4, depth)
+        inside = (1 << width) - 1 << shift
+        assert not any(m & inside for m in masks)
+        for _ in range(2000):
+            x = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(x & m == 0 for m in masks)
+
+
+@pytest.mark.parametrize("heat", [(0, 2, 4), (0, 1 << 40, 1 << 40), (2, 6, 40)])
+def test_links_through_hot_segment_values(spark, monkeypatch, heat):
+    """However hot the values count as, the links are those of brute force, with and without groups."""
+    monkeypatch.setattr("inkspan.llm.simhash.HEAT", heat)
+    rng = np.random.default_rng(7)
+    prints = set()
+    for b in rng.integers(0, 1 << 42, 25, dtype=np.uint64).tolist():  # one value in the last segment
+        prints |= {b ^ sum(1 << int(x) for x in rng.choice(64, rng.integers(0, 7), replace=False)) for _ in range(7)}
+    prints = sorted(prints)
+    pairs = {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if bin(prints[i] ^ prints[j]).count("1") <= 4}
+    rows = spark.createDataFrame([(i, int(np.uint64(p).astype(np.int64)), i % 3) for i, p in enumerate(prints)], "rep long, fingerprint long, near long")
+    assert {(r.a, r.b) for r in hamming_links(rows, "rep").collect()} == pairs
+    assert {(r.a, r.b) for r in hamming_links(rows, "rep", group="near").collect()} == {tuple(sorted((i % 3, j % 3))) for i, j in pairs if i % 3 != j % 3}
+
+
+def test_a_hot_segment_value_is_not_compared_with_itself(spark):
+    """60,000 fingerprints with one value in a segment: far less time than their 1.8 billion pairs would take, and no link is lost."""
+    rng = np.random.default_rng(1)
+    prints = np.unique(rng.integers(0, 1 << 42, 60_000, dtype=np.int64))
+    near = prints[:50] ^ 0b1111
+    frame = spark.createDataFrame([(i, int(p)) for i, p in enumerate([*prints, *np.setdiff1d(near, prints)])], "rep long, fingerprint long").repartition(8).cache()
+    frame.count()
+    start = time.monotonic()
+    found = hamming_links(frame, "rep").count()
+    assert found >= 50 and time.monotonic() - start < 60
+
+
 def test_midpoints_connect_all_pairs_within_two_bits(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 20, dtype=np.uint64)
