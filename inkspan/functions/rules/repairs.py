@@ -39,7 +39,7 @@ SPACED = [
 
 def rewrite(text: str, rules: list[tuple[str, str]]) -> str:
     for pattern, gap in rules:
-        text = re.sub(pattern, lambda m, gap=gap: m.group(1) + gap + m.group(2), text)
+        text = re.sub(pattern, lambda m, gap=gap: m.group(1) + gap + m.group(2), text, flags=re.A)
     return text
 
 
@@ -247,8 +247,8 @@ def restore_inputs(text: str, original: str) -> str:
 
 def restore_appendix(text: str, original: str) -> str:
     """The appendix mark, before the first section that follows it in the original."""
-    at = re.search(r"(?m)^[^%\n]*\\appendix\b", original)
-    if not at or re.search(r"(?m)^[^%\n]*\\appendix\b", text):
+    at = re.search(r"(?m)^[^%\n]*\\appendix\b", original, re.A)
+    if not at or re.search(r"(?m)^[^%\n]*\\appendix\b", text, re.A):
         return text
     before = len(re.findall(r"(?m)^[^%\n]*\\section", original[: at.start()]))
     sections = list(re.finditer(r"(?m)^[^%\n]*\\section", text))
@@ -372,7 +372,7 @@ def lonely_items(text: str) -> str:
     out, depth, inside = [], 0, False
     for line in text.split("\n"):
         part = live(line)
-        item = re.match(r"\s*\\item\b", part)
+        item = re.match(r"\s*\\item\b", part, re.A)
         if item and not depth and not inside:
             out.append("\\begin{itemize}")
             inside = True
@@ -441,7 +441,7 @@ def recover_placeholders(text: str, original: str, table: dict[str, str]) -> tup
 def _recover(text: str, original: str, key: str, value: str) -> tuple[str, str]:
     put = lambda at: text[:at] + " " + key + text[at:]
     command = re.match(r"\\([a-zA-Z]+)", value)
-    like = list(re.finditer(r"\\" + command.group(1) + r"\b", text)) if command else []
+    like = list(re.finditer(r"\\" + command.group(1) + r"\b", text, re.A)) if command else []
     if like:
         at = like[-1].end()
         return put(balanced(text, at) if text[at : at + 1] == "{" else at), "pattern_match"

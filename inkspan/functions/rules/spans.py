@@ -53,7 +53,7 @@ def environments(text: str, names: set[str] | None = None, kind: str = "environm
 
 
 def matches(text: str, pattern: str, kind: str, name: str = "") -> list[Span]:
-    return [Span(m.start(), m.end(), kind, name or m.group()) for m in re.finditer(pattern, text) if m.end() > m.start()]
+    return [Span(m.start(), m.end(), kind, name or m.group()) for m in re.finditer(pattern, text, re.A) if m.end() > m.start()]
 
 
 def inline_math(text: str) -> list[Span]:

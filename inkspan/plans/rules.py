@@ -5,10 +5,216 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkspan.functions.rules import chunks, repairs, spans
+from inkspan.functions.text import GARBLED, TYPOS
 from inkspan.operators import rules
 from inkspan.plans.catalog import query
 
 
+# SQL of the validators and repairs. It counts levels with windows instead of walking with a stack.
+# tags: environment tags of ``source`` with their place. h: how many are open after a tag, when ends without a begin do not count;
+# level: what a begin opens and an end closes; stray: an end without a begin; begins and ends of one level take turns.
+def _tags(source: str, text: str = "text") -> str:
+    pattern = r"\\(begin|end)\{([^}]+)\}"
+    return rf"""
+cut AS (SELECT doc_id, {text} AS text, regexp_split_to_array({text}, '{pattern}') AS pieces, regexp_extract_all({text}, '{pattern}') AS tags FROM {source}),
+placed AS (SELECT doc_id, text, tags[i] AS tag, i, CAST(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(tags[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos
+  FROM (SELECT *, unnest(range(1, len(tags) + 1)) AS i FROM cut)),
+tags AS (SELECT doc_id, i, pos, CASE WHEN starts_with(tag, '\begin') THEN 1 ELSE -1 END AS d, regexp_extract(tag, '{pattern}', 2) AS name,
+  length(substr(text, 1, pos)) - length(replace(substr(text, 1, pos), chr(10), '')) + 1 AS line, length(list_last(string_split(substr(text, 1, pos), chr(10)))) + 1 AS col FROM placed)"""
+
+
+def _levels(rows: str, made: str, key: str, order: str) -> str:
+    """Tables that end in ``made``: ``rows`` (with d = 1 or -1) with ``h``, ``stray`` and ``level``, in each ``key``."""
+    over = f"OVER (PARTITION BY {key} ORDER BY {order} ROWS UNBOUNDED PRECEDING)"
+    return f"""
+{made}_s AS (SELECT *, sum(d) {over} AS s FROM {rows}),
+{made}_m AS (SELECT *, least(0, min(s) {over}) AS m FROM {made}_s),
+{made}_h AS (SELECT *, s - m AS h, d < 0 AND m < coalesce(lag(m) OVER (PARTITION BY {key} ORDER BY {order}), 0) AS stray FROM {made}_m),
+{made}_l AS (SELECT *, CASE WHEN stray THEN NULL WHEN d > 0 THEN h ELSE h + 1 END AS level FROM {made}_h),
+{made} AS (SELECT *, d > 0 AND lead(d) OVER (PARTITION BY {key}, level ORDER BY {order}) IS NULL AS left_open FROM {made}_l)"""
+
+
+LIVE = r"CASE WHEN regexp_matches(line, '(?s)^(?:[^%\\]|\\.)*%') THEN regexp_extract(line, '(?s)^((?:[^%\\]|\\.)*)%', 1) ELSE line END"
+
+
+def _marks(source: str, characters: str, made: str) -> str:
+    """Table ``made``: the unescaped ones of some characters, in ``source``'s column ``live``, with line and column."""
+    return rf"""
+{made} AS (SELECT * FROM (SELECT doc_id, line_no + 1 AS line, col, substr(live, col, 1) AS ch, CASE WHEN col > 1 THEN substr(live, col - 1, 1) END AS before
+  FROM (SELECT *, unnest(range(1, length(live) + 1)) AS col FROM {source})) WHERE contains('{characters}', ch) AND before IS DISTINCT FROM '\')"""
+
+
+def _pairs(opening: str, closing: str, kind: str, name: str) -> tuple[str, str]:
+    marked = f"{name}_d AS (SELECT *, CASE WHEN ch = '{opening}' THEN 1 ELSE -1 END AS d FROM marks WHERE ch IN ('{opening}', '{closing}'))"
+    rows = f"""SELECT doc_id, line, col, '{kind}', CASE WHEN stray THEN 'unmatched closing {closing}' ELSE 'unmatched opening {opening}' END FROM {name} WHERE stray OR left_open"""
+    return marked + "," + _levels(f"{name}_d", name, "doc_id", "line, col"), rows
+
+
+BRACES, BRACE_ROWS = _pairs("{", "}", "brace", "braces")
+BRACKETS, BRACKET_ROWS = _pairs("[", "]", "bracket", "brackets")
+
+SYNTAX = rf"""WITH live AS (SELECT doc_id, line_no, {LIVE} AS live FROM tex_lines),
+{_marks("live", "{}[]", "marks")},
+{BRACES}, {BRACKETS}, {_tags("tex")}, {_levels("tags", "nested", "doc_id, name", "i")},
+dollars AS (SELECT doc_id, line_no + 1 AS line, regexp_split_to_array(live, '\\\$|\$\$?') AS pieces, regexp_extract_all(live, '\\\$|\$\$?') AS found FROM live),
+single AS (SELECT doc_id, line, CAST(1 + list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS col
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM dollars) WHERE found[i] = '$'),
+signs AS (SELECT doc_id, text, sign, string_split(text, sign) AS pieces FROM tex, (VALUES ('$$'), ('\('), ('\)'), ('\['), ('\]')) AS signs(sign)),
+signed AS (SELECT doc_id, text, sign, i, len(pieces) - 1 AS n, CAST(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + (i - 1) * 2 AS BIGINT) AS pos FROM (SELECT *, unnest(range(1, len(pieces))) AS i FROM signs)),
+counts AS (SELECT doc_id, sign, len(pieces) - 1 AS n FROM signs),
+extra AS (SELECT s.* FROM signed s JOIN counts c ON s.doc_id = c.doc_id AND c.sign = CASE s.sign WHEN '\(' THEN '\)' WHEN '\)' THEN '\(' WHEN '\[' THEN '\]' WHEN '\]' THEN '\[' ELSE '$$' END
+  WHERE CASE WHEN s.sign = '$$' THEN s.i = s.n AND s.n % 2 = 1 ELSE s.i > c.n END)
+{BRACE_ROWS.replace("col, 'brace'", "col AS column, 'brace' AS type").replace(" FROM braces", " AS message FROM braces")}
+UNION ALL {BRACKET_ROWS}
+UNION ALL SELECT doc_id, line, col, 'environment', CASE WHEN stray THEN 'end of ' || name || ' without begin' ELSE 'begin of ' || name || ' without end' END FROM nested WHERE stray OR left_open
+UNION ALL SELECT doc_id, arg_max(line, line * 100000000 + col), arg_max(col, line * 100000000 + col), 'math', 'unmatched $' FROM single GROUP BY doc_id HAVING count(*) % 2 = 1
+UNION ALL SELECT doc_id, length(substr(text, 1, pos)) - length(replace(substr(text, 1, pos), chr(10), '')) + 1, length(list_last(string_split(substr(text, 1, pos), chr(10)))) + 1, 'math', 'unmatched ' || sign FROM extra"""
+
+MISSING_ENDS = rf"""WITH {_tags("tex_pairs", "translated")}, {_levels("tags", "nested", "doc_id, name", "i")},
+ends AS (SELECT doc_id, string_agg(chr(10) || '\end{{' || name || '}}', '' ORDER BY i DESC) || chr(10) AS added FROM nested WHERE left_open GROUP BY doc_id)
+SELECT doc_id, md5(translated || coalesce(added, '')) AS fixed, coalesce(added, '') <> '' AS changed FROM tex_pairs LEFT JOIN ends USING (doc_id)"""
+
+
+TYPO_ROWS = ", ".join(f"('{wrong}', '{right}')" for wrong, right in TYPOS.items())
+DOCUMENT_ENDS = r"""
+UNION ALL SELECT doc_id, 0, 0, 'structure', 'missing ' || mark FROM tex, (VALUES ('\begin{document}'), ('\end{document}')) AS marks(mark) WHERE NOT contains(text, mark)
+UNION ALL SELECT DISTINCT doc_id, 0, 0, 'structure', 'content after the document'
+  FROM (SELECT doc_id, unnest(string_split(substr(text, strpos(text, '\end{document}') + 14), chr(10))) AS rest FROM tex WHERE contains(text, '\end{document}')) WHERE regexp_matches(rest, '^\s*[^%\s]')"""
+# Every end takes the last begin, of whatever name.
+STRICT = """
+UNION ALL SELECT doc_id, line, 0, 'structure', CASE WHEN stray THEN 'end of ' || name || ' without begin' ELSE 'begin of ' || begun || ' ends as ' || name END
+  FROM (SELECT *, lag(name) OVER (PARTITION BY doc_id, level ORDER BY i) AS begun FROM strict) WHERE stray OR (d < 0 AND begun <> name)
+UNION ALL SELECT doc_id, 0, 0, 'structure', 'unclosed: ' || string_agg(name, ', ' ORDER BY i) FROM strict WHERE left_open GROUP BY doc_id"""
+
+EDITOR = rf"""WITH live AS (SELECT doc_id, line_no, string_split(line, '%')[1] AS live FROM tex_lines),
+chars AS (SELECT doc_id, line_no + 1 AS line, col, substr(live, col, 1) AS ch FROM (SELECT *, unnest(range(1, length(live) + 1)) AS col FROM live)),
+sums AS (SELECT *, sum(CASE ch WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY line, col ROWS UNBOUNDED PRECEDING) AS s FROM chars WHERE ch IN ('{{', '}}')),
+totals AS (SELECT doc_id, a, b, kind, count(*) FILTER (ch = a) AS n, count(*) FILTER (ch = b) AS m
+  FROM chars, (VALUES ('{{', '}}', 'syntax'), ('[', ']', 'warning'), ('(', ')', 'warning')) AS signs(a, b, kind) GROUP BY ALL),
+{_tags("tex")}, {_levels("tags", "strict", "doc_id", "i")}
+SELECT doc_id, line, col AS column, 'syntax' AS type, 'unexpected }}' AS message FROM sums WHERE ch = '}}' AND s < 0
+UNION ALL SELECT doc_id, 0, 0, kind, n || ' ' || a || ' and ' || m || ' ' || b FROM totals WHERE n <> m
+{STRICT}
+UNION ALL SELECT doc_id, line_no + 1, strpos(live, wrong), 'syntax', wrong || ' for ' || well FROM live, (VALUES {TYPO_ROWS}) AS typos(wrong, well) WHERE contains(live, wrong)
+UNION ALL SELECT doc_id, line_no + 1, 0, 'warning', 'odd number of $' FROM live WHERE (length(live) - length(replace(live, '$', ''))) % 2 = 1
+UNION ALL SELECT doc_id, line_no + 1, length(live), 'warning', 'triple backslash' FROM live WHERE regexp_matches(live, '\\\\\\\s*$')
+{DOCUMENT_ENDS}
+UNION ALL SELECT doc_id, line_no + 1, strpos(line, list_filter({GARBLED!r}, lambda g: contains(line, g))[1]), 'encoding', 'garbled text' FROM tex_lines
+  WHERE len(list_filter({GARBLED!r}, lambda g: contains(line, g))) > 0
+UNION ALL SELECT doc_id, 0, 0, 'warning', 'byte-order mark inside' FROM tex WHERE contains(substr(text, 2), chr(65279))"""
+
+PROJECT = rf"""WITH cut_lines AS (SELECT doc_id, line_no, regexp_replace(line, '(^|[^\\])%.*$', '\1') AS live FROM tex_lines),
+{_marks("cut_lines", "{}", "marks")},
+braces_d AS (SELECT *, CASE ch WHEN '{{' THEN 1 ELSE -1 END AS d FROM marks), {_levels("braces_d", "braces", "doc_id", "line, col")},
+{_tags("tex")},
+written AS (SELECT t.* FROM tags t JOIN tex_lines l ON l.doc_id = t.doc_id AND l.line_no + 1 = t.line WHERE NOT regexp_matches(l.line, '^\s*%')), {_levels("written", "strict", "doc_id", "i")},
+surplus AS (SELECT doc_id, line_no, line, len(string_split(line, '{{')) - len(string_split(line, '\{{')) - len(string_split(line, '}}')) + len(string_split(line, '\}}')) AS n FROM tex_lines),
+summed AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS upto FROM surplus)
+SELECT doc_id, line, col AS column, CASE WHEN stray THEN 'error' ELSE 'warning' END AS type, CASE WHEN stray THEN 'extra closing brace' ELSE 'deep nesting' END AS message FROM braces WHERE stray OR h > 100
+UNION ALL SELECT doc_id, 0, 0, 'error', CAST(arg_max(h, line * 100000000 + col) AS BIGINT) || ' unclosed braces' FROM braces GROUP BY doc_id HAVING arg_max(h, line * 100000000 + col) <> 0
+UNION ALL SELECT doc_id, 0, 0, 'structure', 'missing \documentclass' FROM tex WHERE NOT contains(text, '\documentclass')
+{DOCUMENT_ENDS}
+UNION ALL SELECT doc_id, line_no + 1, 1, 'warning', 'incomplete command definition' FROM summed a WHERE n > 0 AND NOT regexp_matches(line, '^\s*%') AND regexp_matches(line, '\\(?:re)?newcommand')
+  AND NOT EXISTS (SELECT 1 FROM summed b WHERE b.doc_id = a.doc_id AND b.line_no BETWEEN a.line_no + 1 AND a.line_no + 10 AND b.upto = a.upto - a.n)
+{STRICT}"""
+
+LOG_EXCERPTS = r"""WITH marked AS (SELECT *, starts_with(line, '!') OR contains(line, 'Error') AS error, contains(line, '.tex') AS source FROM log_lines),
+near AS (SELECT *, bool_or(error) OVER (PARTITION BY doc_id ORDER BY line_no ROWS 49 PRECEDING) OR bool_or(source) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS taken FROM marked),
+logs AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS log, string_agg(line, chr(10) ORDER BY line_no) FILTER (taken) AS found FROM near GROUP BY doc_id),
+cut AS (SELECT doc_id, CASE WHEN length(log) <= 500 THEN log WHEN length(found) > 500 THEN substr(found, 1, 500) || chr(10) || '...[truncated]' WHEN found <> '' THEN found ELSE right(log, 500) END AS excerpt FROM logs)
+SELECT doc_id, length(excerpt) AS n, md5(excerpt) AS excerpt FROM cut"""
+
+BREAK_POINTS = rf"""WITH fit AS (SELECT doc_id, text, CASE WHEN strlen(text) <= 400 THEN length(text) ELSE list_max(list_filter(range(1, 401), lambda n: strlen(substr(text, 1, n)) <= 400)) END AS most FROM tex),
+low AS (SELECT *, most * 4 // 5 AS low, [{", ".join("'" + e.replace(chr(10), "' || chr(10) || '") + "'" for e in chunks.ENDS)}] AS ends FROM fit),
+places AS (SELECT doc_id, text, most,
+  list_max(flatten(list_transform(ends, lambda e: list_transform(list_filter(range(low + 1, most - length(e) + 2), lambda i: substr(text, i, length(e)) = e), lambda i: i - 1 + length(e))))) AS sentence,
+  list_max(list_filter(range(low + 1, most + 1), lambda i: substr(text, i, 1) = chr(10))) AS newline,
+  list_max(list_filter(range(1, most + 1), lambda i: substr(text, i, 1) = ' ')) AS space FROM low)
+SELECT doc_id, CAST(CASE WHEN most = length(text) THEN most WHEN sentence IS NOT NULL THEN sentence WHEN newline IS NOT NULL THEN newline WHEN space - 1 > most // 2 THEN space ELSE most END AS BIGINT) AS at FROM places"""
+
+BOUNDARIES = rf"""WITH RECURSIVE {_tags("tex")}, {_levels("tags", "nested", "doc_id, name", "i")},
+whole AS (SELECT * FROM (SELECT doc_id, name, d, stray, lag(pos) OVER (PARTITION BY doc_id, name, level ORDER BY i) AS start, pos + length(name) + 6 AS stop FROM nested)
+  WHERE d < 0 AND NOT stray AND name IN ({", ".join(repr(n) for n in sorted(chunks.WHOLE))})),
+kept AS (SELECT doc_id, min(start) AS start, arg_min(stop, start) AS stop FROM whole GROUP BY doc_id
+  UNION ALL SELECT w.doc_id, min(w.start), arg_min(w.stop, w.start) FROM kept k JOIN whole w ON w.doc_id = k.doc_id AND w.start >= k.stop GROUP BY w.doc_id)
+SELECT doc_id, start, stop FROM kept"""
+
+
+def _rewritten(rules: list[tuple[str, str]]) -> str:
+    """The line rules one after another, as SQL; ``translated`` goes in."""
+    made = "translated"
+    for pattern, gap in rules:
+        made = f"regexp_replace({made}, '{pattern}', '\\1' || " + " || ".join("chr(10)" if c == chr(10) else "' '" for c in gap) + " || '\\2', 'g')"
+    return f"SELECT doc_id, md5(fixed) AS fixed, fixed <> translated AS changed FROM (SELECT doc_id, translated, {made} AS fixed FROM tex_pairs)"
+
+
+# Spans of a text in SQL: rows (doc_id, start, stop, type, name, rank) by the pieces around the matches of a pattern.
+def _found(pattern: str, kind: str, name: str, rank: int, trim: int = 0, keep: str = "true", start: str = "start", stop: str = "stop") -> str:
+    return rf"""SELECT doc_id, {start} AS start, {stop} AS stop, '{kind}' AS type, {name} AS name, {rank} AS rank FROM (
+  SELECT doc_id, tag, CAST(sum(length(piece) + length(coalesce(before, ''))) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS start, start + length(tag) - {trim} AS stop
+  FROM (SELECT doc_id, i, pieces[i] AS piece, found[i] AS tag, found[i - 1] AS before FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (
+    SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS pieces, regexp_extract_all(text, '{pattern}') AS found FROM tex)))) WHERE {keep}"""
+
+
+def _matched(patterns: tuple[str, ...], kind: str, rank: int) -> list[str]:
+    """A pattern that ends by looking ahead takes that character, which ``trim`` gives back."""
+    made = []
+    for pattern in patterns:
+        trim = int("(?=" in pattern)
+        plain = pattern.replace(r"(?=[\[{])", r"[\[{]").replace(r"(?=\{)", r"\{")
+        made.append(_found(plain, kind, f"substr(tag, 1, length(tag) - {trim})", rank, trim))
+    return made
+
+
+def _spanned(names: list[str], kind: str, rank: int) -> str:
+    return rf"""SELECT doc_id, start, stop, '{kind}', name, {rank} FROM (
+  SELECT doc_id, name, d, stray, lag(pos) OVER (PARTITION BY doc_id, name, level ORDER BY i) AS start, pos + length(name) + 6 AS stop FROM nested) WHERE d < 0 AND NOT stray AND name IN ({", ".join(map(repr, names))})"""
+
+
+MATH_ROWS = [
+    _spanned(spans.MATH, "environment", 1), _found(r"(?s)\$\$.*?\$\$", "display", "'$$'", 2), _found(r"(?s)\\\[.*?\\\]", "display", r"'\[\]'", 2), _found(r"(?s)\\\(.*?\\\)", "inline", r"'\(\)'", 2),
+    rf"""SELECT doc_id, start, stop, 'inline', '$', 2 FROM (SELECT doc_id, lag(start) OVER w AS start, stop, row_number() OVER w AS n
+  FROM ({_found(r"(?s)\\.|\$\$|\$", "inline", "'$'", 2, keep="tag = '$'")}) WINDOW w AS (PARTITION BY doc_id ORDER BY stop)) WHERE n % 2 = 0""",
+]
+AUTHORS = rf"""SELECT a.doc_id, a.start, b.stop, 'author', 'author', 1 FROM ({_found(r"\\author\s*\{", "author", "'author'", 1)}) a
+  JOIN (SELECT doc_id, d, stray, place + 1 AS stop, lag(place) OVER (PARTITION BY doc_id, level ORDER BY place) AS start FROM closed) b ON a.doc_id = b.doc_id AND b.start = a.stop - 1 WHERE b.d < 0 AND NOT b.stray"""
+AUTHOR_BRACES = rf"""author_braces AS (SELECT doc_id, start AS place, CASE name WHEN '{{' THEN 1 ELSE -1 END AS d FROM ({_found("[{}]", "brace", "tag", 1)})
+  WHERE doc_id IN (SELECT doc_id FROM tex WHERE contains(text, '\author'))), {_levels("author_braces", "closed", "doc_id", "place")}"""
+# A run of backslashes separates once, by its first two; an ampersand after an even number of them separates.
+CELLS = [
+    _found(r"\\\\(?:\\+|(?:\s*\[[^\]]*\])?)", "separator", r"'\\'", 1, stop=r"CASE WHEN substr(tag, 3, 1) = '\' THEN start + 2 ELSE stop END"),
+    _found(r"\\*&", "separator", "'&'", 1, keep="length(tag) % 2 = 1", start="stop - 1"),
+]
+SPANS = {
+    "math": MATH_ROWS, "tables": [_spanned(spans.TABLES, "table", 1)], "table_commands": _matched(spans.TABLE_COMMANDS, "command", 1), "cells": CELLS, "authors": [AUTHORS],
+    "commands": _matched(spans.COMMANDS, "command", 3),
+}
+
+
+def _disjoint(rows: list[str]) -> str:
+    """Tables that end in ``kept``: spans by start, longer first, without those that begin inside a kept one; ``n`` numbers them from 0."""
+    best = "arg_min(x, (x.start, -x.stop, x.rank))"
+    return rf"""{_tags("tex")}, {_levels("tags", "nested", "doc_id, name", "i")}, {AUTHOR_BRACES},
+spans(doc_id, start, stop, type, name, rank) AS ({" UNION ALL ".join(rows)}),
+walk AS (SELECT doc_id, 0 AS n, {best} AS s FROM spans x GROUP BY doc_id
+  UNION ALL SELECT x.doc_id, any_value(w.n) + 1, {best} FROM walk w JOIN spans x ON x.doc_id = w.doc_id AND x.start >= w.s.stop GROUP BY x.doc_id),
+kept AS (SELECT doc_id, n, s.start AS start, s.stop AS stop, s.type AS type, s.name AS name FROM walk)"""
+
+
+def _replaced(rows: list[str], placeholder: str, result: str) -> str:
+    """``result`` over every text with its kept spans replaced by ``placeholder``, an expression of n."""
+    return rf"""WITH RECURSIVE {_disjoint(rows)},
+parts AS (SELECT doc_id, count(*) AS placeholders, max(stop) AS last, string_agg(gap || {placeholder}, '' ORDER BY n) AS head FROM (
+  SELECT k.doc_id, n, stop, substr(t.text, before + 1, start - before) AS gap FROM (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY n), 0) AS before FROM kept) k JOIN tex t USING (doc_id)) GROUP BY doc_id)
+SELECT doc_id, {result} FROM (SELECT doc_id, coalesce(placeholders, 0) AS placeholders, coalesce(head, '') || substr(t.text, coalesce(last, 0) + 1) AS text FROM tex t LEFT JOIN parts USING (doc_id))"""
+
+
+PROTECT = {kind: _replaced(rows, f"'<<<LATEX_{spans.PROTECTED[kind][0]}_' || n || '>>>'", "placeholders, md5(text) AS text") for kind, rows in SPANS.items()}
+COMMAND_ROWS = [_spanned([*spans.TABLES, "figure", "figure*", "verbatim", "lstlisting", "tikzpicture"], "environment", 0), *MATH_ROWS, *SPANS["commands"]]
+COMMANDS = f"WITH RECURSIVE {_disjoint(COMMAND_ROWS)} SELECT doc_id, type, name, start, stop FROM kept"
+PLAIN_TEXT = _replaced(COMMAND_ROWS, "''", "text AS plain")
+
+
 @query("SELECT doc_id, md5(text) AS restored FROM tex")
 def protection_round_trip(t):
     return rules.restore(rules.protect(t.tex, "text")).select("doc_id", F.md5("restored").alias("restored"))
@@ -20,7 +226,7 @@ def _protected(kind: str):
         return made.select("doc_id", F.size("protected.placeholders").alias("placeholders"), F.md5("protected.text").alias("text"))
 
     build.__name__ = f"protect_{kind}"
-    query()(build)
+    query(PROTECT[kind])(build)
 
 
 for _kind in spans.PROTECTED:
@@ -39,27 +245,27 @@ def chunking(t):
     return rules.chunk(t.tex, "doc_id", "text").select("doc_id", "chunk", F.octet_length("text").alias("bytes"))
 
 
-@query()
+@query(BREAK_POINTS)
 def chunk_break_points(t):
     return rules.with_text(t.tex, "at", lambda x: chunks.break_point(x, 400), "text", kind="long").select("doc_id", "at")
 
 
-@query()
+@query(BOUNDARIES)
 def environment_boundaries(t):
     return rules.explode_rule(t.tex, "doc_id", "text", chunks.boundaries, "start bigint, stop bigint")
 
 
-@query()
+@query(SYNTAX)
 def syntax_validation(t):
     return rules.validate(t.tex, "doc_id", "text", "syntax")
 
 
-@query()
+@query(EDITOR)
 def editor_validation(t):
     return rules.validate(t.tex, "doc_id", "text", "editor")
 
 
-@query()
+@query(PROJECT)
 def project_validation(t):
     return rules.validate(t.tex, "doc_id", "text", "project")
 
@@ -69,12 +275,12 @@ def structure_identification(t):
     return rules.structures(t.tex, "doc_id", "text")
 
 
-@query()
+@query(COMMANDS)
 def command_extraction(t):
     return rules.commands(t.tex, "doc_id", "text")
 
 
-@query()
+@query(PLAIN_TEXT)
 def plain_text_extraction(t):
     return rules.with_text(t.tex, "plain", spans.plain_text, "text").select("doc_id", "plain")
 
@@ -97,12 +303,18 @@ REPAIRS_ALONE = {
 }
 
 
+REPAIR_SQL = {
+    "repair_missing_ends": MISSING_ENDS, "repair_environments": MISSING_ENDS,
+    "repair_final_lines": _rewritten(repairs.LINE_BREAKS), "repair_line_structure": _rewritten(repairs.SPACED + repairs.BREAKS),
+}
+
+
 def _repair(name: str, rule, columns: tuple[str, ...]):
     def build(t):
         return rules.with_text(t.tex_pairs, "fixed", rule, *columns).select("doc_id", F.md5("fixed").alias("fixed"), (F.col("fixed") != F.col("translated")).alias("changed"))
 
     build.__name__ = name
-    query()(build)
+    query(REPAIR_SQL.get(name))(build)
 
 
 for _name, _rule in REPAIRS.items():
@@ -136,7 +348,7 @@ def encoding_detection(t):
     return rules.with_text(found, "t", lambda b: repairs.to_text(bytes(b)), "content").select("doc_id", "encoding", F.md5("t").alias("text"))
 
 
-@query()
+@query(LOG_EXCERPTS)
 def log_excerpts(t):
     log = t.joined(t.log_lines)
     return rules.with_text(log, "excerpt", lambda x: repairs.log_excerpt(x, 500), "text").select("doc_id", F.length("excerpt").alias("n"), F.md5("excerpt").alias("excerpt"))
