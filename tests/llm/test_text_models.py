@@ -1,8 +1,10 @@
+import math
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from inkspan.llm import decontaminate as D
@@ -228,3 +230,102 @@ def test_pages_of_unclosed_and_unopened_tags_take_linear_time():
 def test_inline_formulas_and_drawings_stay_in_the_text():
     page = "<article><h1>On sums</h1><p>We know <math>x=2</math> holds, and <object>so on</object> it goes for the rest of it.</p></article>"
     assert default_model().extract(page) == "On sums We know x=2 holds, and so on it goes for the rest of it."
+
+
+def plain_grams(text):
+    runs = "".join(c.lower()[0] if c.isalpha() else " " for c in text).split(" ")
+    padded = "   " + " ".join(r for r in runs if r) + " "
+    return [padded[i : i + 4] for i in range(len(padded) - 3)]
+
+
+def plain_kneser_ney(texts):
+    """Interpolated Kneser-Ney over dictionaries: a function of a character and the ones before it."""
+    counts = {4: Counter(g for t in texts for g in plain_grams(t))}
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cut, total, kinds = {}, Counter(), Counter()
+    for n, found in counts.items():
+        ones, twos = (sum(c == k for c in found.values()) for k in (1, 2))
+        cut[n] = ones / (ones + 2 * twos) if ones and twos else 0.5
+        for g, c in found.items():
+            total[n, g[:-1]] += c
+            kinds[n, g[:-1]] += 1
+
+    def probability(gram):
+        n = len(gram)
+        if not n:
+            return 1 / 65536
+        lower, head = probability(gram[1:]), gram[:-1]
+        if not total[n, head]:
+            return lower
+        own = counts[n][gram] - cut[n] if counts[n][gram] else 0
+        return own / total[n, head] + cut[n] * kinds[n, head] / total[n, head] * lower
+
+    return probability
+
+
+def test_cross_entropies_match_plain_dictionaries():
+    texts = {
+        "a": ["The cat sat on the mat, the cat ate.", "A hat! that 42 cats have"], "b": ["Der Hund und die Katze", "und der Über-Hund; der da"],
+        "c": ["猫在垫子上 猫吃", "x"], "d": ["zz"],
+    }
+    models = langid.Models({k: tuple(np.unique(np.concatenate([langid.grams(langid.symbols(x)) for x in t]), return_counts=True)) for k, t in texts.items()})
+    plain = [plain_kneser_ney(texts[k]) for k in models.langs]
+    for text in ["the cat", "Hund und Mat", "猫 x", "q", "ZZ zz! the 猫", "ÜBER 7 alles " * 50, "the hound\nsat\t"]:
+        grams = plain_grams(text)
+        wanted = [-sum(math.log(p(g)) for g in grams) / len(grams) for p in plain]
+        found, n = models.entropies(text)
+        assert n == len(grams) and np.allclose(found, wanted, rtol=1e-4, atol=1e-4)
+        assert models.predict(text)[0] == models.langs[int(np.argmin(wanted))]
+
+
+def plain_features(text):
+    """Index -> value of a text's features, by whole numbers and dictionaries."""
+    full, mix = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    words = text.split()
+    own = [xxhash.xxh64_intdigest(w.lower()) for w in words]
+    shapes = []
+    for i, w in enumerate(words):
+        kinds = [b"x" if c >= 128 or chr(c).islower() else b"X" if chr(c).isupper() else b"9" if chr(c).isdigit() else bytes([c]) for c in w]
+        shape = b"".join(k for j, k in enumerate(kinds) if not (j and k == kinds[j - 1] and k in (b"x", b"X", b"9")))
+        shapes.append(0x3D3D3D3D if i and own[i] == own[i - 1] else xxhash.xxh64_intdigest(shape))
+    found = Counter()
+    for i, hashes in enumerate((own, shapes)):
+        salt = 0x51ED27 * (2 * i + 1)
+        single = [(h ^ salt) * mix & full for h in hashes]
+        double = [(((a * mix + b) & full) ^ salt << 8) * mix & full for a, b in zip(hashes, hashes[1:])]
+        for scale, made in zip(quality.SCALES[2 * i :], (single, double)):
+            for h in made:
+                found[h >> 46] += scale / len(made)
+    return found
+
+
+def test_fitting_and_scores_match_plain_dictionaries():
+    rng = np.random.default_rng(4)
+    good, bad = "the of and Report study shows 1999 results".split(), "BUY now!!! $$ click win win FREE 100% é".split()
+    texts = [" ".join(rng.choice(good if i % 2 else bad, int(rng.integers(1, 40)))).encode() for i in range(40)] + [b"", b"one", b"a a a"]
+    labels = [i % 2 for i in range(43)]
+    model = quality.fit(texts, labels, passes=2)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    def chance(made):
+        return 1 / (1 + math.exp(-sum(weight(i) * v for i, v in made.items())))
+
+    rows = [plain_features(t) | {quality.DIMENSIONS: 1.0} for t in texts]
+    for _ in range(2):
+        for made, y in zip(rows, labels):
+            error = chance(made) - y
+            steps = []
+            for i, v in made.items():
+                g = error * v
+                steps.append((i, g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * weight(i), g * g))
+            for i, step, square in steps:
+                z[i] += step
+                n[i] += square
+    assert all(abs(model.score(t) - chance(made)) < 1e-4 for t, made in zip(texts, rows))
+    assert {int(i) for i in np.flatnonzero(model.weights)} == {i for i in z if weight(i)}
