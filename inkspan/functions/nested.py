@@ -20,13 +20,13 @@ def keep_disjoint(spans: DataFrame, key: str, start: str, stop: str) -> DataFram
 
 
 def mark_nested(spans: DataFrame, key: str, order: str, start: str, stop: str) -> DataFrame:
-    """Whether an interval lies strictly within another of its key, and the first that holds it.
+    """Whether an interval lies within another of its key, apart from both its ends, and the first that holds it.
 
     The join is keyed, so only intervals of one document meet.
     """
     other = spans.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(start).alias("b"), F.col(stop).alias("f"))
     s, e = F.col(start), F.col(stop)
-    holds = (F.col("b") <= s) & (F.col("f") >= e) & ((F.col("b") < s) | (F.col("f") > e)) & (F.col("o") != F.col(order))
+    holds = (F.col("b") < s) & (F.col("f") > e)
     joined = spans.join(other, (F.col(key) == F.col("k")) & holds, "left")
     return joined.groupBy(key, order).agg(F.min("o").isNotNull().alias("is_nested"), F.min("o").alias("parent"))
 

@@ -189,7 +189,7 @@ def plain_text(text: str) -> str:
 
 
 def structures(text: str) -> list[tuple[str, str, int, int, bool, str]]:
-    """(type, name, start, end, is_nested, parent type) by start; the parent is the first that strictly holds it."""
+    """(type, name, start, end, is_nested, parent type) by start; the parent is the first that begins before it and ends after it."""
     tables, maths = set(TABLES), set(MATH)
     found = comments(text) + [s for s in math(text) if s.kind != "environment"]
     for s in environments(text):
@@ -199,8 +199,9 @@ def structures(text: str) -> list[tuple[str, str, int, int, bool, str]]:
     found.sort(key=lambda s: (s.start, -s.end))
     out, holders = [], []
     for s in found:
-        holders = [h for h in holders if h.end >= s.end and h.end > s.start and (h.start, h.end) != (s.start, s.end)]
-        out.append((s.kind, s.name, s.start, s.end, bool(holders), holders[0].kind if holders else ""))
+        holders = [h for h in holders if h.end > s.start]
+        parent = next((h for h in holders if h.start < s.start and h.end > s.end), None)
+        out.append((s.kind, s.name, s.start, s.end, parent is not None, parent.kind if parent else ""))
         holders.append(s)
     return out
 

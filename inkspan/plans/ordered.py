@@ -31,7 +31,7 @@ def interval_deoverlap(t):
 
 @query(f"""
 WITH i AS ({SPANS}) SELECT a.doc_id, a.pos, min(b.pos) IS NOT NULL AS is_nested, min(b.pos) AS parent
-FROM i a LEFT JOIN i b ON a.doc_id = b.doc_id AND a.pos <> b.pos AND b.s <= a.s AND b.e >= a.e AND (b.s < a.s OR b.e > a.e) GROUP BY a.doc_id, a.pos
+FROM i a LEFT JOIN i b ON a.doc_id = b.doc_id AND b.s < a.s AND b.e > a.e GROUP BY a.doc_id, a.pos
 """)
 def nested_intervals(t):
     return nested.mark_nested(intervals(t), "doc_id", "pos", "s", "e")

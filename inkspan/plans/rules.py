@@ -215,6 +215,22 @@ COMMANDS = f"WITH RECURSIVE {_disjoint(COMMAND_ROWS)} SELECT doc_id, type, name,
 PLAIN_TEXT = _replaced(COMMAND_ROWS, "''", "text AS plain")
 
 
+STRUCTURE_ROWS = [
+    rf"""SELECT doc_id, off + length(live), off + length(line), 'comment', CASE WHEN regexp_matches(live, '^\s*$') THEN 'comment' ELSE 'inline_comment' END, 0 FROM (SELECT *, {LIVE} AS live,
+  CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) - length(line) - 1 AS BIGINT) AS off FROM tex_lines) WHERE length(live) < length(line)""",
+    *MATH_ROWS[1:],
+    rf"""SELECT doc_id, start, stop, CASE WHEN name IN ({", ".join(map(repr, spans.TABLES))}) THEN 'table' WHEN name IN ({", ".join(map(repr, spans.MATH))}) THEN 'display' ELSE 'environment' END, name, 3 FROM (
+  SELECT doc_id, name, d, stray, lag(pos) OVER (PARTITION BY doc_id, name, level ORDER BY i) AS start, pos + length(name) + 6 AS stop FROM nested) WHERE d < 0 AND NOT stray""",
+    _found(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^{}]*\})?", "command", "tag", 4),
+]
+STRUCTURES = rf"""WITH {_tags("tex")}, {_levels("tags", "nested", "doc_id, name", "i")},
+spans(doc_id, start, stop, type, name, rank) AS ({" UNION ALL ".join(STRUCTURE_ROWS)}),
+numbered AS (SELECT *, row_number() OVER () AS n FROM spans)
+SELECT any_value(a.doc_id) AS doc_id, any_value(a.start) AS start, any_value(a.stop) AS stop, any_value(a.type) AS type, any_value(a.name) AS name, count(b.doc_id) > 0 AS is_nested,
+  coalesce(arg_min(b.type, (b.start, -b.stop, b.rank)) FILTER (b.doc_id IS NOT NULL), '') AS parent_type
+FROM numbered a LEFT JOIN spans b ON a.doc_id = b.doc_id AND b.start < a.start AND b.stop > a.stop GROUP BY a.n"""
+
+
 @query("SELECT doc_id, md5(text) AS restored FROM tex")
 def protection_round_trip(t):
     return rules.restore(rules.protect(t.tex, "text")).select("doc_id", F.md5("restored").alias("restored"))
@@ -270,7 +286,7 @@ def project_validation(t):
     return rules.validate(t.tex, "doc_id", "text", "project")
 
 
-@query()
+@query(STRUCTURES)
 def structure_identification(t):
     return rules.structures(t.tex, "doc_id", "text")
 

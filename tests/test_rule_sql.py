@@ -46,6 +46,8 @@ def found(name, tex, pairs, logs):
         return ["doc_id", "placeholders", "text"], [(d, len(p), md5(x)) for d, t in tex for x, p in [spans.protect_kind(t, name[8:])]]
     if name == "command_extraction":
         return ["doc_id", "type", "name", "start", "stop"], [(d, s.kind, s.name, s.start, s.end) for d, t in tex for s in spans.commands(t)]
+    if name == "structure_identification":
+        return ["doc_id", "type", "name", "start", "stop", "is_nested", "parent_type"], [(d, *r) for d, t in tex for r in spans.structures(t)]
     if name == "plain_text_extraction":
         return ["doc_id", "plain"], [(d, spans.plain_text(t)) for d, t in tex]
     rule = {
@@ -68,7 +70,7 @@ def duck():
 @pytest.mark.parametrize(
     "name",
     "syntax_validation editor_validation project_validation log_excerpts chunk_break_points environment_boundaries repair_missing_ends repair_environments repair_final_lines repair_line_structure "
-    "protect_math protect_tables protect_table_commands protect_cells protect_authors protect_commands command_extraction plain_text_extraction".split(),
+    "protect_math protect_tables protect_table_commands protect_cells protect_authors protect_commands command_extraction plain_text_extraction structure_identification".split(),
 )
 def test_rule_matches_its_sql(duck, name):
     tex = duck.execute(sql("SELECT doc_id, text FROM tex")).fetchall()
