@@ -10,9 +10,12 @@ from inkspan.llm.chat import format_chat
 from inkspan.llm.decontaminate import find_contamination
 from inkspan.llm.exact_dedup import mark_duplicates
 from inkspan.llm.html_extract import extract_text
+from inkspan.llm.importance import resample
 from inkspan.llm.packing import pack_documents
 from inkspan.llm.sharding import TABLE_SIZE, assign_shards, lookup_table
 from inkspan.llm.simhash import near_duplicates
+from inkspan.llm.spotsigs import COMMON_WORDS, compare_neighbours, fingerprint
+from inkspan.llm.whitening import whiten
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 
@@ -132,6 +135,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("conv_id", "seq", "turn", "kind", "role", "call_id", "depth", "linked", F.array_join("errors", "; ").alias("errors"), "json")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compare_neighbours(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("signatures").alias("fingerprint"),
+        fingerprint("edited_signatures").alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -143,6 +164,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
     "op10_chat_format": op10_chat_format,
+    "op11_whitening": op11_whitening,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_importance": op13_importance,
 }
 
 OP3_SQL = r"""
@@ -222,5 +246,69 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRS
 """
 
 
+def op12_sql() -> str:
+    """Signatures by windows over the words: each anchor with the content words numbered after it."""
+    common = ", ".join(f"'{w}'" for w in COMMON_WORDS)
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS next_t,
+         coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id
+  FROM documents WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, substring(t, 1, length(t) - length(t) // 3) || substring(next_t, 1, length(t) // 3) AS edited FROM d),
+texts AS (SELECT doc_id, 0 AS kind, t FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+split AS (SELECT doc_id, kind, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS ws FROM texts),
+words AS (SELECT doc_id, kind, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM split),
+flagged AS (SELECT *, w IN ({common}) AS common FROM words),
+numbered AS (
+  SELECT *, count(*) FILTER (NOT common) OVER (PARTITION BY doc_id, kind ORDER BY i) AS k,
+         concat_ws(' ', w, lead(w, 1) OVER (PARTITION BY doc_id, kind ORDER BY i), lead(w, 2) OVER (PARTITION BY doc_id, kind ORDER BY i)) AS plain FROM flagged),
+content AS (
+  SELECT doc_id, kind, k, concat_ws(' ', w, lead(w) OVER (PARTITION BY doc_id, kind ORDER BY k)) AS chain FROM numbered WHERE NOT common),
+anchored AS (SELECT n.doc_id, n.kind, n.w || ' ' || c.chain AS s FROM numbered n JOIN content c ON n.doc_id = c.doc_id AND n.kind = c.kind AND c.k = n.k + 1 WHERE n.common),
+signed AS (
+  SELECT * FROM anchored UNION ALL
+  SELECT doc_id, kind, plain FROM numbered WHERE (doc_id, kind) NOT IN (SELECT (doc_id, kind) FROM anchored)),
+sets AS (SELECT doc_id, kind, list_sort(list_distinct(list(substr(md5(s), 1, 8)))) AS z FROM signed GROUP BY doc_id, kind),
+three AS (
+  SELECT e.doc_id, length(t) AS n_chars, sha256(edited) AS edited_sha256, coalesce(a.z, []) AS a, coalesce(b.z, []) AS b, coalesce(c.z, []) AS c
+  FROM e LEFT JOIN sets a ON a.doc_id = e.doc_id AND a.kind = 0 LEFT JOIN sets b ON b.doc_id = e.doc_id AND b.kind = 1 LEFT JOIN sets c ON c.doc_id = e.next_id AND c.kind = 0)
+SELECT doc_id, n_chars, edited_sha256, coalesce(array_to_string(a, ''), '') AS fingerprint, coalesce(array_to_string(b, ''), '') AS edited_fingerprint,
+  CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE CAST(len(list_intersect(a, b)) AS DOUBLE) / (len(a) + len(b) - len(list_intersect(a, b))) END AS near_edited,
+  CASE WHEN len(a) + len(c) = 0 THEN 1.0 ELSE CAST(len(list_intersect(a, c)) AS DOUBLE) / (len(a) + len(c) - len(list_intersect(a, c))) END AS near_next
+FROM three
+"""
+
+
+#: CRC-32 of distinct features byte by byte over the table of the reflected polynomial, which SQL derives too; then counts, gains and ranks.
+OP13_SQL = r"""
+WITH RECURSIVE steps(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+texts AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+split AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+features AS (
+  SELECT kind, id, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS f FROM split),
+grouped AS (SELECT kind, id, f, count(*) AS n FROM features GROUP BY ALL),
+hashed AS (
+  SELECT f, xor(list_reduce([4294967295] || list_transform(range(len(hex(f)) // 2), lambda i: ('0x' || substr(hex(f), 2 * i + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM grouped), crc),
+counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (kind = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 1), 0)::DOUBLE AS t FROM grouped JOIN hashed USING (f) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0)::DOUBLE AS all_s, coalesce(sum(t), 0)::DOUBLE AS all_t FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::BIGINT AS gain FROM counts, totals),
+weights AS (SELECT id AS doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM grouped JOIN hashed USING (f) JOIN gains USING (bucket) WHERE kind = 0 GROUP BY id),
+scored AS (
+  SELECT id AS doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, len(ws) >= 20 AS enough,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM split LEFT JOIN weights ON id = doc_id WHERE kind = 0),
+placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 25 // 100 AS k FROM scored WHERE enough)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= k THEN place END AS rank FROM scored s LEFT JOIN placed USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": op1_sql(), "op3_exact_dedup": OP3_SQL, "op10_chat_format": op10_sql()}
+    return {"op12_fingerprints": op12_sql(), "op13_importance": OP13_SQL, "op1_sharding": op1_sql(), "op3_exact_dedup": OP3_SQL, "op10_chat_format": op10_sql()}
