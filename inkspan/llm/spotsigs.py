@@ -96,28 +96,29 @@ def jaccard(left: Column | str, right: Column | str, threshold: float = 0.0) ->
 def with_next(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
     """``docs`` (id, ``text``) dealt by ``block`` for looking at the next document by descending id; ``late`` marks copies.
 
-    Ids at evenly spread ranks split the table into blocks that one window task
-    each can order. The document that opens a block is also sent to the block
-    before, behind its rows, and the very first one to the last block. The
-    number of partitions is fixed, as reading signatures costs much for few bytes.
+    Evenly spread values split the ids into blocks that one window task each can
+    order. The document that opens a block is also sent to the block before,
+    behind its rows, and the very first one to the last block. The number of
+    partitions is fixed, as reading signatures costs much for few bytes.
     """
-    key = F.col(id_col)
-    blocks = BLOCKS * parts
-    shares = [k / blocks for k in range(1, blocks)]
-    row = docs.agg(F.max(key), F.percentile_approx(key, F.array(*[F.lit(s) for s in shares]), F.lit(20 * blocks))).first()
-    first, splits = row[0], sorted(set(row[1] or []), reverse=True)
-    step = max(1, math.isqrt(len(splits)))
-    if splits:
-        literal = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-        coarse = F.size(F.filter(literal(splits[step - 1 :: step]), lambda s: s >= key))
-        fine = F.size(F.filter(F.slice(literal(splits), coarse * step + 1, step), lambda s: s >= key))
+    key, blocks = F.col(id_col), BLOCKS * parts
+    spread = F.percentile_approx(key, F.array(*[F.lit(k / blocks) for k in range(1, blocks)]), F.lit(20 * blocks))
+    splits = sorted(set(docs.agg(spread).first()[0] or []), reverse=True)
+    literal = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])
+    if splits:  # how many splits are not below the id, counted by strides first
+        step = max(1, math.isqrt(len(splits)))
+        coarse = F.size(F.filter(literal(splits[step - 1 :: step], "long"), lambda s: s >= key))
+        fine = F.size(F.filter(F.slice(literal(splits, "long"), coarse * step + 1, step), lambda s: s >= key))
         block = F.when(key.isNull(), len(splits)).otherwise(coarse * step + fine)
-        opens = (F.col("block_") > 0) & (key == F.get(literal(splits), F.col("block_") - 1))
     else:
-        block, opens = F.lit(0), F.lit(False)
-    wraps = key == first if first is not None else F.lit(True)
+        block = F.lit(0)
+    opening = sorted((r["block"], r["first"]) for r in docs.groupBy(block.alias("block")).agg(F.max(key).alias("first")).collect())
+    first, before = [None] * (len(splits) + 1), [None] * (len(splits) + 1)
+    for (b, value), (previous, _) in zip(opening, opening[-1:] + opening[:-1]):
+        first[b], before[b] = value, previous
+    opens = key.eqNullSafe(F.get(literal(first, "long"), F.col("block_")))
     place = lambda b, late: F.struct(b.cast("int").alias("block"), F.lit(late).alias("late"))
-    sent = F.array(place(F.col("block_"), 0), F.when(opens, place(F.col("block_") - 1, 1)), F.when(wraps, place(F.lit(len(splits)), 1)))
+    sent = F.array(place(F.col("block_"), 0), F.when(opens, place(F.get(literal(before, "int"), F.col("block_")), 1)))
     dealt = docs.withColumn("block_", block).select(id_col, "text", F.explode(F.array_compact(sent)).alias("to"))
     return dealt.select(id_col, "text", "to.block", "to.late").repartition(parts, "block")
 
@@ -137,8 +138,8 @@ def compare_neighbours(
     is the Jaccard similarity of the sets, 0 where it is under ``threshold``.
     An empty table gives an empty result. Other columns of ``docs`` are not read.
 
-    The texts are shuffled once. Only the blocks' first ids, ``BLOCKS`` for each
-    shuffle partition, pass through the driver.
+    The texts are shuffled once. Only the blocks' bounds and first ids, ``BLOCKS``
+    for each shuffle partition, pass through the driver.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
