@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
+from inkspan.functions.rules.alignment import align
+from inkspan.functions.rules.groups import close_arguments, drop_repeated_ends, uncross, unopened
 from inkspan.functions.rules.spans import TAG, balanced
 from inkspan.functions.rules.validators import live
 from inkspan.functions.text import TYPOS
@@ -145,24 +148,25 @@ def fix_line(line: str, reference: str) -> str:
 
 
 def fix_by_lines(text: str, original: str) -> str:
-    """Line by line, where the line counts differ by a tenth at most."""
-    a, b = original.split("\n"), text.split("\n")
-    if not text or not original or abs(len(a) - len(b)) > len(a) // 10:
+    """Each line against the line of the original that it is aligned with; lines without one stay."""
+    if not text or not original:
         return text
-    return "\n".join([fix_line(x, y) for x, y in zip(b, a)] + b[len(a) :])
+    a, b = original.split("\n"), text.split("\n")
+    for i, j in align(b, a).items():
+        b[i] = fix_line(b[i], a[j])
+    return "\n".join(b)
 
 
 def restore_comments(text: str, original: str) -> str:
-    """Comment signs that the original has, where line counts differ by a fifth at most; commented tags anywhere."""
+    """Comment signs that a line's counterpart in the original has; commented tags anywhere."""
     if not text or not original:
         return text
     a, b = original.split("\n"), text.split("\n")
     hidden = {m.group() for line in a if _is_comment(line) for m in TAG.finditer(line)}
     shown = {m.group() for line in a if not _is_comment(line) for m in TAG.finditer(line)}
-    if abs(len(a) - len(b)) <= len(a) // 5:
-        for i, (x, y) in enumerate(zip(b, a)):
-            if _is_comment(y) and x.strip() and not _is_comment(x) and _alike(y, x):
-                b[i] = "% " + x.lstrip(" \t")
+    for i, j in align(b, a).items():
+        if _is_comment(a[j]) and b[i].strip() and not _is_comment(b[i]) and _alike(a[j], b[i]):
+            b[i] = "% " + b[i].lstrip(" \t")
     for i, line in enumerate(b):
         tags = {m.group() for m in TAG.finditer(line)}
         if tags and not _is_comment(line) and tags <= hidden - shown and re.fullmatch(r"\s*", TAG.sub("", line)):
@@ -170,6 +174,28 @@ def restore_comments(text: str, original: str) -> str:
     return "\n".join(b)
 
 
+def pair_commented_tags(text: str, original: str) -> str:
+    """Begin and end of an environment both in comments or both not: as the original has it, else not."""
+    if not text or not original:
+        return text
+    hidden = {m.group(2) for line in original.split("\n") if _is_comment(line) for m in TAG.finditer(line)}
+    shown = {m.group(2) for line in original.split("\n") if not _is_comment(line) for m in TAG.finditer(line)}
+    lines, begun = text.split("\n"), {}
+    for i, line in enumerate(lines):
+        for m in TAG.finditer(line):
+            if m.group(1) == "begin":
+                begun.setdefault(m.group(2), []).append(i)
+            elif begun.get(m.group(2)):
+                j = begun[m.group(2)].pop()
+                if _is_comment(lines[i]) != _is_comment(lines[j]):
+                    at = j if _is_comment(lines[j]) else i  # the commented one
+                    if m.group(2) in hidden - shown:
+                        lines[i + j - at] = "% " + lines[i + j - at].lstrip(" \t")
+                    else:
+                        lines[at] = re.sub(r"^([ \t]*)%+[ \t]?", r"\1", lines[at])
+    return "\n".join(lines)
+
+
 def _brace_marks(text: str) -> list[tuple[int, str]]:
     return [(m.start(), m.group()) for m in re.finditer(r"(?<!\\)[{}]", re.sub(r"(?<!\\)%[^\n]*", lambda m: " " * len(m.group()), text))]
 
@@ -183,11 +209,10 @@ def restore_braces(text: str, original: str = "") -> str:
     out = text.split("\n")
     if original:
         reference = original.split("\n")
-        if len(reference) == len(out):
-            for i, (x, y) in enumerate(zip(out, reference)):
-                lacking = _surplus(x) - _surplus(y)
-                if lacking > 0 and not _is_comment(x):
-                    out[i] = x.rstrip() + "}" * lacking
+        for i, j in align(out, reference).items():
+            lacking = _surplus(out[i]) - _surplus(reference[j])
+            if lacking > 0 and not _is_comment(out[i]):
+                out[i] = out[i].rstrip() + "}" * lacking
     return close_braces("\n".join(out))
 
 
@@ -220,11 +245,12 @@ def tidy(text: str) -> str:
 
 
 def postprocess(text: str, original: str) -> str:
-    """Chunk repair in its fixed order: lines, comments, environments, nesting, braces, tables, white space."""
+    """Chunk repair in its fixed order: lines, comments, commented tags, environments, nesting, crossing, braces, tables, white space."""
     if not text:
         return text
-    text = restore_environments(restore_comments(restore_line_structure(text, original), original), original)
-    return tidy(fix_tabular(restore_braces(fix_nesting(text), original)))
+    text = pair_commented_tags(restore_comments(restore_line_structure(text, original), original), original)
+    text = uncross(fix_nesting(restore_environments(text, original)))
+    return tidy(fix_tabular(restore_braces(close_arguments(text), original)))
 
 
 INPUT = re.compile(r"(?m)^[^%\n]*?(\\(?:input|include)\{[^}]+\})")
@@ -258,8 +284,42 @@ def restore_appendix(text: str, original: str) -> str:
     return text[:place] + "\\appendix\n" + text[place:]
 
 
+# Set-up commands before which an opening brace stands alone, and what may not be glued to a table's end.
+SET_UP = r"\\(?:setlength|renewcommand|begin\{(?:table|figure)|centering|caption)"
+TABLE_ENDS = [
+    (r"(\\end\{table\*?\}\s*\n\})([^\s}])", "\n\n"), (r"(\\end\{table\*?\})([^\s}%])", "\n\n"),
+    (r"(\n\})(\\(?:textbf|textit|textsc|emph|section|subsection|paragraph)\{)", "\n\n"), (r"(\n\})([A-Za-z\u4e00-\u9fff])", "\n\n"),
+]
+
+
+def drop_braces_after_tables(text: str) -> str:
+    """Closing braces that close nothing and stand alone on the line behind a table's end."""
+    out, at = [], 0
+    for place in unopened(text):
+        head, stop = text.rfind("\n", 0, place) + 1, text.find("\n", place)
+        stop = stop + 1 if stop >= 0 else len(text)
+        before = text[text.rfind("\n", 0, max(head - 1, 0)) + 1 : head]
+        if text[head:stop].strip() == "}" and re.search(r"\\end\{table\*?\}\s*\Z", before):
+            out.append(text[at:head])
+            at = stop
+    return "".join([*out, text[at:]])
+
+
+def free_comment_braces(text: str) -> str:
+    """An opening brace that ended up behind a comment, before a set-up command, gets a line of its own."""
+    return re.sub(rf"(?m)^([ \t]*%[^\n]*?)\{{[ \t]*\n(?=[ \t]*{SET_UP})", lambda m: m.group(1).strip(" \t") + "\n\n{\n", text)
+
+
+def drop_styled_metadata(text: str) -> str:
+    """Lines of classification mark-up whose tags were set in mathematical italics."""
+    styled = lambda line: any(0x1D400 <= ord(c) <= 0x1D7FF for c in line)
+    metadata = lambda line: re.search(r"concept(?:id|desc|significance)|ccs2012|CCSXML", unicodedata.normalize("NFKC", line))
+    return "\n".join(line for line in text.split("\n") if line.isascii() or not (styled(line) and metadata(line)))
+
+
 def reference_fixes(text: str, original: str) -> str:
-    """Repairs against the original in their fixed order: tags, includes, appendix, lines, comments, ends, braces."""
+    """Repairs against the original in their fixed order: commented tags, includes, appendix, aligned lines, the document's end,
+    crossing closers, comments, ends, cell and caption arguments, lines around tables, stray braces, braces in all."""
     if not original:
         return text
     hidden = {m.group() for line in original.split("\n") if _is_comment(line) for m in TAG.finditer(line)}
@@ -269,7 +329,10 @@ def reference_fixes(text: str, original: str) -> str:
         wrong = tags and _is_comment(line) and not tags & hidden and all(t in original for t in tags)
         lines.append(re.sub(r"^([ \t]*)%+[ \t]?", r"\1", line) if wrong else line)
     text = restore_appendix(restore_inputs("\n".join(lines), original), original)
-    return close_braces(insert_missing_ends(restore_comments(fix_by_lines(text, original), original)))
+    text = uncross(drop_repeated_ends(fix_by_lines(text, original)))
+    text = close_arguments(insert_missing_ends(restore_comments(text, original)))
+    text = drop_styled_metadata(free_comment_braces(drop_braces_after_tables(rewrite(text, TABLE_ENDS))))
+    return close_braces(text)
 
 
 def _columns(definition: str) -> int:

@@ -93,6 +93,29 @@ def recover(rows: DataFrame, text: str, original: str, placeholders: str) -> Dat
     return rows.withColumn("recovered", applied(F.col(text), F.col(original), F.col(placeholders)))
 
 
+def repair_workflow(rows: DataFrame, text: str, rule: Callable[[str], str] = repairs.auto_fix, check: str = "editor") -> DataFrame:
+    """``rows`` with ``issues_before``, ``issues_after`` (long), ``decision`` and ``kept``: each text is checked, repaired and checked again.
+
+    A repair after which the check finds more than before is ``rejected`` and the
+    older text kept; else it is ``accepted``, or the text was ``unchanged``. A
+    null text counts as empty. One row comes out per row, nothing is shuffled.
+    """
+    found = validators.CHECKS[check]
+
+    @F.pandas_udf("fixed string, before long, after long")
+    def applied(series: pd.Series) -> pd.DataFrame:
+        texts = [x or "" for x in series]
+        fixed = [rule(x) for x in texts]
+        return pd.DataFrame({"fixed": fixed, "before": [len(found(x)) for x in texts], "after": [len(found(x)) for x in fixed]})
+
+    old, new = F.coalesce(F.col(text), F.lit("")), F.col("repair_.fixed")
+    made = rows.withColumn("repair_", applied(F.col(text)))
+    made = made.withColumns({"issues_before": F.col("repair_.before"), "issues_after": F.col("repair_.after")})
+    rose = F.col("issues_after") > F.col("issues_before")
+    decision = F.when(new == old, "unchanged").when(rose, "rejected").otherwise("accepted")
+    return made.withColumns({"decision": decision, "kept": F.when(rose, old).otherwise(new)}).drop("repair_")
+
+
 def regex_fix(rows: DataFrame, text: str, pattern: str, replacement: str) -> DataFrame:
     """A caller's pattern and replacement over each text, with whether it changed."""
     fixed = F.regexp_replace(text, pattern, replacement)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkspan.plans.views import Tables, sql
 
 FLAGSHIP = "document_structure_profile"
-MODULES = ["scalar", "relational", "markup", "ordered", "rules"]
+MODULES = ["scalar", "relational", "markup", "ordered", "rules", "repairs", "stores"]
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}

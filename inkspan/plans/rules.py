@@ -315,7 +315,7 @@ REPAIRS = {
 REPAIRS_ALONE = {
     "repair_missing_ends": repairs.insert_missing_ends, "repair_nesting": repairs.fix_nesting, "repair_final_lines": repairs.fix_line_structure, "repair_tables": repairs.fix_table_layout,
     "repair_figures": repairs.fix_figure_layout, "repair_wide_tables": repairs.widen_tables, "repair_resizebox": repairs.close_resizebox, "repair_simple": repairs.simple_fix,
-    "repair_auto": repairs.auto_fix, "repair_quick": repairs.quick_fix,
+    "repair_quick": repairs.quick_fix,
 }
 
 

@@ -120,6 +120,48 @@ class Tables:
         made = F.transform(F.split("original", "\n", -1), lambda line, n: self.translated_line(d, n.cast("long"), line))
         return self.tex.withColumnRenamed("text", "original").select(d, "original", F.array_join(made, "\n").alias("translated"))
 
+    def damaged(self, head, line, tail) -> DataFrame:
+        """``original`` and ``translated`` texts, line by line inside the row; the three give (sound, damaged) pieces."""
+        d = F.col("doc_id")
+        plain = lambda x: F.trim(F.regexp_replace(x, "[^A-Za-z0-9]+", " "))
+
+        def whole(side: int):
+            lines = F.transform(F.split("text", "\n", -1), lambda x, n: line(d + n.cast("long"), plain(x))[side])
+            return F.concat(head(d)[side], F.array_join(lines, "\n"), tail(d)[side])
+
+        return self.documents.filter("text is not null").select(d, whole(0).alias("original"), whole(1).alias("translated"))
+
+    @cached_property
+    def cell_tables(self) -> DataFrame:
+        """Every line of a document as a table row; four in five rows and a third of the captions have lost braces."""
+
+        def row(k, w):
+            cell = lambda a, b: F.concat(F.lit("\\multirow{2}{*}{\\textbf{"), w, F.lit(a + " & x & \\multicolumn{2}{c}{\\textit{"), w, F.lit(b + " \\\\"))
+            return cell("}}", "}}"), F.when(k % 5 == 0, cell("", "}}")).when(k % 5 == 1, cell("}", "}}")).when(k % 5 == 2, cell("}}", "")).when(k % 5 == 3, cell("}}", "}")).otherwise(cell("}}", "}}"))
+
+        head = lambda d: [F.concat(F.lit("\\begin{table}\n\\caption{Table "), text(d), close, F.lit("\n\\begin{tabular}{llll}\n")) for close in (F.lit("}"), F.when(d % 3 == 0, "").otherwise("}"))]
+        return self.damaged(head, row, lambda d: [F.lit("\n\\end{tabular}\n\\end{table}")] * 2)
+
+    @cached_property
+    def crossed_groups(self) -> DataFrame:
+        """Lines in nested braces and environments whose closers cross in the translation; every other document ends twice."""
+
+        def block(k, w):
+            sound = [["\\begin{center}\n\\scalebox{0.8}{\n", "\n}\n\\end{center}"], ["\\resizebox{1}{!}{\\begin{tabular}{l}", "\\end{tabular}}"], ["\\begin{center}\\textbf{\\begin{small}\\emph{", "}\\end{small}}\\end{center}"], ["", ""]]
+            crossed = [["\\begin{center}\n\\scalebox{0.8}{\n\\end{center}\n", "\n}"], ["\\resizebox{1}{!}{\\begin{tabular}{l}", "}\\end{tabular}"], ["\\begin{center}\\textbf{\\begin{small}\\emph{", "}\\end{center}\\end{small}}"], ["", ""]]
+            return [F.concat(_pick([a for a, _ in made], k), w, _pick([b for _, b in made], k)) for made in (sound, crossed)]
+
+        end = "\n\\end{document}\n"
+        tail = lambda d: [F.lit(end), F.when(d % 2 == 0, end + end[1:]).otherwise(end)]
+        return self.damaged(lambda d: [F.lit("\\begin{document}\n")] * 2, block, tail)
+
+    @cached_property
+    def shifted_pairs(self) -> DataFrame:
+        """Texts with a line put in before and behind, where a quarter of the lines has lost its comment sign."""
+        d = F.col("doc_id")
+        made = F.transform(F.split("original", "\n", -1), lambda x, n: F.when((d + n) % 4 == 0, F.regexp_replace(x, "^% ", "")).otherwise(x))
+        return self.tex.withColumnRenamed("text", "original").select(d, "original", F.concat(F.lit("\\section{Inserted}\n"), F.array_join(made, "\n"), F.lit("\n\\section{Added}")).alias("translated"))
+
     @cached_property
     def blocks(self) -> DataFrame:
         d, n = F.col("doc_id"), F.col("line_no")
@@ -224,6 +266,15 @@ VIEWS = {
     "tex": "SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM tex_lines GROUP BY doc_id",
     "tex_pairs": """SELECT a.doc_id, a.text AS original, b.text AS translated FROM tex a
       JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM tex_translated_lines GROUP BY doc_id) b USING (doc_id)""",
+    "plain_lines": "SELECT doc_id, line_no, trim(regexp_replace(line, '[^A-Za-z0-9]+', ' ', 'g')) AS w FROM doc_lines",
+    "cell_tables": rf"""SELECT doc_id, '\begin{{table}}' || chr(10) || '\caption{{Table ' || doc_id || '}}' || chr(10) || '\begin{{tabular}}{{llll}}' || chr(10)
+      || string_agg('\multirow{{2}}{{*}}{{\textbf{{' || w || '}}}} & x & \multicolumn{{2}}{{c}}{{\textit{{' || w || '}}}} \\', chr(10) ORDER BY line_no) || chr(10) || '\end{{tabular}}' || chr(10) || '\end{{table}}' AS original,
+      doc_id % 3 = 0 OR bool_or({K} % 5 <> 4) AS damaged FROM plain_lines GROUP BY doc_id""",
+    "crossed_groups": rf"""SELECT doc_id, '\begin{{document}}' || chr(10) || string_agg(CASE {K} % 4 WHEN 0 THEN '\begin{{center}}' || chr(10) || '\scalebox{{0.8}}{{' || chr(10) || w || chr(10) || '}}' || chr(10) || '\end{{center}}'
+      WHEN 1 THEN '\resizebox{{1}}{{!}}{{\begin{{tabular}}{{l}}' || w || '\end{{tabular}}}}' WHEN 2 THEN '\begin{{center}}\textbf{{\begin{{small}}\emph{{' || w || '}}\end{{small}}}}\end{{center}}' ELSE w END, chr(10) ORDER BY line_no)
+      || chr(10) || '\end{{document}}' || chr(10) AS original, doc_id % 2 = 0 OR bool_or({K} % 4 <> 3) AS damaged FROM plain_lines GROUP BY doc_id""",
+    "shifted_pairs": rf"""SELECT doc_id, '\section{{Inserted}}' || chr(10) || string_agg(line, chr(10) ORDER BY line_no) || chr(10) || '\section{{Added}}' AS wanted,
+      bool_or({K} % 4 = 0 AND starts_with(line, '% ')) AS damaged FROM tex_lines GROUP BY doc_id""",
     "blocks": """SELECT doc_id, line_no AS pos, 1 + line_no // 20 AS page, CAST(72 + (doc_id * 7 + line_no) % 5 * 100 AS DOUBLE) AS x,
       CAST(800 - 12 * (line_no % 20) + (doc_id + line_no) % 3 AS DOUBLE) AS y, 5.0::DOUBLE * length(line) AS width, 10.0::DOUBLE AS height,
       CAST(9 + (doc_id + line_no) % 6 AS DOUBLE) AS font_size, (doc_id + line_no) % 4 = 0 AS is_bold,

@@ -20,7 +20,7 @@ def test_no_products_and_python_only_in_rules(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "BatchEvalPython" not in text
-    if catalog.query_module(name) != "rules" and name not in ("batch_packing", "batch_partition", "structure_spans"):
+    if catalog.query_module(name) not in ("rules", "repairs") and name not in ("batch_packing", "batch_partition", "structure_spans"):
         assert "ArrowEvalPython" not in text and "MapInArrow" not in text
 
 
