@@ -14,6 +14,7 @@ import html as entities
 import math
 import random
 import re
+import zlib
 from functools import lru_cache
 
 import pyarrow as pa
@@ -26,7 +27,7 @@ UNSEEN = set("head title script style noscript template iframe".split())
 RAW = set("title script style noscript template iframe textarea".split())
 INLINE = set("a abbr b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 BOILERPLATE = set(
-    "ad ads adbox advert adverts advertisement banner bar breadcrumb breadcrumbs byline comment comments consent contact cookie cookies copyright disclaimer disqus dropdown footer form gdpr header legal links login masthead menu meta modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup privacy promo promoted recommended related replies reply respond search share sharing side sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets".split()
+    "ad ads adbox advert adverts advertisement banner bar breadcrumb breadcrumbs byline comment comments consent contact cookie cookies copyright disclaimer discussion disqus dropdown footer form gdpr header legal links login masthead menu meta modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup privacy promo promoted rail reactions recommended related replies reply respond search share sharing side sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets".split()
 )
 CONTENT = set("article body content entry main page post story text".split())
 ROLES = set("alert banner complementary contentinfo dialog form menu menubar navigation note search toolbar".split())
@@ -37,6 +38,13 @@ IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
+GROUPS = [pair for i, pair in enumerate(IMPLIED.values()) if pair not in list(IMPLIED.values())[:i]]
+ENDING = {t: [g for g, (ends, _) in enumerate(GROUPS) if t in ends] for t in {x for ends, _ in GROUPS for x in ends}}
+HOLDING = {t: [g for g, (_, stops) in enumerate(GROUPS) if t in stops] for t in {x for _, stops in GROUPS for x in stops}}
+#: Elements that hold running text; a name on one of them says less than on one that holds blocks.
+TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption".split())
+#: Buckets of hashed words of names.
+NAME_BUCKETS = 1024
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -59,6 +67,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     stack: list[tuple[str, int]] = []  # open elements with the block each belongs to
     parts: list[str] = []
     opened: dict[str, int] = {}  # open elements by tag
+    ends_open = [[0] for _ in GROUPS]  # by group of implied ends: how many could be ended, in each element that holds them back
     inline: list[dict[str, int]] = [{}]  # inline ones since each open block, so that an end tag without its start costs no walk
     at, pos, size, in_link = 0, 0, len(page), 0
 
@@ -74,6 +83,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         while len(stack) > depth:
             tag, block = stack.pop()
             opened[tag] -= 1
+            for g in HOLDING.get(tag, ()):
+                ends_open[g].pop()
+            for g in ENDING.get(tag, ()):
+                ends_open[g][-1] -= 1
             if tag in INLINE:
                 inline[-1][tag] -= 1
             else:
@@ -87,6 +100,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     def opening(tag: str, block: int) -> None:
         stack.append((tag, block))
         opened[tag] = opened.get(tag, 0) + 1
+        for g in ENDING.get(tag, ()):
+            ends_open[g][-1] += 1
+        for g in HOLDING.get(tag, ()):
+            ends_open[g].append(0)
         if tag in INLINE:
             inline[-1][tag] = inline[-1].get(tag, 0) + 1
         else:
@@ -148,20 +165,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
         if tag in IMPLIED:
             ends, stops = IMPLIED[tag]
-            for i in range(len(stack) - 1, -1, -1) if any(opened.get(e) for e in ends) else ():
-                if stack[i][0] in ends:
-                    close(i)
-                    break
-                if stack[i][0] in stops:
-                    break
-        attrs = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m.group(3))}
-        if tag in INLINE and not ({"class", "id", "role", "hidden"} & attrs.keys()):
+            if ends_open[GROUPS.index((ends, stops))][-1]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ends))
+        if tag in INLINE:  # part of its block's text, whatever its attributes
             opening(tag, at)
         else:
-            if tag not in INLINE:
-                end_run()
-            elif parts:
-                end_run()
+            attrs = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m.group(3))}
+            end_run()
             nodes.append(Node(at, tag, attrs, nodes[at].shown and tag not in UNSEEN))
             at = len(nodes) - 1
             opening(tag, at)
@@ -180,12 +190,15 @@ def features(nodes: list[Node], runs: list[tuple[int, str]]) -> list[list[str]]:
     """Names of the features of each element."""
     found = []
     for node in nodes:
-        own = ["bias", "tag:" + (node.tag if node.tag in TAGS else "inline" if node.tag in INLINE else "other")]
-        names = {w.lower() for k in ("class", "id") for w in _NAMES.findall(node.attrs.get(k, ""))}
-        if names & BOILERPLATE:
-            own.append("boilerplate name")
-        elif names & CONTENT:
-            own.append("content name")
+        own = ["bias", "tag:" + (node.tag if node.tag in TAGS else "other")]
+        for k in ("class", "id"):
+            names = {w.lower() for w in _NAMES.findall(node.attrs.get(k, ""))}
+            kind = f"{k} of text" if node.tag in TEXT_TAGS else "name of block"
+            if names & BOILERPLATE:
+                own.append(f"boilerplate {kind}")
+            elif names & CONTENT:
+                own.append(f"content {kind}")
+            own += [f"{kind} {zlib.crc32(w.encode()) % NAME_BUCKETS}" for w in sorted(names)]
         if node.attrs.get("role", "").lower() in ROLES:
             own.append("boilerplate role")
         if node.attrs.get("aria-hidden") == "true" or "hidden" in node.attrs or "display:none" in node.attrs.get("style", "").replace(" ", "").lower():
@@ -263,16 +276,29 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
         made = " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(rng.randint(lo, hi)))
         return made.capitalize() + rng.choice([".", ".", ".", "", "!", "?"])
 
-    def el(tag: str, label: int, inner: str, names: str = "") -> str:
-        attr = f' {rng.choice(["class", "id"])}="{names}"' if names else ""
+    def el(tag: str, label: int, inner: str, names: str = "", by: str = "") -> str:
+        attr = f' {by or rng.choice(["class", "id"])}="{names}"' if names else ""
+        if not label and rng.random() < 0.15:
+            attr += rng.choice([f' role="{rng.choice(sorted(ROLES))}"', " hidden", ' aria-hidden="true"', ' style="display: none"'])
+        elif label and rng.random() < 0.05:
+            attr += rng.choice([' role="main"', ' role="article"', ' lang="en"'])
         return f'<{tag}{attr} data-label="{label}">{inner}</{tag}>'
 
+    def token() -> str:
+        return "".join(rng.choices(syllables, k=2))
+
+    def slug() -> str:
+        """A name as paragraphs and headings carry it: any words, those of boilerplate among them."""
+        return rng.choice(["", "", "", "", token(), rng.choice(sorted(BOILERPLATE)), token() + "-" + rng.choice(sorted(BOILERPLATE | CONTENT))])
+
     def links(n: int) -> str:
         return el("ul", 0, "".join(el("li", 0, f'<a href="/{i}">{words(1, 3)}</a>') for i in range(n)))
 
     def junk(inside: bool) -> str:
-        name = rng.choice(sorted(BOILERPLATE))
-        kind = rng.randint(0, 7)
+        name = rng.choice(sorted(BOILERPLATE)) if rng.random() < 0.9 else token()
+        kind = rng.randint(0, 8)
+        if kind == 8:
+            return el(rng.choice(["p", "p", "h3", "h4"]), 0, words(2, 20), name if name in BOILERPLATE else "ad", "class")
         if kind == 0:
             return el("nav", 0, links(rng.randint(2, 8)), rng.choice(["", name]))
         if kind == 1:
@@ -291,9 +317,9 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
             text = words(1, 60)
             if rng.random() < 0.15:
                 text += f' <a href="/x">{words(1, 8)}</a>'
-            return el("p", 1, text)
+            return el("p", 1, text, slug(), "id")
         if kind == 7:
-            return el(rng.choice(["h2", "h3"]), 1, words(1, 6))
+            return el(rng.choice(["h2", "h3"]), 1, words(1, 6), slug(), "id")
         if kind == 8:
             return el(rng.choice(["ul", "ol"]), 1, "".join(el("li", 1, words(1, 12)) for _ in range(rng.randint(1, 5))))
         if kind == 9:
