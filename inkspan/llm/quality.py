@@ -26,7 +26,7 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
 #: Weight of each family of features: words, word pairs, shapes, shape pairs.
 SCALES = (2.0, 2.0, 6.0, 6.0)
 PAIR = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of text whose features are formed at a time.
+#: Bytes of text whose features are formed at a time; pairs and repeats go on across parts.
 CHUNK = 1 << 20
 
 _SHAPE = bytes(
@@ -43,29 +43,34 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
-def _families(text: bytes) -> list[np.ndarray]:
+def _families(text: bytes, last: tuple | None) -> tuple[list[np.ndarray], tuple | None]:
+    """Indices by family of a part of a text, and its last word and shape, with which the next part goes on."""
     words = text.split()
+    if not words:
+        return [np.zeros(0, np.int64)] * 4, last
     own = _hashes([w.lower() for w in words])
     shapes = _RUNS.sub(lambda m: m.group()[:1], text.translate(_SHAPE)).split()
     shape = _hashes(shapes)
-    shape[1:] = np.where(own[1:] == own[:-1], np.uint64(0x3D3D3D3D), shape[1:])
+    before = np.append(np.array(last[:1], np.uint64) if last else ~own[:1], own[:-1])
+    shape = np.where(own == before, np.uint64(0x3D3D3D3D), shape)
     found = []
     for i, x in enumerate((own, shape)):
-        salt = np.uint64(0x51ED27 * (2 * i + 1))
-        found += [(x ^ salt) * PAIR, ((x[:-1] * PAIR + x[1:]) ^ (salt << np.uint64(8))) * PAIR]
-    return [(x >> np.uint64(46)).astype(np.int64) for x in found]
+        salt, run = np.uint64(0x51ED27 * (2 * i + 1)), np.append(np.array(last[i : i + 1], np.uint64), x) if last else x
+        found += [(x ^ salt) * PAIR, ((run[:-1] * PAIR + run[1:]) ^ (salt << np.uint64(8))) * PAIR]
+    return [(x >> np.uint64(46)).astype(np.int64) for x in found], (own[-1], shape[-1])
 
 
 def features(text: bytes | None) -> list[tuple[np.ndarray, float]]:
     """(indices with repeats, value of each) by family; values of a family sum to its scale. Covers the whole text."""
     text = text or b""
-    parts, start = [], 0
+    parts, start, last = [], 0, None
     while start < len(text):
         end = start + CHUNK
         if end < len(text):  # a part ends at white space
             space = re.compile(rb"\s").search(text, end)
             end = space.start() if space else len(text)
-        parts.append(_families(text[start:end]))
+        found, last = _families(text[start:end], last)
+        parts.append(found)
         start = end
     found = []
     for scale, family in zip(SCALES, zip(*parts)):

@@ -2,6 +2,7 @@ import ast
 from pathlib import Path
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 from inkspan.llm import queries
 from inkspan.llm.decontaminate import find_contamination
@@ -45,7 +46,7 @@ def test_run_is_the_stages_in_order(spark):
 
 
 def test_every_operator_has_a_query():
-    assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 14))
 
 
 def test_nothing_else_imports_the_subpackage():
@@ -72,8 +73,13 @@ def test_stages_on_hostile_rows(spark):
         if name != "packing":
             assert found.columns == mixed.columns
         assert found.count() > 0, name
-        if name != "language_id":
-            assert stage(spark, mixed.limit(0), sf).count() == 0, name
+        assert stage(spark, mixed.limit(0), sf).count() == 0, name
+
+
+def test_language_id_without_a_language_is_an_error(spark):
+    rows = spark.createDataFrame([(1, "some text", None, "s", 9), (2, "more", None, "s", 4)], "doc_id long, text string, lang string, source string, n_chars long")
+    with pytest.raises(ValueError, match="language"):
+        corpus_pipeline.language_id(spark, rows, "")
 
 
 def test_near_dedup_keeps_rows_without_words_or_ids(spark):

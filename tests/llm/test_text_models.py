@@ -135,6 +135,16 @@ def test_quality_of_held_out_documents(spark):
     assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows.values())
 
 
+def test_quality_features_go_on_across_parts(monkeypatch):
+    text = ("Aa bb bb C9 \n dd  dd dd x " * 60).encode()
+    whole = [(np.sort(i), v) for i, v in quality.features(text)]
+    for size in (1, 3, 10, 100):
+        monkeypatch.setattr(quality, "CHUNK", size)
+        assert all(np.array_equal(np.sort(i), j) and v == w for (i, v), (j, w) in zip(quality.features(text), whole))
+    n = len(text.split())
+    assert [len(i) for i, _ in whole] == [n, n - 1, n, n - 1]
+
+
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame([(1, "good words in a row"), (2, "BAD!! BAD!! BAD!!"), (3, None), (4, ""), (5, "w " * 800_000), (5, "")], DOCS)
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, quality int")
