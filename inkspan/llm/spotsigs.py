@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,23 +103,24 @@ def with_next(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
     partitions is fixed, as reading signatures costs much for few bytes.
     """
     key, blocks = F.col(id_col), BLOCKS * parts
-    spread = F.percentile_approx(key, F.array(*[F.lit(k / blocks) for k in range(1, blocks)]), F.lit(20 * blocks))
+    literal = lambda values, kind=np.int64: F.lit(np.array(values, kind))  # one literal, however long
+    spread = F.percentile_approx(key, literal([k / blocks for k in range(1, blocks)], np.float64), F.lit(20 * blocks))
     splits = sorted(set(docs.agg(spread).first()[0] or []), reverse=True)
-    literal = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])
     if splits:  # how many splits are not below the id, counted by strides first
         step = max(1, math.isqrt(len(splits)))
-        coarse = F.size(F.filter(literal(splits[step - 1 :: step], "long"), lambda s: s >= key))
-        fine = F.size(F.filter(F.slice(literal(splits, "long"), coarse * step + 1, step), lambda s: s >= key))
+        coarse = F.size(F.filter(literal(splits[step - 1 :: step]), lambda s: s >= key))
+        fine = F.size(F.filter(F.slice(literal(splits), coarse * step + 1, step), lambda s: s >= key))
         block = F.when(key.isNull(), len(splits)).otherwise(coarse * step + fine)
     else:
         block = F.lit(0)
     opening = sorted((r["block"], r["first"]) for r in docs.groupBy(block.alias("block")).agg(F.max(key).alias("first")).collect())
-    first, before = [None] * (len(splits) + 1), [None] * (len(splits) + 1)
+    first, no_id, before = ([0] * (len(splits) + 1) for _ in range(3))
     for (b, value), (previous, _) in zip(opening, opening[-1:] + opening[:-1]):
-        first[b], before[b] = value, previous
-    opens = key.eqNullSafe(F.get(literal(first, "long"), F.col("block_")))
+        first[b], no_id[b], before[b] = value or 0, int(value is None), previous
+    at = lambda values: F.get(literal(values), F.col("block_"))
+    opens = F.when(at(no_id) == 1, key.isNull()).otherwise(key == at(first))
     place = lambda b, late: F.struct(b.cast("int").alias("block"), F.lit(late).alias("late"))
-    sent = F.array(place(F.col("block_"), 0), F.when(opens, place(F.get(literal(before, "int"), F.col("block_")), 1)))
+    sent = F.array(place(F.col("block_"), 0), F.when(opens, place(at(before), 1)))
     dealt = docs.withColumn("block_", block).select(id_col, "text", F.explode(F.array_compact(sent)).alias("to"))
     return dealt.select(id_col, "text", "to.block", "to.late").repartition(parts, "block")
 
