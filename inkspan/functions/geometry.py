@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,5 +97,47 @@ def fits_bounds(text: Column, size: Column, width: Column, height: Column, line_
     return F.when(size <= 0, False).otherwise((lines <= most) & (F.try_divide(total, lines) <= width))
 
 
+def font_size(text: Column, width: float, height: float, low: float = 6.0, high: float = 72.0, step: float = 0.5, line_ratio: float = 1.2) -> Column:
+    """Largest font size at which the wrapped text fits the box, found by halving; ``low`` if none does.
+
+    A character is as wide as the size, half of it, or a quarter, by its kind; a
+    carriage return has no width. Widths are whole quarters of the size, so no
+    sum is rounded. Each of a fixed number of halvings folds over the characters
+    once; lines and the quarters used in the last one share a number.
+    """
+    quarters = lambda c: F.when(c == "\n", -1).when(c.rlike(WIDE), 4).when(c.isin(" ", "\t"), 1).otherwise(2).cast("long")
+    chars = F.transform(F.regexp_extract_all(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("")), F.lit("(?s)."), F.lit(0)), quarters)
+    bits, line = 31, 1 << 31
+
+    def fits(t: Column, size: Column) -> Column:
+        room = F.lit(4.0 * width) / size
+
+        def wrap(s: Column, u: Column) -> Column:
+            below = F.shiftleft(F.shiftright(s, bits) + 1, bits)
+            return F.when(u < 0, below).when(s.bitwiseAND(F.lit(line - 1)) + u > room, below + u).otherwise(s + u)
+
+        def inside(s: Column) -> Column:
+            lines = F.shiftright(s, bits)
+            most = F.greatest(F.lit(1), (F.lit(height) / (size * line_ratio)).cast("int"))
+            return (lines <= most) & (t["total"] * size / 4 / lines <= width)
+
+        return F.aggregate(t["chars"], F.lit(line).cast("long"), wrap, inside)
+
+    def halve(t: Column):
+        def once(s: Column, _: Column) -> Column:
+            middle = (s["low"] + s["high"]) / 2
+            state = lambda lo, hi, best: F.struct(lo.alias("low"), hi.alias("high"), best.alias("best"))
+            higher, lower = state(middle + step, s["high"], middle), state(s["low"], middle - step, s["best"])
+            return F.when(s["high"] - s["low"] < step, s).when(fits(t, middle), higher).otherwise(lower)
+
+        return once
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(max(2.0, (high - low) / step))) + 1)))
+    start = F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(low).alias("best"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, u: n + F.greatest(u, F.lit(0).cast("long")))
+    texts = F.transform(F.array(chars), lambda c: F.struct(c.alias("chars"), total(c).alias("total")))
+    return F.get(F.transform(texts, lambda t: F.aggregate(steps, start, halve(t), lambda s: s["best"])), F.lit(0))
+
+
 def valid_block(page: Column, text: Column, kind: Column, b: dict[str, Column]) -> Column:
     return (page > 0) & (text != "") & (kind != "") & (b["x"] >= 0) & (b["y"] >= 0) & (b["width"] >= 0) & (b["height"] >= 0)

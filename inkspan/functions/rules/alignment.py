@@ -1,4 +1,4 @@
-"""Lines of a text matched to the lines of its original, by what both keep: commands, keys, numbers and untouched wording."""
+"""Lines, or words, of a text matched to those of its original, by what both keep: commands, keys, numbers and untouched wording."""
 
 from __future__ import annotations
 
@@ -59,15 +59,33 @@ def _full(x: list[str], y: list[str]) -> list[tuple[int, int]]:
     return found
 
 
+def _within(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Pairs of x's items with the first places in y that they can take in order."""
+    found, j = [], 0
+    for i, key in enumerate(x):
+        while j < len(y) and y[j] != key:
+            j += 1
+        if j == len(y):
+            break
+        found.append((i, j))
+        j += 1
+    return found
+
+
 def align(text: list[str], original: list[str]) -> dict[int, int]:
     """Line of the original for the lines of a text, rising on both sides.
 
     Lines whose key is unique on both sides are anchors, as many as can be taken
     in order; between anchors the same is done again. Equal lines at the ends of
     a stretch are matched first. What is left between two matches is paired line
-    by line if both sides have equally many, else compared in full if it is short.
+    by line if both sides have equally many, matched in order if one side lacks
+    lines only, else compared in full if it is short.
     """
-    x, y = [line_key(t) for t in text], [line_key(t) for t in original]
+    return align_keys([line_key(t) for t in text], [line_key(t) for t in original])
+
+
+def align_keys(x: list[str], y: list[str]) -> dict[int, int]:
+    """``align`` over any keys."""
     pairs: dict[int, int] = {}
     todo = [(0, len(x), 0, len(y))]
     while todo:
@@ -92,6 +110,8 @@ def align(text: list[str], original: list[str]) -> dict[int, int]:
             todo.append((a, b, c, d))
         elif b - a == d - c:
             pairs.update(zip(range(a, b), range(c, d)))
+        elif len(part := _within(x[a:b], y[c:d])) == b - a:
+            pairs.update((a + i, c + j) for i, j in part)
         elif (b - a) * (d - c) <= FULL:
             pairs.update((a + i, c + j) for i, j in _full(x[a:b], y[c:d]))
     return pairs

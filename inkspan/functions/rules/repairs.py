@@ -6,7 +6,7 @@ import re
 import unicodedata
 from collections import Counter
 
-from inkspan.functions.rules.alignment import align
+from inkspan.functions.rules.alignment import align, align_keys
 from inkspan.functions.rules.groups import close_arguments, drop_repeated_ends, uncross, unopened
 from inkspan.functions.rules.spans import TAG, balanced
 from inkspan.functions.rules.validators import live
@@ -523,6 +523,36 @@ def _recover(text: str, original: str, key: str, value: str) -> tuple[str, str]:
     return text + " " + key, "append"
 
 
+PIECE = re.compile(r"<<<[^<>]*>>>|[^\W_]+|\s|[\s\S]")
+
+
+def recover_in_order(text: str, protected: str, keys: list[str]) -> tuple[str, list[tuple[str, str]]]:
+    """Missing placeholders put back by their neighbours in ``protected``, the text with all of them; and how each was.
+
+    Words, signs and placeholders of both texts are aligned. A missing one goes
+    behind the piece before it that has a counterpart (``anchor``), or to the
+    start (``start``), so placeholders stay in the order of ``protected``, each
+    once. One that ``protected`` lacks too goes to the end (``append``).
+    """
+    present = set(re.findall(r"<<<[^<>]*>>>", text))
+    missing = {k for k in keys if k not in present}
+    if not missing:
+        return text, []
+    a, b = PIECE.findall(text), PIECE.findall(protected)
+    place = {j: i for i, j in align_keys(a, b).items()}
+    after: dict[int, list[str]] = {}
+    done, at = [], -1
+    for j, piece in enumerate(b):
+        at = max(at, place.get(j, -1))
+        if piece in missing:
+            missing.discard(piece)
+            after.setdefault(at, []).append(piece)
+            done.append((piece, "anchor" if at >= 0 else "start"))
+    done += [(k, "append") for k in keys if k in missing]
+    out = after.get(-1, []) + [x for i, piece in enumerate(a) for x in (piece, *after.get(i, ()))]
+    return "".join([*out, *(" " + k for k in keys if k in missing)]), done
+
+
 def log_excerpt(log: str, limit: int, most: int = 50) -> str:
     """Lines from each error on and around each source file, cut to the limit; the log's end if there are none."""
     if len(log) <= limit:
@@ -542,7 +572,7 @@ def log_excerpt(log: str, limit: int, most: int = 50) -> str:
 
 def fit_font(text: str, width: float, height: float, low: float = 6.0, high: float = 72.0, step: float = 0.5) -> float:
     """Largest font size, found by halving, at which the wrapped text fits the box; ``low`` if none does."""
-    wide = re.compile("[\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff\u3000-\u303f]")
+    wide = re.compile("[\u4e00-\u9fff\u3400-\u4dbf\U00020000-\U0002a6df\uf900-\ufaff\u3000-\u303f]")
     chars = [("n", 0.0) if c == "\n" else ("c", 1.0 if wide.match(c) else 0.25 if c in " \t" else 0.5) for c in text if c != "\r"]
 
     def fits(size: float) -> bool:

@@ -1,4 +1,4 @@
-"""Rules over texts as DataFrame operators: Arrow batches in, columns or rows out; nothing is shuffled."""
+"""Rules over texts as DataFrame operators: Arrow batches in, columns or rows out. Rows are dealt out anew only where they come from fewer files than there are cores."""
 
 from __future__ import annotations
 
@@ -13,6 +13,12 @@ from pyspark.sql.types import StructType
 from inkspan.functions.rules import chunks, repairs, spans, validators
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores, if they come from fewer files than there are: a file of one row group is one task, however many splits it has."""
+    parallel = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * parallel) if 0 < len(rows.inputFiles()) < parallel else rows
+
+
 def with_text(rows: DataFrame, name: str, rule: Callable[..., str], *columns: str, kind: str = "string") -> DataFrame:
     """``rows`` with the result of a rule over text columns; null texts count as empty."""
 
@@ -20,7 +26,7 @@ def with_text(rows: DataFrame, name: str, rule: Callable[..., str], *columns: st
     def applied(*series: pd.Series) -> pd.Series:
         return pd.Series([rule(*(x if x is not None else "" for x in values)) for values in zip(*series)])
 
-    return rows.withColumn(name, applied(*[F.col(c) for c in columns]))
+    return spread(rows).withColumn(name, applied(*[F.col(c) for c in columns]))
 
 
 def explode_rule(rows: DataFrame, key: str, text: str, rule: Callable[[str], list[tuple]], schema: str) -> DataFrame:
@@ -36,7 +42,7 @@ def explode_rule(rows: DataFrame, key: str, text: str, rule: Callable[[str], lis
             columns = list(zip(*out)) if out else [[]] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.column(0).type, *kinds])], names=fields.names)
 
-    return source.mapInArrow(expanded, fields)
+    return spread(source).mapInArrow(expanded, fields)
 
 
 PROTECTED = "text string, placeholders map<string,string>"
@@ -50,7 +56,7 @@ def protect(rows: DataFrame, text: str, kind: str = "all") -> DataFrame:
     def applied(series: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([rule(x or "") for x in series], columns=["text", "placeholders"])
 
-    return rows.withColumn("protected", applied(F.col(text)))
+    return spread(rows).withColumn("protected", applied(F.col(text)))
 
 
 def restore(rows: DataFrame, name: str = "restored") -> DataFrame:
@@ -93,6 +99,17 @@ def recover(rows: DataFrame, text: str, original: str, placeholders: str) -> Dat
     return rows.withColumn("recovered", applied(F.col(text), F.col(original), F.col(placeholders)))
 
 
+def recover_in_order(rows: DataFrame, text: str, protected: str, placeholders: str) -> DataFrame:
+    """``rows`` with ``recovered``: the text with missing placeholders at their neighbours' side, in order, and how each was placed."""
+
+    @F.pandas_udf("text string, attempts array<struct<placeholder:string,strategy:string>>")
+    def applied(texts: pd.Series, wholes: pd.Series, tables: pd.Series) -> pd.DataFrame:
+        found = [repairs.recover_in_order(t or "", w or "", sorted(dict(p))) for t, w, p in zip(texts, wholes, tables)]
+        return pd.DataFrame({"text": [f[0] for f in found], "attempts": [[{"placeholder": k, "strategy": s} for k, s in f[1]] for f in found]})
+
+    return spread(rows).withColumn("recovered", applied(F.col(text), F.col(protected), F.col(placeholders)))
+
+
 def repair_workflow(rows: DataFrame, text: str, rule: Callable[[str], str] = repairs.auto_fix, check: str = "editor") -> DataFrame:
     """``rows`` with ``issues_before``, ``issues_after`` (long), ``decision`` and ``kept``: each text is checked, repaired and checked again.
 
@@ -109,7 +126,7 @@ def repair_workflow(rows: DataFrame, text: str, rule: Callable[[str], str] = rep
         return pd.DataFrame({"fixed": fixed, "before": [len(found(x)) for x in texts], "after": [len(found(x)) for x in fixed]})
 
     old, new = F.coalesce(F.col(text), F.lit("")), F.col("repair_.fixed")
-    made = rows.withColumn("repair_", applied(F.col(text)))
+    made = spread(rows).withColumn("repair_", applied(F.col(text)))
     made = made.withColumns({"issues_before": F.col("repair_.before"), "issues_after": F.col("repair_.after")})
     rose = F.col("issues_after") > F.col("issues_before")
     decision = F.when(new == old, "unchanged").when(rose, "rejected").otherwise("accepted")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from inkspan.functions.rules import groups, repairs
 from inkspan.operators import rules
 from inkspan.plans.catalog import query
-from inkspan.plans.rules import EDITOR, TYPO_ROWS, _levels, _marks
+from inkspan.plans.rules import EDITOR, SPANS, _levels, _marks, _replaced
 
 
 def _mended(rows, rule, *columns):
@@ -41,7 +41,7 @@ def _typos(text: str) -> str:
     return text
 
 
-SIMPLE = rf"""spelt AS (SELECT doc_id, translated AS before, {_typos("CASE WHEN starts_with(translated, chr(65279)) THEN substr(translated, 2) ELSE translated END")} AS text FROM tex_pairs),
+SIMPLE = rf"""spelt AS (SELECT doc_id, translated AS before, {_typos("BARE")} AS text FROM tex_pairs),
 ended AS (SELECT doc_id, before, CASE WHEN contains(text, '\end{{document}}') THEN substr(text, 1, strpos(text, '\end{{document}}') + 13) || chr(10) ELSE text END AS text FROM spelt),
 pieces AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM ended)),
 cut AS (SELECT doc_id, line_no, line, regexp_replace(line, '(^|[^\\])%.*$', '\1') AS live FROM pieces),
@@ -56,6 +56,11 @@ mended AS (SELECT e.doc_id, e.before, CASE WHEN coalesce(n, 0) <= 0 THEN b.text
   ELSE e.text || repeat('}}', n) END AS after FROM ended e JOIN bare b USING (doc_id) LEFT JOIN lacking USING (doc_id))"""
 
 
+UNMARKED = SIMPLE.replace("BARE", "CASE WHEN starts_with(translated, chr(65279)) THEN substr(translated, 2) ELSE translated END")
+SIMPLE = SIMPLE.replace("BARE", "translated")
+FIXED = "SELECT doc_id, md5(after) AS fixed, after <> before AS changed FROM mended"
+
+
 def _editor_of(lines: str, texts: str) -> str:
     body = re.sub(r"\btex_lines\b", lines, EDITOR)
     body = re.sub(r"\btex\b", texts, body)
@@ -63,7 +68,7 @@ def _editor_of(lines: str, texts: str) -> str:
     return head.replace("\nmarks", "\neditor_marks") + f",\nissues AS (SELECT{tail})"
 
 
-WORKFLOW = rf"""WITH {SIMPLE},
+WORKFLOW = rf"""WITH {UNMARKED},
 both_tex AS (SELECT doc_id * 2 AS doc_id, before AS text FROM mended UNION ALL SELECT doc_id * 2 + 1, after FROM mended),
 both_lines AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM both_tex)),
 {_editor_of("both_lines", "both_tex").replace("cut AS (", "tag_cut AS (").replace("FROM cut)", "FROM tag_cut)")},
@@ -80,7 +85,23 @@ def repair_workflow(t):
     return found.select("doc_id", "issues_before", "issues_after", "decision", F.md5("kept").alias("kept"))
 
 
-@query(rf"""WITH {SIMPLE}, marked AS (SELECT doc_id, before, CASE WHEN starts_with(before, chr(65279)) THEN 1 ELSE 0 END AS mark, after FROM mended)
-SELECT doc_id, md5(after) AS fixed, after <> before AS changed FROM marked""")
+@query(f"WITH {UNMARKED} {FIXED}")
 def repair_auto(t):
     return _mended(t.tex_pairs, repairs.auto_fix, "translated")
+
+
+@query(f"WITH {SIMPLE} {FIXED}")
+def repair_simple(t):
+    return _mended(t.tex_pairs, repairs.simple_fix, "translated")
+
+
+MISSING = "<<<LATEX_CMD_[0-9]*[147]>>>"
+
+
+@query(_replaced(SPANS["commands"], "'<<<LATEX_CMD_' || n || '>>>'", f"md5(text) AS text, len(regexp_extract_all(text, '{MISSING}')) AS recovered"))
+def placeholder_order(t):
+    """Placeholders whose number ends in 1, 4 or 7 are lost and put back at their places."""
+    made = rules.protect(t.tex, "text", "commands").select("doc_id", "protected.*").toDF("doc_id", "whole", "placeholders")
+    lossy = made.withColumn("text", F.regexp_replace("whole", MISSING, ""))
+    found = rules.recover_in_order(lossy, "text", "whole", "placeholders")
+    return found.select("doc_id", F.md5("recovered.text").alias("text"), F.size("recovered.attempts").alias("recovered"))

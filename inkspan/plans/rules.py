@@ -314,7 +314,7 @@ REPAIRS = {
 }
 REPAIRS_ALONE = {
     "repair_missing_ends": repairs.insert_missing_ends, "repair_nesting": repairs.fix_nesting, "repair_final_lines": repairs.fix_line_structure, "repair_tables": repairs.fix_table_layout,
-    "repair_figures": repairs.fix_figure_layout, "repair_wide_tables": repairs.widen_tables, "repair_resizebox": repairs.close_resizebox, "repair_simple": repairs.simple_fix,
+    "repair_figures": repairs.fix_figure_layout, "repair_wide_tables": repairs.widen_tables, "repair_resizebox": repairs.close_resizebox,
     "repair_quick": repairs.quick_fix,
 }
 
@@ -351,11 +351,6 @@ def placeholder_recovery(t):
     return rules.recover(lossy, "text", "original", "placeholders").select("doc_id", F.md5("recovered.text").alias("text"), F.size("recovered.attempts").alias("attempts"))
 
 
-@query()
-def font_fitting(t):
-    return rules.with_text(t.blocks, "size", lambda x: repairs.fit_font(x, 200.0, 60.0), "text", kind="double").select("doc_id", "pos", "size")
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'UTF-8' ELSE 'UTF-8-BOM' END AS encoding, md5(text) AS text FROM documents")
 def encoding_detection(t):
     content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))

@@ -397,3 +397,24 @@ def byte_functions(t):
         "doc_id", F.concat(F.lit("md5 "), F.md5(c)).alias("digest"), text.sniff_archive(head("1F8B08")).alias("gz"), text.sniff_archive(head("504B0304")).alias("zp"),
         text.sniff_archive(head("00")).alias("other"), text.utf8_bom(head("EFBBBF")).alias("bom"), F.octet_length(text.strip_bom(head("EFBBBF"))).alias("without_bom"),
     )
+
+
+# The search for a font size by recursion over its halvings, each a fold over the characters' widths.
+FONT_SIZES = r"""WITH RECURSIVE shares AS (SELECT doc_id, pos, list_transform(regexp_extract_all(replace(text, chr(13), ''), '(?s).'), lambda c: CAST(CASE WHEN c = chr(10) THEN -1.0
+  WHEN regexp_matches(c, '[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}\x{3000}-\x{303F}]') THEN 1.0 WHEN c IN (' ', chr(9)) THEN 0.25 ELSE 0.5 END AS DOUBLE)) AS chars FROM blocks),
+halves AS (
+  SELECT doc_id, pos, chars, 6.0::DOUBLE AS low, 72.0::DOUBLE AS high, 6.0::DOUBLE AS best FROM shares
+  UNION ALL
+  SELECT doc_id, pos, chars, CASE WHEN ok THEN m + 0.5::DOUBLE ELSE low END, CASE WHEN ok THEN high ELSE m - 0.5::DOUBLE END, CASE WHEN ok THEN m ELSE best END
+  FROM (SELECT *, a.lines <= greatest(1, CAST(trunc(60.0::DOUBLE / (m * 1.2::DOUBLE)) AS BIGINT)) AND a.total / a.lines <= 200 AS ok FROM (
+    SELECT *, list_reduce([{'lines': 1::BIGINT, 'used': 0.0::DOUBLE, 'total': 0.0::DOUBLE}] || list_transform(chars, lambda c: {'lines': 0::BIGINT, 'used': c, 'total': c}),
+      lambda a, x: CASE WHEN x.used < 0 THEN {'lines': a.lines + 1, 'used': 0.0::DOUBLE, 'total': a.total}
+        WHEN a.used + x.used * m > 200 THEN {'lines': a.lines + 1, 'used': x.used * m, 'total': a.total + x.used * m}
+        ELSE {'lines': a.lines, 'used': a.used + x.used * m, 'total': a.total + x.used * m} END) AS a
+    FROM (SELECT *, (low + high) / 2 AS m FROM halves WHERE high - low >= 0.5))))
+SELECT doc_id, pos, best AS size FROM halves WHERE high - low < 0.5"""
+
+
+@query(FONT_SIZES)
+def font_fitting(t):
+    return t.blocks.select("doc_id", "pos", geometry.font_size(F.col("text"), 200.0, 60.0).alias("size"))

@@ -8,8 +8,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.plans.catalog import query
+from inkspan.plans.relational import FOLD
 from inkspan.plans.views import text
 from inkspan.sources import archives, stores, versions
+from inkspan.streaming import state
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -95,3 +97,17 @@ def versioned_replace(t):
     versions.commit(rows, folder, "all")
     versions.commit(rows.filter("doc_id % 2 <> 0"), folder, "odd", append=False)
     return versions.read(t.spark, folder)
+
+
+@query(FOLD)
+def error_state_stream(t):
+    """The error events as files in no order of time, replayed through the stateful stream into a versioned store."""
+    folder = shared_folder(t.spark)
+    kind = t.err_events.schema["ts"].dataType
+    files = t.err_events.withColumn("ts", F.col("ts").cast("timestamp")).repartition(6, F.xxhash64("event_id"))
+    files.write.parquet(f"{folder}/events")
+    events = t.spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/events")
+    records = state.error_records(events, keep_ms=10**15, delay="1000 days")
+    state.into_store(records, f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
+    found = state.newest(versions.read(t.spark, f"{folder}/store"))
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("timestamp", "last_retry")})
