@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 
 from inkspan.functions.rules.alignment import align, align_keys
@@ -418,18 +419,68 @@ def close_resizebox(text: str) -> str:
     return text
 
 
+DEFINITION = re.compile(r"\\(?:(?:re)?newcommand|newenvironment|def)")
+
+
 def strip_end_braces(text: str) -> str:
-    """Closing braces after an end tag that no command definition before it is waiting for."""
+    """Closing braces after an end tag that no command definition before it is waiting for. Braces are counted once."""
+    marks = _brace_marks(text)
+    places, depth = [at for at, _ in marks], [0]
+    for _, mark in marks:
+        depth.append(depth[-1] + (1 if mark == "{" else -1))
+    level = lambda at: depth[bisect_left(places, at)]
+    begun = [m.start() for m in DEFINITION.finditer(text)]
 
     def keep(m: re.Match) -> str:
-        before = text[: m.start()]
-        define = max(before.rfind("\\newcommand"), before.rfind("\\renewcommand"), before.rfind("\\newenvironment"), before.rfind("\\def"))
-        waiting = max(0, brace_difference(before[define:])) if define >= 0 else 0
+        last = bisect_left(begun, m.start()) - 1
+        waiting = max(0, level(m.start()) - level(begun[last])) if last >= 0 else 0
         return m.group(1) + "}" * min(waiting, len(m.group(2)))
 
     return re.sub(r"(\\end\{[^}]+\})(\}+)", keep, text)
 
 
+def close_definitions(text: str) -> str:
+    """The end part of an environment definition, ``{\\end{...}`` on its line, is closed where the definition cannot go on."""
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        after = lines[i + 1].strip() if i + 1 < len(lines) else ""
+        lacking = line.count("{") - line.count("}")
+        if line.strip().startswith("{\\end{") and lacking > 0 and (not after or after[0] in "\\%"):
+            lines[i] = line + "}" * lacking
+    return "\n".join(lines)
+
+
+def close_repeated_theorems(text: str) -> str:
+    """The definition of repeated theorems closes its end part, its environment and itself before ``\\makeatother``."""
+    return re.sub(r"(\{\\end\{rep@theorem\})\}*(\s*\n\s*\\makeatother)", r"\1}}\2", text)
+
+
+def merge_resizeboxes(text: str) -> str:
+    """A resizebox whose whole content is the same resizebox again loses the inner one, with its closing brace."""
+    twice = re.compile(r"(\\resizebox\s*\{[^{}]*\}\s*\{[^{}]*\}\s*\{)\s*%?\s*(\1)")
+    at = 0
+    while (m := twice.search(text, at)) is not None:
+        close = balanced(text, m.end() - 1)
+        inner = text[m.end() : close - 1] + text[close:] if close else text[m.end() :]
+        text, at = text[: m.end(1)] + inner, m.start()
+    return text
+
+
+def comment_orphaned_lists(text: str) -> str:
+    """The begin of a list that only comments follow, its end among them, is commented too."""
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        begin = re.fullmatch(rf"\s*\\begin\{{({LISTS})\}}(?:\[[^\]]*\])?\s*", line)
+        if begin:
+            for after in lines[i + 1 :]:
+                if after.strip() and not _is_comment(after):
+                    break
+                if f"\\end{{{begin.group(1)}}}" in after:
+                    lines[i] = "% " + line.lstrip(" \t")
+                    break
+    return "\n".join(lines)
+
+
 def lonely_items(text: str) -> str:
     """Items outside any list get one around them."""
     out, depth, inside = [], 0, False
@@ -452,15 +503,17 @@ def quick_fix(text: str) -> str:
     for wrong, right in TRANSLATED.items():
         text = text.replace("\\" + wrong, "\\" + right)
     text = strip_end_braces(rewrite(text, BREAKS))
-    text = lonely_items(insert_missing_ends(close_braces(text)))
+    text = lonely_items(insert_missing_ends(comment_orphaned_lists(close_braces(text))))
     text = re.sub(r"(\\bibliography\{[^}]*\})\s*(\\bibliographystyle\{[^}]*\})", r"\2\n\1", text)
     if "\\usepackage{subcaption}" in text:
         text = text.replace("\\usepackage{subfigure}", "")
     if re.search(r"fontspec|xeCJK|ctex", text):
         text = text.replace("\\usepackage{breakurl}", "")
-    text = re.sub(r"(\\end\{document\})\s*\}+\s*\Z", r"\1\n", text)
+    text = close_definitions(text)
+    text = merge_resizeboxes(re.sub(r"(\\end\{document\})\s*\}+\s*\Z", r"\1\n", text))
     text = re.sub(r"(\\includegraphics(?:\[[^\]]*\])?\{)([^}/]+/)\2", r"\1\2", text)
-    text = re.sub(r"(\\end\{tabular\})\}\}(\s*&)", r"\1}\2", close_resizebox(text))
+    text = close_repeated_theorems(close_resizebox(text))
+    text = re.sub(r"(\\end\{tabular\})\}\}(\s*&)", r"\1}\2", text)
     end = text.find("\\end{document}")
     if end >= 0:
         text = text[:end].replace("\\end{document}", "") + "\\end{document}\n"

@@ -177,3 +177,29 @@ def test_an_inserted_line_does_not_switch_repairs_off():
     assert repairs.restore_comments(moved, original) == "\\section{New}\n" * 5 + original.replace("\\textbf{a}", "\\textbf{a")
     assert repairs.restore_braces("\\section{New}\n" + original.replace("\\textbf{a}", "\\textbf{a"), original) == "\\section{New}\n" + original
     assert repairs.fix_by_lines(moved, original).count("% ") == 2
+
+
+def test_quick_rules_on_definitions_boxes_and_lists():
+    assert repairs.close_definitions("\\newenvironment{a}[1]%\n {\\begin{list}{}{}}\n {\\end{list}\n\\makeatother") == "\\newenvironment{a}[1]%\n {\\begin{list}{}{}}\n {\\end{list}}\n\\makeatother"
+    assert repairs.close_definitions("{\\end{list}\nmore}") == "{\\end{list}\nmore}"
+    for have in ("", "}", "}}", "}}}"):
+        assert repairs.close_repeated_theorems("{\\end{rep@theorem}" + have + "\n\\makeatother") == "{\\end{rep@theorem}}}\n\\makeatother"
+    box = "\\resizebox{\\textwidth}{!}{"
+    assert repairs.merge_resizeboxes(f"a {box}{box}x {{y}}}}}} b") == f"a {box}x {{y}}}} b"
+    assert repairs.merge_resizeboxes(f"{box}%\n{box} {box}x}}}}}}") == f"{box}x}}" and repairs.merge_resizeboxes(f"{box}x}} {box}y}}") == f"{box}x}} {box}y}}"
+    orphan = "a\n\\begin{itemize}\n% \\item x\n\n% \\end{itemize}\nb"
+    assert repairs.comment_orphaned_lists(orphan) == orphan.replace("\\begin", "% \\begin")
+    sound = "\\begin{itemize}\n% note\n\\item x\n\\end{itemize}"
+    assert repairs.comment_orphaned_lists(sound) == sound
+    assert repairs.quick_fix(orphan).count("% \\begin{itemize}") == 1 and "\n\\end{itemize}" not in repairs.quick_fix(orphan)
+
+
+def test_braces_behind_end_tags_take_linear_time():
+    import time
+
+    assert repairs.strip_end_braces("\\end{a}}} b") == "\\end{a} b"
+    assert repairs.strip_end_braces("\\newcommand{\\x}{\\begin{a}\\end{a}} \\end{b}}") == "\\newcommand{\\x}{\\begin{a}\\end{a}} \\end{b}"
+    start = time.time()
+    repairs.strip_end_braces("\\end{x}} word" * 20_000)
+    repairs.strip_end_braces("\\newcommand{\\end{x}} word" * 20_000)
+    assert time.time() - start < 5
