@@ -72,11 +72,16 @@ def packages(c: Column) -> Column:
 
 def section_counts(c: Column) -> dict[str, Column]:
     """Counts of each section command, starred and with an optional argument too."""
-    return {s: count(c, rf"\\{s}\*?(?:\[[^\]]*\])?\s*\{{") for s in SECTIONS}
+    return {s: count_named(c, s, rf"\\{s}\*?(?:\[[^\]]*\])?\s*\{{") for s in SECTIONS}
+
+
+def count_named(c: Column, name: str, pattern: str) -> Column:
+    """Matches of a command's pattern; only texts that hold the command at all are searched."""
+    return F.when(c.contains("\\" + name), count(c, pattern)).otherwise(F.lit(0).cast("long"))
 
 
 def command_counts(c: Column) -> dict[str, Column]:
-    return {x: count(c, rf"\\{x}\*?(?:\[[^\]]*\])?(?:\{{|\z|\s)") for x in COMMANDS}
+    return {x: count_named(c, x, rf"\\{x}\*?(?:\[[^\]]*\])?(?:\{{|\z|\s)") for x in COMMANDS}
 
 
 def major_section_count(c: Column) -> Column:

@@ -90,11 +90,25 @@ def structure_profile(docs: DataFrame) -> DataFrame:
 def compare_structure(pairs: DataFrame) -> DataFrame:
     """Differences ``(doc_id, kind, name, original_count, translated_count, difference, severity)`` of text pairs.
 
-    Both sides' counts meet in one full outer join on document, kind and name.
+    A pair is compared inside its row: counts of fixed names side by side, and
+    those of environments and packages over the names that either side has.
+    Nothing is shuffled.
     """
-    before = element_counts(pairs, "original").withColumnRenamed("n", "a")
-    after = element_counts(pairs, "translated").withColumnRenamed("n", "b")
-    joined = before.join(after, ["doc_id", "kind", "name"], "full").fillna(0, ["a", "b"]).filter("a <> b")
+    sides = ("original", "translated")
+    found = {f"{what}_{side}": of(F.col(side)) for side in sides for what, of in (("envs", lambda c: F.regexp_extract_all(c, F.lit(BEGIN), F.lit(1))), ("packages", tex.packages))}
+    row = lambda kind, name, a, b: F.struct(F.lit(kind).alias("kind"), name.alias("name"), a.cast("long").alias("a"), b.cast("long").alias("b"))
+
+    def fixed(kind: str, counts):
+        a, b = (counts(F.col(side)) for side in sides)
+        return F.array(*[row(kind, F.lit(name), a[name], b[name]) for name in a])
+
+    def named(kind: str, what: str):
+        a, b = (f"{what}_{side}" for side in sides)
+        of = lambda names, name: F.size(F.filter(names, lambda x: x == name))
+        return F.transform(F.array_union(a, b), lambda name: row(kind, name, of(a, name), of(b, name)))
+
+    counts = F.concat(fixed("section", tex.section_counts), fixed("command", tex.command_counts), named("package", "packages"), named("environment", "envs"))
+    joined = pairs.withColumns(found).select("doc_id", F.inline(F.filter(counts, lambda r: r["a"] != r["b"])))
     kind, name, lost = F.col("kind"), F.col("name"), F.col("b") < F.col("a")
     error = (
         ((kind == "section") & lost & (F.col("a") > 0))

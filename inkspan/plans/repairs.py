@@ -105,3 +105,81 @@ def placeholder_order(t):
     lossy = made.withColumn("text", F.regexp_replace("whole", MISSING, ""))
     found = rules.recover_in_order(lossy, "text", "whole", "placeholders")
     return found.select("doc_id", F.md5("recovered.text").alias("text"), F.size("recovered.attempts").alias("recovered"))
+
+
+# Repairs whose sound result is known from how the text was made: every line of a document becomes a piece of mark-up, a function of
+# k = doc_id + line_no and of the line's words, and SQL writes what the repair has to make of it.
+def _pieces(name: str, rule, made, wanted: str, changed: str, around: tuple[str, str] = ("", ""), original=None):
+    """Register ``name``: ``made(k, w)`` repaired by ``rule``, against ``wanted`` (SQL over k and w); ``original`` gives a reference text."""
+    head, tail = around
+    quoted = lambda s: " || chr(10) || ".join("'" + p + "'" for p in s.split("\n"))
+
+    def build(t):
+        sides = lambda k, w: (original(k, w) if original else made(k, w), made(k, w))
+        pairs = t.damaged(lambda d: [F.lit(head)] * 2, sides, lambda d: [F.lit(tail)] * 2)
+        return _mended(pairs, rule, *(("translated", "original") if original else ("translated",)))
+
+    build.__name__ = name
+    whole = f"md5({quoted(head)} || string_agg({wanted}, chr(10) ORDER BY line_no) || {quoted(tail)})"
+    query(f"WITH pieces AS (SELECT doc_id, line_no, doc_id + line_no AS k, w FROM plain_lines) SELECT doc_id, {whole} AS fixed, bool_or({changed}) AS changed FROM pieces GROUP BY doc_id")(build)
+
+
+def _text(*parts):
+    """Strings and columns one behind the other."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+_number = lambda c: c.cast("string")
+_sound_brace = lambda k, w: _text("\\textbf{", w, "}")
+_pieces(
+    "repair_line_braces", repairs.restore_braces, lambda k, w: F.when(k % 3 == 0, _text("\\textbf{", w)).otherwise(_sound_brace(k, w)),
+    r"'\textbf{' || w || '}'", "k % 3 = 0", original=_sound_brace,
+)
+
+
+def _reference_line(k, w):
+    return F.when(k % 3 == 0, _text("% note ", w)).when(k % 3 == 1, _text("\\caption{\\emph{", w, "}}")).otherwise(_text("\\label{", _number(k), "} ", w))
+
+
+_pieces(
+    "repair_line_signs", repairs.fix_by_lines,
+    lambda k, w: F.when(k % 3 == 0, _text("note ", w)).when(k % 3 == 1, _text("\\caption{\\emph{", w, "}}}")).otherwise(_reference_line(k, w)),
+    r"CASE k % 3 WHEN 0 THEN '% note ' || w WHEN 1 THEN '\caption{\emph{' || w || '}}' ELSE '\label{' || k || '} ' || w END", "k % 3 < 2", original=_reference_line,
+)
+_include = lambda k, w: _text("\\input{part", _number(k), "}")
+_pieces(
+    "repair_lost_inputs", lambda text, original: repairs.restore_inputs(re.sub("\n+", "\n", text), original), lambda k, w: F.when(k % 3 == 0, "").otherwise(_include(k, w)),
+    r"'\input{part' || k || '}'", "k % 3 = 0", ("\\begin{document}\n", "\n\\end{document}"), original=_include,
+)
+_pieces(
+    "repair_resized_tables", repairs.close_resizebox,
+    lambda k, w: _text("\\begin{table}\n\\resizebox{\\columnwidth}{!}{\n\\begin{tabular}{l}", w, "\\end{tabular}", F.when(k % 2 == 0, "").otherwise("}"), "\n\\end{table}"),
+    r"'\begin{table}' || chr(10) || '\resizebox{\columnwidth}{!}{' || chr(10) || '\begin{tabular}{l}' || w || '\end{tabular}}' || chr(10) || '\end{table}'", "k % 2 = 0",
+)
+_grid = lambda k: F.repeat(F.lit("c"), (4 + k % 12).cast("int"))
+_pieces(
+    "repair_many_columns", repairs.widen_tables, lambda k, w: _text("\\begin{table}[!t]\n\\begin{tabular}{", _grid(k), "}\n", w, "\n\\end{tabular}\n\\end{table}"),
+    r"'\begin{table' || CASE WHEN k % 12 >= 10 THEN '*' ELSE '' END || '}[!t]' || chr(10) || '\begin{tabular}{' || repeat('c', 4 + k % 12) || '}' || chr(10) || w || chr(10) || '\end{tabular}' || chr(10) || '\end{table' || CASE WHEN k % 12 >= 10 THEN '*' ELSE '' END || '}'",
+    "k % 12 >= 10",
+)
+_pieces(
+    "repair_figure_frames", repairs.fix_figure_layout,
+    lambda k, w: F.when(k % 2 == 0, _text("\\begin{figure}[h]\n\\includegraphics[width=1.2\\columnwidth]{", w, "}\n\\end{figure*}")).otherwise(_text("\\begin{figure*}[!t]\n\\includegraphics[width=0.5\\textwidth]{", w, "}\n\\end{figure}")),
+    r"CASE WHEN k % 2 = 0 THEN '\begin{figure}[!htbp]' || chr(10) || '\includegraphics[width=0.9\columnwidth]{' || w || '}' || chr(10) || '\end{figure}' ELSE '\begin{figure*}[!htbp]' || chr(10) || '\includegraphics[width=0.85\textwidth]{' || w || '}' || chr(10) || '\end{figure*}' END",
+    "true",
+)
+_star = lambda k: F.when(k % 5 == 0, "*").otherwise("")
+_pieces(
+    "repair_table_frames", repairs.fix_table_layout,
+    lambda k, w: _text("\\begin{table", _star(k), "}[t]\n\\centering\n\\begin{tabular}{", _grid(k), "}\n", w, "\n\\end{tabular}\n\\end{table", _star(k), "}"),
+    r"""'\begin{table' || CASE WHEN k % 5 = 0 THEN '*' ELSE '' END || '}[!htbp]' || chr(10) || '\setlength{\tabcolsep}{1.5pt}' || chr(10) || '\centering' || chr(10)
+  || CASE WHEN k % 5 = 0 THEN CASE WHEN k % 12 >= 10 THEN '\scalebox{0.65}{%' || chr(10) WHEN k % 12 >= 8 THEN '\scalebox{0.7}{%' || chr(10) WHEN k % 12 >= 4 THEN '\resizebox{\textwidth}{!}{%' || chr(10) ELSE '' END
+     ELSE CASE WHEN k % 12 >= 6 THEN '\scalebox{0.7}{%' || chr(10) WHEN k % 12 >= 4 THEN '\scalebox{0.75}{%' || chr(10) WHEN k % 12 >= 2 THEN '\resizebox{\columnwidth}{!}{%' || chr(10) ELSE '' END END
+  || '\begin{tabular}{' || repeat('c', 4 + k % 12) || '}' || chr(10) || w || chr(10) || '\end{tabular}'
+  || CASE WHEN k % 12 >= CASE WHEN k % 5 = 0 THEN 4 ELSE 2 END THEN chr(10) || '}% end scaling' ELSE '' END || chr(10) || '\end{table' || CASE WHEN k % 5 = 0 THEN '*' ELSE '' END || '}'""",
+    "true",
+)
+_pieces(
+    "repair_skipped_ends", repairs.fix_nesting, lambda k, w: _text("\\begin{center}\\begin{small}", w, F.when(k % 3 == 0, "").otherwise("\\end{small}"), "\\end{center}"),
+    r"'\begin{center}\begin{small}' || w || CASE WHEN k % 3 = 0 THEN chr(10) || '\end{small}' || chr(10) ELSE '\end{small}' END || '\end{center}'", "k % 3 = 0",
+)
