@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkspan.plans.catalog import query
 from inkspan.plans.relational import FOLD
 from inkspan.plans.views import text
-from inkspan.sources import archives, stores, versions
+from inkspan.sources import archives, readers, stores, versions, writers
 from inkspan.streaming import state
 
 
@@ -111,3 +111,63 @@ def error_state_stream(t):
     state.into_store(records, f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
     found = state.newest(versions.read(t.spark, f"{folder}/store"))
     return found.withColumns({c: F.col(c).cast(kind) for c in ("timestamp", "last_retry")})
+
+
+@query("SELECT arxiv_id, title, status, source_type, error_message, source_md5 FROM papers")
+def registry_store(t):
+    """Papers through the registry's files: one document each, read back with missing fields as zero values."""
+    folder = shared_folder(t.spark)
+    papers = t.papers.select("arxiv_id", "title", "status", "source_type", "error_message", "source_md5")
+    writers.registry(papers, folder)
+    good, _ = stores.registry_lines(t.spark, folder)
+    return good.select(*papers.columns)
+
+
+@query("SELECT arxiv_id AS id FROM papers WHERE doc_id % 3 = 0 UNION ALL SELECT arxiv_id FROM papers WHERE doc_id % 3 = 1")
+def id_list_store(t):
+    """Two lists appended to a text store that also holds comments and blanks; a first list is overwritten."""
+    folder, ids = shared_folder(t.spark), t.papers.select("doc_id", F.col("arxiv_id").alias("id"))
+    writers.id_list(ids, folder)
+    writers.id_list(ids.filter("doc_id % 3 = 0"), folder)
+    writers.id_list(ids.filter("doc_id % 3 = 1"), folder, append=True)
+    writers.id_list(ids.filter("doc_id % 3 = 2").select(F.concat(F.lit("# "), "id").alias("id")), folder, append=True)
+    return readers.id_list(t.spark, folder)
+
+
+@query("SELECT hash, translation FROM cache_entries")
+def cache_store(t):
+    """Cache entries through the versioned store."""
+    folder = shared_folder(t.spark)
+    writers.cache(t.cache_entries.select("hash", F.lit("").alias("original"), "translation"), folder)
+    return readers.translation_cache(t.spark, folder).select("hash", "translation")
+
+
+@query("SELECT arxiv_id, any_value(title) AS title FROM papers GROUP BY arxiv_id")
+def harvest_store(t):
+    """A harvest of entries that come twice, kept once."""
+    folder, entries = shared_folder(t.spark), t.papers.select("arxiv_id", "title", F.lit("").alias("abstract"))
+    writers.harvest(entries.unionByName(entries), folder)
+    return readers.harvest(t.spark, f"{folder}/entries").select("arxiv_id", "title")
+
+
+@query("SELECT id, max(event_id) AS event_id, count(*) AS events FROM err_events GROUP BY id")
+def error_store(t):
+    """Error records written as JSON lines; of those that repeat an id the newest by time and number is read."""
+    folder = shared_folder(t.spark)
+    stamp = F.timestamp_seconds(F.col("event_id"))
+    rows = t.err_events.select("id", F.col("event_id").cast("string").alias("title"), "stage", stamp.alias("timestamp"))
+    writers.records(rows, folder)
+    good, _ = stores.error_log(t.spark, folder)
+    counts = t.err_events.groupBy("id").agg(F.count("*").alias("events"))
+    return good.select("id", F.col("title").cast("long").alias("event_id")).join(counts, "id")
+
+
+@query("SELECT arxiv_id || '_cs_cn.pdf' AS name, doc_id AS size FROM papers WHERE doc_id % 4 <> 1 UNION ALL SELECT NULL, NULL FROM papers WHERE doc_id % 4 = 1")
+def listing_store(t):
+    """Repository listings of ten files each, in which every fourth file has a word for its size."""
+    d = F.col("doc_id")
+    size = F.when(d % 4 == 1, '"large"').otherwise(text(d))
+    entry = F.concat(F.lit('{"name":"'), "arxiv_id", F.lit('_cs_cn.pdf","type":"file","size":'), size, F.lit("}"))
+    pages = t.papers.groupBy(F.floor(d / 10).alias("page")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(entry), ","), F.lit("]")).alias("json"))
+    good, bad = stores.listing(pages, "json")
+    return good.select("name", "size").unionByName(bad.select(F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("size")))

@@ -7,6 +7,7 @@ missing fields their zero value, as the stores leave those out.
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 import zipfile
 
@@ -32,6 +33,16 @@ def zero_filled(rows: DataFrame) -> DataFrame:
     return rows.fillna("").fillna(0).fillna(False)
 
 
+def json_store(spark: SparkSession, path: str, schema: str):
+    """A reader for a store of either layout: one document a file, or one record a line, told by whether the first line is whole."""
+    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    try:
+        whole = bool(first) and json.loads(first[0]["value"].removeprefix("\ufeff")) is not None
+    except ValueError:
+        whole = False
+    return spark.read.schema(schema).option("multiLine", not whole)
+
+
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document per paper below ``path``; unreadable ones are skipped."""
     rows = spark.read.schema(PAPER).option("multiLine", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").json(path)
@@ -39,14 +50,14 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def error_log(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array of records; of records that repeat an id the newest counts."""
-    rows = zero_filled(spark.read.schema(ERROR).option("multiLine", True).json(path))
+    """Records as one JSON array or one a line; of records that repeat an id the newest counts."""
+    rows = zero_filled(json_store(spark, path, ERROR).json(path))
     return rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), "timestamp").alias("r")).select("r.*")
 
 
 def translation_cache(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a versioned cache store."""
-    return spark.read.schema(CACHE).option("multiLine", True).json(path).select(F.inline("entries"))
+    return json_store(spark, path, CACHE).json(path).select(F.inline("entries"))
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
@@ -57,7 +68,7 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
 
 def harvest(spark: SparkSession, path: str) -> DataFrame:
     """Harvested entries, one per identifier; malformed stores are empty."""
-    return spark.read.schema(FEED).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).filter("arxiv_id is not null").dropDuplicates(["arxiv_id"])
+    return json_store(spark, path, FEED).option("mode", "DROPMALFORMED").json(path).filter("arxiv_id is not null").dropDuplicates(["arxiv_id"])
 
 
 def atom_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -80,9 +91,9 @@ def feed_metadata(rows: DataFrame, xml: str) -> DataFrame:
     )
 
 
-def repository_listing(rows: DataFrame, json: str) -> DataFrame:
+def repository_listing(rows: DataFrame, listing: str) -> DataFrame:
     """Files of a repository listing held as JSON text."""
-    return rows.select(F.inline(F.from_json(json, f"array<struct<{LISTING.replace(' ', ':').replace(',:', ',')}>>"))).fillna("")
+    return rows.select(F.inline(F.from_json(listing, f"array<struct<{LISTING.replace(' ', ':').replace(',:', ',')}>>"))).fillna("")
 
 
 def tex_files(spark: SparkSession, path: str) -> DataFrame:

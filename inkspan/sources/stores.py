@@ -60,6 +60,12 @@ def registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return zero_filled(good(rows)), bad(rows, "raw")
 
 
+def registry_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Papers of a registry written as JSON lines; and the bad lines."""
+    rows = parsed(lines(spark, path), "raw", PAPER)
+    return zero_filled(good(rows)), bad(rows, "raw")
+
+
 def listing(rows: DataFrame, json: str) -> tuple[DataFrame, DataFrame]:
     """Files of repository listings held as JSON arrays, element by element; and the bad elements and texts."""
     elements = rows.select(F.explode(F.coalesce(F.from_json(json, "array<string>"), F.array(F.col(json)))).alias("raw"))

@@ -114,3 +114,23 @@ def test_versions_count_once_and_survive_a_failed_task(spark, tmp_path):
     assert [r.batch for r in versions.history(spark, path).orderBy("version").collect()] == ["a", "b", "c"]
     rows = versions.read(spark, path)  # a store may be written from itself
     assert versions.commit(rows, path, "d") == 4 and ids() == [5, 5]
+
+
+def test_stores_of_either_layout(spark, tmp_path):
+    import json
+
+    from inkspan.sources import readers, writers
+
+    rows = [(f"h{i}", "o", f"t{i}") for i in range(50)]
+    writers.cache(spark.createDataFrame(rows, "hash string, original string, translation string").coalesce(1), str(tmp_path / "lines"))
+    assert readers.translation_cache(spark, str(tmp_path / "lines")).count() == 50
+    document = {"version": "1.0", "entries": [{"hash": h, "original": o, "translation": t} for h, o, t in rows]}
+    for name, indent in (("pretty", 2), ("compact", None)):
+        (tmp_path / name).write_text("\n" + json.dumps(document, indent=indent))
+        assert readers.translation_cache(spark, str(tmp_path / name)).count() == 50
+    log = [{"id": str(i), "timestamp": "2024-01-01T00:00:00Z"} for i in range(20)]
+    for name, body in (("array", json.dumps(log)), ("pretty_array", json.dumps(log, indent=1)), ("log_lines", "\n".join(map(json.dumps, log)))):
+        (tmp_path / name).write_text(body)
+        assert readers.error_log(spark, str(tmp_path / name)).count() == 20
+    (tmp_path / "nothing").write_text("")
+    assert readers.error_log(spark, str(tmp_path / "nothing")).count() == 0
