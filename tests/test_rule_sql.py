@@ -50,8 +50,16 @@ def found(name, tex, pairs, logs):
         return ["doc_id", "type", "name", "start", "stop", "is_nested", "parent_type"], [(d, *r) for d, t in tex for r in spans.structures(t)]
     if name == "plain_text_extraction":
         return ["doc_id", "plain"], [(d, spans.plain_text(t)) for d, t in tex]
+    if name == "repair_workflow":
+        rows = []
+        for d, t in pairs:
+            fixed = repairs.auto_fix(t)
+            before, after = len(validators.CHECKS["editor"](t)), len(validators.CHECKS["editor"](fixed))
+            decision = "unchanged" if fixed == t else "rejected" if after > before else "accepted"
+            rows.append((d, before, after, decision, md5(t if after > before else fixed)))
+        return ["doc_id", "issues_before", "issues_after", "decision", "kept"], rows
     rule = {
-        "repair_missing_ends": repairs.insert_missing_ends, "repair_environments": repairs.restore_environments,
+        "repair_simple": repairs.simple_fix, "repair_auto": repairs.auto_fix, "repair_missing_ends": repairs.insert_missing_ends, "repair_environments": repairs.restore_environments,
         "repair_final_lines": repairs.fix_line_structure, "repair_line_structure": repairs.restore_line_structure,
     }[name]
     return ["doc_id", "fixed", "changed"], [(d, md5(rule(t)), rule(t) != t) for d, t in pairs]
@@ -70,7 +78,8 @@ def duck():
 @pytest.mark.parametrize(
     "name",
     "syntax_validation editor_validation project_validation log_excerpts chunk_break_points environment_boundaries repair_missing_ends repair_environments repair_final_lines repair_line_structure "
-    "protect_math protect_tables protect_table_commands protect_cells protect_authors protect_commands command_extraction plain_text_extraction structure_identification".split(),
+    "protect_math protect_tables protect_table_commands protect_cells protect_authors protect_commands command_extraction plain_text_extraction structure_identification "
+    "repair_simple repair_auto repair_workflow".split(),
 )
 def test_rule_matches_its_sql(duck, name):
     tex = duck.execute(sql("SELECT doc_id, text FROM tex")).fetchall()
