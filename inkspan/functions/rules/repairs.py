@@ -51,9 +51,32 @@ def fix_line_structure(text: str) -> str:
     return rewrite(text, LINE_BREAKS)
 
 
+#: Tags and items of which a line should have one, as the original's lines do.
+SINGLE = (r"\\begin\{[^}]+\}", r"\\end\{[^}]+\}", r"\\item\b")
+
+
+def split_merged(text: str, original: str) -> str:
+    """Lines with several begins, ends or items are split, if fewer lines have one than in the original.
+
+    Texts whose numbers of lines differ by more than a fifth and more than five are left alone.
+    """
+    a, b = original.split("\n"), text.split("\n")
+    if abs(len(a) - len(b)) > max(5, len(a) // 5):
+        return text
+    for pattern in SINGLE:
+        own = re.compile(pattern, re.A)
+        b = text.split("\n")
+        if sum(bool(own.search(line)) for line in b) < sum(bool(own.search(line)) for line in a):
+            gap = re.compile(rf"[ \t]*({pattern})", re.A)
+            ends = [m.end() if (m := own.search(line)) else len(line) for line in b]
+            text = "\n".join(line[:end] + gap.sub(lambda m: "\n" + m.group(1), line[end:]) for line, end in zip(b, ends))
+    return text
+
+
 def restore_line_structure(text: str, original: str = "") -> str:
-    """Line breaks back around tags and items."""
-    return rewrite(rewrite(text, SPACED), BREAKS)
+    """Line breaks back around tags and items; merged ones are split where the original has them apart."""
+    text = rewrite(text, SPACED)
+    return rewrite(split_merged(text, original) if original else text, BREAKS)
 
 
 def _tag_stack(text: str) -> list[tuple[str, int]]:

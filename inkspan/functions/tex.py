@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -270,3 +272,46 @@ def needs_unicode_compiler(c: Column) -> Column:
 
 def needs_bibliography(aux: Column) -> Column:
     return aux.contains("\\citation{") | aux.contains("\\bibdata{")
+
+
+def _ascii(pattern: str) -> str:
+    """A pattern of the line rules for the JVM: a word ends before anything but ASCII word characters."""
+    return re.sub(r"\\(.)", lambda m: "(?![A-Za-z0-9_])" if m.group(1) == "b" else m.group(), pattern)
+
+
+def break_lines(c: Column, rules: list[tuple[str, str]]) -> Column:
+    """Line rules (pattern of two groups, what goes between them) one after another."""
+    for pattern, gap in rules:
+        c = F.regexp_replace(c, _ascii(pattern), "$1" + gap + "$2")
+    return c
+
+
+def _split_lines(text: Column, original: Column, pattern: str) -> Column:
+    lines = lambda c: F.split(c, "\n", -1)
+    having = lambda c: F.size(F.filter(lines(c), lambda x: x.rlike(pattern)))
+
+    def parted(line: Column) -> Column:
+        head = F.regexp_extract(line, f"(?s)^(.*?{pattern})", 1)
+        tail = F.regexp_replace(F.substr(line, F.length(head) + 1), f"[ \\t]*({pattern})", "\n$1")
+        return F.when(line.rlike(pattern), F.concat(head, tail)).otherwise(line)
+
+    return F.when(having(text) < having(original), F.array_join(F.transform(lines(text), parted), "\n")).otherwise(text)
+
+
+def split_merged(text: Column, original: Column, patterns: tuple[str, ...]) -> Column:
+    """Lines with several matches of a pattern are split, if fewer lines have one than in the original.
+
+    Texts whose numbers of lines differ by more than a fifth and more than five are left alone.
+    """
+    count_lines = lambda c: F.size(F.split(c, "\n", -1))
+    near = F.abs(count_lines(original) - count_lines(text)) <= F.greatest(F.lit(5), F.floor(count_lines(original) / 5))
+    made = text
+    for pattern in patterns:
+        made = F.get(F.transform(F.array(made), lambda x: _split_lines(x, original, _ascii(pattern))), F.lit(0))  # noqa: B023
+    return F.when(near, made).otherwise(text)
+
+
+def restore_line_structure(text: Column, original: Column, spaced: list, breaks: list, single: tuple[str, ...]) -> Column:
+    """Line breaks back around tags and items; merged ones are split where the original has them apart."""
+    spread = lambda c: F.get(F.transform(F.array(break_lines(c, spaced)), lambda x: split_merged(x, original, single)), F.lit(0))
+    return break_lines(spread(text), breaks)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkspan.functions import tex
 from inkspan.functions.rules import chunks, repairs, spans
 from inkspan.functions.text import GARBLED, TYPOS
 from inkspan.operators import rules
@@ -140,12 +141,27 @@ kept AS (SELECT doc_id, min(start) AS start, arg_min(stop, start) AS stop FROM w
 SELECT doc_id, start, stop FROM kept"""
 
 
-def _rewritten(rules: list[tuple[str, str]]) -> str:
-    """The line rules one after another, as SQL; ``translated`` goes in."""
-    made = "translated"
+def _rewrite(made: str, rules: list[tuple[str, str]]) -> str:
+    """The line rules one after another, as SQL over an expression."""
     for pattern, gap in rules:
         made = f"regexp_replace({made}, '{pattern}', '\\1' || " + " || ".join("chr(10)" if c == chr(10) else "' '" for c in gap) + " || '\\2', 'g')"
-    return f"SELECT doc_id, md5(fixed) AS fixed, fixed <> translated AS changed FROM (SELECT doc_id, translated, {made} AS fixed FROM tex_pairs)"
+    return made
+
+
+def _split_lines(pattern: str) -> str:
+    """Lines of ``text`` with several matches split, if fewer of them have one than of ``original``'s lines."""
+    lines = lambda c: f"string_split({c}, chr(10))"
+    having = lambda c: f"len(list_filter({lines(c)}, lambda x: regexp_matches(x, '{pattern}')))"
+    head = f"regexp_extract(x, '(?s)^(.*?{pattern})', 1)"
+    parted = f"{head} || regexp_replace(substr(x, length({head}) + 1), '[ \\t]*({pattern})', chr(10) || '\\1', 'g')"
+    return f"CASE WHEN near AND {having('text')} < {having('original')} THEN array_to_string(list_transform({lines('text')}, lambda x: CASE WHEN regexp_matches(x, '{pattern}') THEN {parted} ELSE x END), chr(10)) ELSE text END"
+
+
+FINAL_LINES = f"SELECT doc_id, md5(fixed) AS fixed, fixed <> translated AS changed FROM (SELECT doc_id, translated, {_rewrite('translated', repairs.LINE_BREAKS)} AS fixed FROM tex_pairs)"
+LINE_STRUCTURE = f"""WITH spaced AS (SELECT doc_id, original, translated, {_rewrite('translated', repairs.SPACED)} AS text FROM tex_pairs),
+split0 AS (SELECT *, abs(len(string_split(original, chr(10))) - len(string_split(text, chr(10)))) <= greatest(5, len(string_split(original, chr(10))) // 5) AS near FROM spaced),
+{", ".join(f"split{i} AS (SELECT doc_id, original, translated, near, {_split_lines(p)} AS text FROM split{i - 1})" for i, p in enumerate(repairs.SINGLE, 1))}
+SELECT doc_id, md5(fixed) AS fixed, fixed <> translated AS changed FROM (SELECT doc_id, translated, {_rewrite('text', repairs.BREAKS)} AS fixed FROM split{len(repairs.SINGLE)})"""
 
 
 # Spans of a text in SQL: rows (doc_id, start, stop, type, name, rank) by the pieces around the matches of a pattern.
@@ -308,12 +324,12 @@ def title_extraction(t):
 
 
 REPAIRS = {
-    "repair_postprocess": repairs.postprocess, "repair_reference": repairs.reference_fixes, "repair_line_structure": repairs.restore_line_structure,
+    "repair_postprocess": repairs.postprocess, "repair_reference": repairs.reference_fixes,
     "repair_comments": repairs.restore_comments, "repair_environments": repairs.restore_environments, "repair_braces": repairs.restore_braces,
     "repair_lines": repairs.fix_by_lines, "repair_inputs": repairs.restore_inputs, "repair_quick_fix": repairs.quick_fix_with_reference,
 }
 REPAIRS_ALONE = {
-    "repair_missing_ends": repairs.insert_missing_ends, "repair_nesting": repairs.fix_nesting, "repair_final_lines": repairs.fix_line_structure, "repair_tables": repairs.fix_table_layout,
+    "repair_missing_ends": repairs.insert_missing_ends, "repair_nesting": repairs.fix_nesting, "repair_tables": repairs.fix_table_layout,
     "repair_figures": repairs.fix_figure_layout, "repair_wide_tables": repairs.widen_tables, "repair_resizebox": repairs.close_resizebox,
     "repair_quick": repairs.quick_fix,
 }
@@ -321,7 +337,6 @@ REPAIRS_ALONE = {
 
 REPAIR_SQL = {
     "repair_missing_ends": MISSING_ENDS, "repair_environments": MISSING_ENDS,
-    "repair_final_lines": _rewritten(repairs.LINE_BREAKS), "repair_line_structure": _rewritten(repairs.SPACED + repairs.BREAKS),
 }
 
 
@@ -339,6 +354,20 @@ for _name, _rule in REPAIRS_ALONE.items():
     _repair(_name, _rule, ("translated",))
 
 
+def _lines_mended(t, fixed):
+    return t.tex_pairs.withColumn("fixed", fixed).select("doc_id", F.md5("fixed").alias("fixed"), (F.col("fixed") != F.col("translated")).alias("changed"))
+
+
+@query(FINAL_LINES)
+def repair_final_lines(t):
+    return _lines_mended(t, tex.break_lines(F.col("translated"), repairs.LINE_BREAKS))
+
+
+@query(LINE_STRUCTURE)
+def repair_line_structure(t):
+    return _lines_mended(t, tex.restore_line_structure(F.col("translated"), F.col("original"), repairs.SPACED, repairs.BREAKS, repairs.SINGLE))
+
+
 @query("SELECT doc_id, regexp_replace(original, 'section', 'part', 'g') <> original AS changed, md5(regexp_replace(original, 'section', 'part', 'g')) AS fixed FROM tex_pairs")
 def repair_regex(t):
     return rules.regex_fix(t.tex_pairs, "original", "section", "part").select("doc_id", "changed", F.md5("fixed").alias("fixed"))

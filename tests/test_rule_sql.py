@@ -62,6 +62,9 @@ def found(name, tex, pairs, logs):
         "repair_simple": repairs.simple_fix, "repair_auto": repairs.auto_fix, "repair_missing_ends": repairs.insert_missing_ends, "repair_environments": repairs.restore_environments,
         "repair_final_lines": repairs.fix_line_structure, "repair_line_structure": repairs.restore_line_structure,
     }[name]
+    if name == "repair_line_structure":
+        whole = dict(tex)
+        return ["doc_id", "fixed", "changed"], [(d, md5(x), x != t) for d, t in pairs for x in [rule(t, whole[d])]]
     return ["doc_id", "fixed", "changed"], [(d, md5(rule(t)), rule(t) != t) for d, t in pairs]
 
 
@@ -91,3 +94,19 @@ def test_rule_matches_its_sql(duck, name):
     assert sorted(names) == sorted(columns)
     wanted = collections.Counter(tuple(r[names.index(c)] for c in columns) for r in result.fetchall())
     assert collections.Counter(rows) == wanted and wanted
+
+
+def test_line_rules_are_the_same_in_columns(spark):
+    from pyspark.sql import functions as F
+
+    from inkspan.functions import tex
+
+    rng = random.Random(5)
+    rows = [(i, hostile(rng), hostile(rng)) for i in range(150)]
+    rows += [(900 + i, "x\n" * 9 + "\\begin{a}\\begin{b}\\begin{c}\\item a \\item b\\end{c}\\end{b}\\end{a}", "x\n" * 5 + "\\begin{a}\n\\begin{b}\n\\begin{c}\n\\item a\n\\item b\n\\end{c}\n\\end{b}\n\\end{a}") for i in range(2)]
+    df = spark.createDataFrame(rows, "i int, t string, o string")
+    found = df.select("i", tex.break_lines(F.col("t"), repairs.LINE_BREAKS).alias("a"), tex.restore_line_structure(F.col("t"), F.col("o"), repairs.SPACED, repairs.BREAKS, repairs.SINGLE).alias("b"))
+    for r in found.collect():
+        _, t, o = next(x for x in rows if x[0] == r.i)
+        assert r.a == repairs.fix_line_structure(t) and r.b == repairs.restore_line_structure(t, o)
+    assert repairs.restore_line_structure(rows[-1][1], rows[-1][2]).endswith("\\end{c}\n\\end{b}\n\\end{a}")
