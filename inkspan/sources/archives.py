@@ -10,6 +10,7 @@ hdfs, s3, gs), on the executors too, so the files need not fit into memory.
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 import uuid
 import zipfile
@@ -31,7 +32,9 @@ BROKEN = (zipfile.BadZipFile, tarfile.TarError, zlib.error, EOFError, OSError, N
 
 
 def open_at(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    """File system and path of a URI; a path without a scheme is local, and Hadoop writes local ones with one slash."""
+    local = re.fullmatch(r"(?:file:)?/+(.*)", uri, re.S)
+    return (fs.LocalFileSystem(), "/" + local.group(1).rstrip("/")) if local else fs.FileSystem.from_uri(uri)
 
 
 def kind_of(head: bytes) -> str | None:
