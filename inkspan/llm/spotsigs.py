@@ -158,3 +158,52 @@ def compare_neighbours(
         jaccard("signatures", "edited_signatures", threshold).alias("near_edited"),
         jaccard("signatures", "next_signatures", threshold).alias("near_next"),
     )
+
+
+def classes(docs: DataFrame, anchors=COMMON_WORDS, chain: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and ``class_id`` of every document, and ``signatures``: documents of equal sets share the smallest id of them.
+
+    A null id counts after all others; a class of null ids alone has none. The
+    class is found by aggregation within each task first, so a group of copies
+    of any size is a row per task.
+    """
+    made = with_signatures(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), "text", "signatures", anchors, chain)
+    made = made.select(id_col, "signatures", F.sha2(fingerprint("signatures"), 256).alias("digest"))
+    named = made.groupBy("digest").agg(F.min(id_col).alias("class_id"))
+    return made.join(named, "digest").select(id_col, "class_id", "signatures")
+
+
+def near_pairs(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``(left_id, right_id, near)`` of all pairs of classes whose sets have a Jaccard similarity of ``threshold`` or more, left below right.
+
+    ``sets`` has ``class_id`` and ``signatures``, as ``classes`` gives them; each
+    class takes part once, and classes without an id or with an empty set in no
+    pair. Sets are partitioned by length: one meets the sets of its own length
+    class and of the next smaller one, no others. In a partition two sets meet
+    if they share one of the first signatures, rarest first, that a pair of that
+    similarity must share; lengths and places bound the rest, and what is left is
+    intersected. No candidate is capped.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is above 0 and at most 1")
+    one = sets.filter("class_id is not null").groupBy("class_id").agg(F.first("signatures").alias("signatures"))
+    postings = one.select("class_id", F.explode("signatures").alias("signature"))
+    counts = postings.groupBy("signature").agg(F.count("*").alias("n"))
+    ordered = postings.join(counts, "signature").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("n", "signature"))).alias("found"))
+    size = F.size("found")
+    first = size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)) + 1
+    heads = ordered.select("class_id", size.alias("size"), length_class(size, min(threshold, 0.999) * (1 - 1e-9)).alias("part"), F.posexplode(F.slice("found", F.lit(1), first.cast("int"))).alias("place", "head"))
+    heads = heads.select("class_id", "size", "part", "place", F.col("head.signature").alias("signature"))
+    index = heads.toDF("left_id", "left_size", "part", "left_place", "signature")
+    probes = heads.withColumn("part", F.explode(F.array(F.col("part"), F.col("part") - 1))).toDF("right_id", "right_size", "part", "right_place", "signature")
+    smaller = F.struct("left_size", "left_id") < F.struct("right_size", "right_id")
+    least = F.ceil((F.col("left_size") + F.col("right_size")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+    rest = F.least(F.col("left_size") - F.col("left_place"), F.col("right_size") - F.col("right_place"))
+    bounded = smaller & (F.col("left_size") >= F.col("right_size") * F.lit(threshold) - F.lit(1e-9))
+    met = index.join(probes, ["part", "signature"]).filter(bounded).groupBy("left_id", "right_id").agg(
+        F.min(F.struct("left_place", "right_place", rest.alias("rest"))).alias("at"), F.first(least).alias("least")
+    )
+    met = met.filter(F.col("at.rest") >= F.col("least")).select("left_id", "right_id")
+    side = lambda name: one.select(F.col("class_id").alias(f"{name}_id"), F.col("signatures").alias(name))
+    found = met.join(side("left"), "left_id").join(side("right"), "right_id").withColumn("near", jaccard("left", "right", threshold)).filter("near > 0")
+    return found.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "near")

@@ -103,3 +103,37 @@ def test_pruned_jaccard_and_length_classes(spark):
             assert r.j == (full if full >= threshold else 0.0)
             if full >= 0.8:
                 assert abs(r.p - r.q) <= 1
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.8, 1.0])
+def test_near_pairs_equal_brute_force(spark, threshold):
+    rng = random.Random(int(threshold * 10))
+    rows = []
+    for i in range(40):
+        words = [rng.choice(["the", "of", "a", "cat", "dog", "sun", "sea", f"w{rng.randint(0, 60)}"]) for _ in range(rng.choice([3, 20, 21, 40, 90]))]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(rng.choice([0, 1, 3])):  # near and exact copies
+            copy = words[:]
+            for _ in range(rng.choice([0, 1, 2, 6])):
+                copy[rng.randrange(len(copy))] = f"n{rng.randint(0, 99)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(900, ""), (901, None), (902, "?"), (None, "the cat of a dog"), (903, rows[0][1]), (903, rows[0][1])]
+    made = spotsigs.classes(spark.createDataFrame(rows, DOCS).repartition(4))
+    member = {}
+    for i, text in rows:
+        if i is not None:
+            member[frozenset(brute_signatures(text))] = min(i, member.get(frozenset(brute_signatures(text)), i))
+    found = made.collect()
+    assert len(found) == len(rows)
+    text = dict(rows)
+    assert all(r.class_id == member.get(frozenset(brute_signatures(text[r.doc_id]))) for r in found)
+    wanted = {(min(a, b), max(a, b)): likeness(x, y) for (x, a), (y, b) in itertools.combinations(member.items(), 2) if x and y and likeness(x, y) >= threshold - 1e-12}
+    pairs = spotsigs.near_pairs(made, threshold).collect()
+    assert {(r.left_id, r.right_id): r.near for r in pairs} == wanted and len(pairs) == len(wanted)
+    assert threshold == 1.0 or len(wanted) > 5
+
+
+def test_near_pairs_of_nothing(spark):
+    assert spotsigs.near_pairs(spotsigs.classes(spark.createDataFrame([], DOCS))).collect() == []
+    with pytest.raises(ValueError):
+        spotsigs.near_pairs(spotsigs.classes(spark.createDataFrame([], DOCS)), 0)
