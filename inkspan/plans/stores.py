@@ -171,3 +171,15 @@ def listing_store(t):
     pages = t.papers.groupBy(F.floor(d / 10).alias("page")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(entry), ","), F.lit("]")).alias("json"))
     good, bad = stores.listing(pages, "json")
     return good.select("name", "size").unionByName(bad.select(F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("size")))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS content FROM documents WHERE doc_id % 3 <> 2")
+def project_files(t):
+    """Files of three suffixes in nested folders, of which the TeX ones are read, whatever their case."""
+    folder, d = shared_folder(t.spark), F.col("doc_id")
+    lines = t.documents.select(d, F.concat(text(d), F.lit(" "), F.md5(F.coalesce("text", F.lit("")))).alias("line"))
+    for part, name, suffix in ((0, "a", "tex"), (1, "a/b/c", "TEX"), (2, "a/d", "txt")):
+        lines.filter(d % 3 == part).select("line").write.option("extension", suffix).csv(f"{folder}/{name}")
+    files = readers.tex_files(t.spark, folder)
+    rows = files.select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).filter("line <> ''")
+    return rows.select(F.split("line", " ")[0].cast("long").alias("doc_id"), F.split("line", " ")[1].alias("content"))
