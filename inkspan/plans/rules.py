@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from inkspan.functions import tex
@@ -125,20 +127,75 @@ logs AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS log, strin
 cut AS (SELECT doc_id, CASE WHEN length(log) <= 500 THEN log WHEN length(found) > 500 THEN substr(found, 1, 500) || chr(10) || '...[truncated]' WHEN found <> '' THEN found ELSE right(log, 500) END AS excerpt FROM logs)
 SELECT doc_id, length(excerpt) AS n, md5(excerpt) AS excerpt FROM cut"""
 
-BREAK_POINTS = rf"""WITH fit AS (SELECT doc_id, text, CASE WHEN strlen(text) <= 400 THEN length(text) ELSE list_max(list_filter(range(1, 401), lambda n: strlen(substr(text, 1, n)) <= 400)) END AS most FROM tex),
-low AS (SELECT *, most * 4 // 5 AS low, [{", ".join("'" + e.replace(chr(10), "' || chr(10) || '") + "'" for e in chunks.ENDS)}] AS ends FROM fit),
-places AS (SELECT doc_id, text, most,
+def _break_points(source: str, limit: int, keep: str = "doc_id") -> str:
+    """Tables ``fit``, ``low`` and ``places`` over a source's ``text``, and the place as an expression of the last."""
+    ends = ", ".join("'" + e.replace(chr(10), "' || chr(10) || '") + "'" for e in chunks.ENDS)
+    fit = f"SELECT {keep}, text, CASE WHEN strlen(text) <= {limit} THEN length(text) ELSE list_max(list_filter(range(1, {limit + 1}), lambda n: strlen(substr(text, 1, n)) <= {limit})) END AS most FROM {source}"
+    return rf"""(SELECT {keep}, text, CAST(CASE WHEN most = length(text) THEN most WHEN sentence IS NOT NULL THEN sentence WHEN newline IS NOT NULL THEN newline WHEN space - 1 > most // 2 THEN space ELSE most END AS BIGINT) AS place FROM (
+  SELECT {keep}, text, most,
   list_max(flatten(list_transform(ends, lambda e: list_transform(list_filter(range(low + 1, most - length(e) + 2), lambda i: substr(text, i, length(e)) = e), lambda i: i - 1 + length(e))))) AS sentence,
   list_max(list_filter(range(low + 1, most + 1), lambda i: substr(text, i, 1) = chr(10))) AS newline,
-  list_max(list_filter(range(1, most + 1), lambda i: substr(text, i, 1) = ' ')) AS space FROM low)
-SELECT doc_id, CAST(CASE WHEN most = length(text) THEN most WHEN sentence IS NOT NULL THEN sentence WHEN newline IS NOT NULL THEN newline WHEN space - 1 > most // 2 THEN space ELSE most END AS BIGINT) AS at FROM places"""
+  list_max(list_filter(range(1, most + 1), lambda i: substr(text, i, 1) = ' ')) AS space FROM (SELECT *, most * 4 // 5 AS low, [{ends}] AS ends FROM ({fit}))))"""
+
 
-BOUNDARIES = rf"""WITH RECURSIVE {_tags("tex")}, {_levels("tags", "nested", "doc_id, name", "i")},
+BREAK_POINTS = f"SELECT doc_id, place AS at FROM {_break_points('tex', 400)}"
+
+def _boundaries(source: str, suffix: str = "") -> str:
+    """Tables that end in ``kept``: spans of environments that stay whole, outermost first; their names end in ``suffix``."""
+    body = rf"""{_tags(source)}, {_levels("tags", "nested", "doc_id, name", "i")},
 whole AS (SELECT * FROM (SELECT doc_id, name, d, stray, lag(pos) OVER (PARTITION BY doc_id, name, level ORDER BY i) AS start, pos + length(name) + 6 AS stop FROM nested)
   WHERE d < 0 AND NOT stray AND name IN ({", ".join(repr(n) for n in sorted(chunks.WHOLE))})),
 kept AS (SELECT doc_id, min(start) AS start, arg_min(stop, start) AS stop FROM whole GROUP BY doc_id
-  UNION ALL SELECT w.doc_id, min(w.start), arg_min(w.stop, w.start) FROM kept k JOIN whole w ON w.doc_id = k.doc_id AND w.start >= k.stop GROUP BY w.doc_id)
-SELECT doc_id, start, stop FROM kept"""
+  UNION ALL SELECT w.doc_id, min(w.start), arg_min(w.stop, w.start) FROM kept k JOIN whole w ON w.doc_id = k.doc_id AND w.start >= k.stop GROUP BY w.doc_id)"""
+    return re.sub(r"\b(cut|placed|tags|nested\w*|whole|kept)\b", lambda m: m.group() + suffix, body)
+
+
+BOUNDARIES = f"WITH RECURSIVE {_boundaries('tex')} SELECT doc_id, start, stop FROM kept"
+
+
+def _gathered(source: str, made: str, pattern: str, behind: int, least: int, limit: int) -> str:
+    """Tables that end in ``made`` (doc_id, unit, n, text): texts of ``source`` cut at a pattern outside whole environments, the
+    pieces joined while they fit. ``behind``: cuts are behind a match, else before it; texts with fewer than ``least`` cuts stay whole."""
+    x = made
+    return rf"""{_boundaries(source, x)},
+{x}_spans AS (SELECT s.doc_id, s.unit, s.text, coalesce(list({{'start': k.start, 'stop': k.stop}}) FILTER (k.start IS NOT NULL), []) AS spans FROM {source} s LEFT JOIN kept{x} k ON k.doc_id = s.doc_id GROUP BY ALL),
+{x}_found AS (SELECT *, regexp_split_to_array(text, '{pattern}') AS parts, regexp_extract_all(text, '{pattern}') AS found FROM {x}_spans),
+{x}_marks AS (SELECT doc_id, spans, CAST(list_sum(list_transform(parts[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda p: length(p))), 0) AS BIGINT) AS place, length(found[i]) AS size
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM {x}_found)),
+{x}_places AS (SELECT doc_id, list_sort(list(place + size * {behind})) AS places FROM {x}_marks WHERE len(list_filter(spans, lambda s: s.start < place AND place < s.stop)) = 0 GROUP BY doc_id HAVING count(*) >= {least}),
+{x}_edges AS (SELECT s.doc_id, s.unit, s.text, [0] || coalesce(places, []) || [length(s.text)] AS edges FROM {x}_spans s LEFT JOIN {x}_places USING (doc_id)),
+{x}_pieces AS (SELECT doc_id, unit, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i, piece FROM (
+  SELECT doc_id, unit, j, substr(text, edges[j] + 1, edges[j + 1] - edges[j]) AS piece FROM (SELECT *, unnest(range(1, len(edges))) AS j FROM {x}_edges)) WHERE piece <> ''),
+{x}_fold AS (SELECT doc_id, unit, i, 0 AS n, strlen(piece) AS size, piece FROM {x}_pieces WHERE i = 1
+  UNION ALL SELECT p.doc_id, p.unit, p.i, CASE WHEN f.size + strlen(p.piece) <= {limit} THEN f.n ELSE f.n + 1 END, CASE WHEN f.size + strlen(p.piece) <= {limit} THEN f.size ELSE 0 END + strlen(p.piece), p.piece
+  FROM {x}_fold f JOIN {x}_pieces p ON p.doc_id = f.doc_id AND p.i = f.i + 1),
+{x} AS (SELECT doc_id, unit, n, string_agg(piece, '' ORDER BY i) AS text FROM {x}_fold GROUP BY doc_id, unit, n)"""
+
+
+LIMIT = 4000
+SECTION_STARTS = r"(?m)^\\(?:section|subsection|subsubsection|chapter|part)\s*[\[{]"
+BLANK_LINES = r"\n\s*\n"
+# Units are numbered afresh at each level; ``unit`` keeps where a piece comes from, so that chunks come out in order.
+def chunks_sql(limit: int) -> str:
+    """Chunks of the texts: by sections, then paragraphs, then size, each level over what the one before left too large."""
+    return rf"""WITH RECURSIVE large AS (SELECT doc_id, [doc_id] AS unit, text FROM tex WHERE strlen(text) > {limit}),
+{_gathered("large", "sections", SECTION_STARTS, 0, 2, limit)},
+long AS (SELECT row_number() OVER (ORDER BY unit, n) AS doc_id, unit || [n] AS unit, text FROM sections WHERE strlen(text) > {limit}),
+{_gathered("long", "paragraphs", BLANK_LINES, 1, 0, limit)},
+sized AS (SELECT row_number() OVER (ORDER BY unit, n) AS doc_id, unit || [n] AS unit, text FROM paragraphs WHERE strlen(text) > {limit}),
+{_boundaries("sized", "3")},
+lists AS (SELECT s.doc_id, s.unit, s.text, coalesce(list({{'start': k.start, 'stop': k.stop}}) FILTER (k.start IS NOT NULL), []) AS spans FROM sized s LEFT JOIN kept3 k ON k.doc_id = s.doc_id GROUP BY ALL),
+steps AS (SELECT doc_id, unit, spans, 0 AS k, CAST(0 AS BIGINT) AS gone, '' AS piece, text AS text FROM lists
+  UNION ALL
+  SELECT doc_id, unit, spans, k + 1, gone + cut_at, substr(text, 1, cut_at), substr(text, cut_at + 1) FROM (
+    SELECT *, coalesce(CASE WHEN inside.start > 0 THEN inside.start ELSE inside.stop END, place) AS cut_at FROM (
+      SELECT *, list_filter(list_transform(spans, lambda s: {{'start': s.start - gone, 'stop': s.stop - gone}}), lambda s: s.start >= 0 AND s.start < place AND place < s.stop)[1] AS inside
+      FROM {_break_points(f"(SELECT * FROM steps WHERE strlen(text) > {limit})", limit, "doc_id, unit, spans, k, gone")}))),
+ends AS (SELECT unit || [k] AS unit, piece AS text FROM steps WHERE k > 0
+  UNION ALL SELECT unit || [k + 1], text FROM steps WHERE strlen(text) <= {limit} AND text <> ''),
+chunk_rows AS (SELECT [doc_id] AS unit, text FROM tex WHERE strlen(text) <= {limit} UNION ALL SELECT unit || [n], text FROM sections WHERE strlen(text) <= {limit}
+  UNION ALL SELECT unit || [n], text FROM paragraphs WHERE strlen(text) <= {limit} UNION ALL SELECT * FROM ends)
+SELECT unit[1] AS doc_id, row_number() OVER (PARTITION BY unit[1] ORDER BY unit) - 1 AS chunk, strlen(text) AS bytes, md5(text) AS content FROM chunk_rows"""
 
 
 def _rewrite(made: str, rules: list[tuple[str, str]]) -> str:
@@ -272,9 +329,9 @@ def chunk_concatenation(t):
     return rows.groupBy("doc_id").agg(F.md5(joined).alias("text"))
 
 
-@query()
+@query(chunks_sql(LIMIT))
 def chunking(t):
-    return rules.chunk(t.tex, "doc_id", "text").select("doc_id", "chunk", F.octet_length("text").alias("bytes"))
+    return rules.chunk(t.tex, "doc_id", "text", LIMIT).select("doc_id", "chunk", F.octet_length("text").alias("bytes"), F.md5("text").alias("content"))
 
 
 @query(BREAK_POINTS)

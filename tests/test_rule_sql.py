@@ -110,3 +110,17 @@ def test_line_rules_are_the_same_in_columns(spark):
         _, t, o = next(x for x in rows if x[0] == r.i)
         assert r.a == repairs.fix_line_structure(t) and r.b == repairs.restore_line_structure(t, o)
     assert repairs.restore_line_structure(rows[-1][1], rows[-1][2]).endswith("\\end{c}\n\\end{b}\n\\end{a}")
+
+
+@pytest.mark.parametrize("limit", [60, 300, 1000])
+def test_chunks_match_their_sql(duck, limit):
+    from inkspan.plans.rules import chunks_sql
+
+    rng = random.Random(limit)
+    rows = [(i, hostile(rng) + rng.choice(["", "\n\\section{a} b\n\n\\begin{table} c\n\n d\n\\end{table}\n\\section*{n}\n\\subsection{e} f. g"]) * rng.randint(0, 9)) for i in range(120)]
+    made = duck.cursor()
+    made.execute("CREATE OR REPLACE TEMP TABLE tex AS SELECT * FROM (VALUES (0, '')) t(doc_id, text) LIMIT 0")
+    made.execute("ALTER TABLE tex ALTER doc_id TYPE BIGINT")
+    made.executemany("INSERT INTO tex VALUES (?, ?)", rows)
+    wanted = collections.Counter((d, i, len(c.encode()), md5(c)) for d, t in rows for i, c in enumerate(chunks.split_chunks(t, limit)))
+    assert collections.Counter(made.execute(chunks_sql(limit)).fetchall()) == wanted and len(wanted) > 150
