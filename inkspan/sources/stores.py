@@ -76,7 +76,7 @@ def listing(rows: DataFrame, json: str) -> tuple[DataFrame, DataFrame]:
 def entry_texts(feed: Column) -> Column:
     """The entries of a feed, from one opening tag up to the next or to the feed's end, so a missing closing tag costs one entry."""
     found = F.regexp_extract_all(feed, F.lit(r"(?s)<entry\b.*?(?=<entry\b|</feed>|\z)"), F.lit(0))
-    return F.transform(found, lambda e: F.rtrim(e))
+    return F.transform(found, text.strip)
 
 
 def atom_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
