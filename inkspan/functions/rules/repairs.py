@@ -602,6 +602,22 @@ def _recover(text: str, original: str, key: str, value: str) -> tuple[str, str]:
 PIECE = re.compile(r"<<<[^<>]*>>>|[^\W_]+|\s|[\s\S]")
 
 
+def _grown_together(pieces: list[str], missing: set[str]) -> dict[str, list[str]]:
+    """Words that become one where the placeholders between them are missing, by that one word."""
+    found: dict[str, list[str]] = {}
+    run: list[str] = []
+    for piece in [*pieces, ""]:
+        if piece in missing:
+            continue
+        if not piece.isalnum():
+            if len(run) > 1:
+                found["".join(run)] = run
+            run = []
+        else:
+            run = [*run, piece]
+    return found
+
+
 def recover_in_order(text: str, protected: str, keys: list[str]) -> tuple[str, list[tuple[str, str]]]:
     """Missing placeholders put back by their neighbours in ``protected``, the text with all of them; and how each was.
 
@@ -614,7 +630,9 @@ def recover_in_order(text: str, protected: str, keys: list[str]) -> tuple[str, l
     missing = {k for k in keys if k not in present}
     if not missing:
         return text, []
-    a, b = PIECE.findall(text), PIECE.findall(protected)
+    b = PIECE.findall(protected)
+    grown = _grown_together(b, missing)
+    a = [part for piece in PIECE.findall(text) for part in grown.get(piece, (piece,))]
     place = {j: i for i, j in align_keys(a, b).items()}
     after: dict[int, list[str]] = {}
     done, at = [], -1
