@@ -108,7 +108,8 @@ def compare_structure(pairs: DataFrame) -> DataFrame:
         return F.transform(F.array_union(a, b), lambda name: row(kind, name, of(a, name), of(b, name)))
 
     counts = F.concat(fixed("section", tex.section_counts), fixed("command", tex.command_counts), named("package", "packages"), named("environment", "envs"))
-    joined = pairs.withColumns(found).select("doc_id", F.inline(F.filter(counts, lambda r: r["a"] != r["b"])))
+    changed = F.inline_outer(F.filter(counts, lambda r: r["a"] != r["b"]))  # the outer form is not evaluated once more to filter empty arrays
+    joined = pairs.withColumns(found).select("doc_id", changed).filter("kind is not null")
     kind, name, lost = F.col("kind"), F.col("name"), F.col("b") < F.col("a")
     error = (
         ((kind == "section") & lost & (F.col("a") > 0))
