@@ -144,9 +144,9 @@ def cache_store(t):
 
 @query("SELECT arxiv_id, any_value(title) AS title FROM papers GROUP BY arxiv_id")
 def harvest_store(t):
-    """A harvest of entries that come twice, kept once."""
-    folder, entries = shared_folder(t.spark), t.papers.select("arxiv_id", "title", F.lit("").alias("abstract"))
-    writers.harvest(entries.unionByName(entries), folder)
+    """A harvest of entries that come twice, kept once; of papers with one identifier the first."""
+    folder, entries = shared_folder(t.spark), t.papers.select("doc_id", "arxiv_id", "title", F.lit("").alias("abstract"))
+    writers.harvest(entries.unionByName(entries), folder, "doc_id")
     return readers.harvest(t.spark, f"{folder}/entries").select("arxiv_id", "title")
 
 

@@ -28,9 +28,16 @@ def cache(entries: DataFrame, path: str, version: str = "1.0") -> None:
     entries.select(F.lit(version).alias("version"), F.array(F.struct(*entries.columns)).alias("entries")).write.mode("overwrite").json(path)
 
 
-def harvest(entries: DataFrame, path: str) -> None:
-    """Identifiers as text and entries as JSON, from one input that is computed once."""
-    kept = entries.dropDuplicates(["arxiv_id"]).persist()
+def harvest(entries: DataFrame, path: str, order: str | None = None) -> None:
+    """Identifiers as text and entries as JSON, from one input that is computed once.
+
+    Of entries with one identifier the least by the column ``order``, which is not written, is kept; without it any one.
+    """
+    if order:
+        row = F.struct(*[c for c in entries.columns if c != order])
+        kept = entries.groupBy("arxiv_id").agg(F.min_by(row, order).alias("row")).select("row.*").persist()
+    else:
+        kept = entries.dropDuplicates(["arxiv_id"]).persist()
     try:
         kept.select("arxiv_id").write.mode("overwrite").text(f"{path}/ids")
         kept.write.mode("overwrite").json(f"{path}/entries")

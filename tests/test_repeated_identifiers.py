@@ -46,3 +46,11 @@ def test_report_row_of_an_id_with_retries_only(spark, folder):
 
 def test_text_report_of_an_id_with_retries_only(spark, folder):
     assert rows(catalog.queries()["error_text_report"](spark, folder)) == expected(folder, "error_text_report")
+
+
+def test_harvest_keeps_the_first_of_papers_with_one_identifier(spark, folder):
+    first = {}
+    for d in sorted(pq.read_table(f"{folder}/documents.parquet")["doc_id"].to_pylist()):
+        first.setdefault(f"{2301 + d % 12}.{str(d).rjust(5, '0')[:5]}", f"paper {d}")
+    found = catalog.queries()["harvest_store"](spark, folder).collect()
+    assert len(found) == len(first) and {r["arxiv_id"]: r["title"] for r in found} == first
