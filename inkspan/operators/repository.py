@@ -42,11 +42,11 @@ def by_category(files: DataFrame, categories: DataFrame, limit: int) -> DataFram
     return papers_of(files).join(chosen, "arxiv_id", "left_semi").orderBy(F.desc("arxiv_id")).limit(limit)
 
 
-def pending(all_ids: DataFrame, *done: DataFrame) -> DataFrame:
-    """Identifiers that none of the other lists holds."""
+def pending(all_ids: DataFrame, *done: DataFrame, key: str = "id") -> DataFrame:
+    """Identifiers of the rows whose ``key`` none of the other lists holds, once each; another key tells papers with one identifier apart."""
     for other in done:
-        all_ids = all_ids.join(other.select("id"), "id", "left_anti")
-    return all_ids.distinct()
+        all_ids = all_ids.join(other.select(key), key, "left_anti")
+    return all_ids.select("id").distinct()
 
 
 def main_files(files: DataFrame) -> DataFrame:

@@ -54,3 +54,7 @@ def test_harvest_keeps_the_first_of_papers_with_one_identifier(spark, folder):
         first.setdefault(f"{2301 + d % 12}.{str(d).rjust(5, '0')[:5]}", f"paper {d}")
     found = catalog.queries()["harvest_store"](spark, folder).collect()
     assert len(found) == len(first) and {r["arxiv_id"]: r["title"] for r in found} == first
+
+
+def test_a_paper_is_pending_though_another_with_its_identifier_is_done(spark, folder):
+    assert rows(catalog.queries()["pending_papers"](spark, folder)) == expected(folder, "pending_papers")
