@@ -13,7 +13,7 @@ from inkspan.plans.rules import EDITOR, SPANS, _levels, _marks, _replaced
 
 
 def _mended(rows, rule, *columns):
-    made = rules.with_text(rows, "fixed", rule, *columns)
+    made = rules.with_text(rows.select("doc_id", *columns), "fixed", rule, *columns)
     return made.select("doc_id", F.md5("fixed").alias("fixed"), (F.col("fixed") != F.col("translated")).alias("changed"))
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,11 @@ def test_unmatched_tags_and_braces_take_linear_time():
     tags = "\\begin{a}\n" * 40_000 + "\\end{b}\n" * 40_000
     repairs.insert_missing_ends(tags), repairs.fix_nesting(tags), spans.authors("\\author{" * 100_000)
     assert time.time() - start < 20
+
+
+def test_batches_are_worked_on_in_pieces_of_bounded_size():
+    """Arrow's batches count rows; what is unpacked at once is bounded by bytes, and no row is lost or comes twice."""
+    batch = pa.RecordBatch.from_pydict({"n": list(range(2000)), "text": ["x" * 10_000] * 2000})
+    found = list(rules.pieces(batch))
+    assert max(p.num_rows for p in found) * 10_000 <= rules.PIECE and [n for p in found for n in p.column(0).to_pylist()] == list(range(2000))
+    assert [p.num_rows for p in rules.pieces(pa.RecordBatch.from_pydict({"n": [1, 2]}))] == [2] and not list(rules.pieces(batch.slice(0, 0)))
