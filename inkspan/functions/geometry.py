@@ -103,9 +103,11 @@ def font_size(text: Column, width: float, height: float, low: float = 6.0, high:
     A character is as wide as the size, half of it, or a quarter, by its kind; a
     carriage return has no width. Widths are whole quarters of the size, so no
     sum is rounded. Each of a fixed number of halvings folds over the characters
-    once; lines and the quarters used in the last one share a number.
+    at most once; lines and the quarters used in the last one share a number. Where
+    the quarters of all lines, full ones or as empty as wrapping can leave them,
+    decide by themselves, nothing is folded.
     """
-    quarters = lambda c: F.when(c == "\n", -1).when(c.rlike(WIDE), 4).when(c.isin(" ", "\t"), 1).otherwise(2).cast("long")
+    quarters = lambda c: F.when(c == "\n", -1).when(c.isin(" ", "\t"), 1).when(c < "\u3000", 2).when(c.rlike(WIDE), 4).otherwise(2).cast("long")
     chars = F.transform(F.regexp_extract_all(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("")), F.lit("(?s)."), F.lit(0)), quarters)
     bits, line = 31, 1 << 31
 
@@ -116,12 +118,16 @@ def font_size(text: Column, width: float, height: float, low: float = 6.0, high:
             below = F.shiftleft(F.shiftright(s, bits) + 1, bits)
             return F.when(u < 0, below).when(s.bitwiseAND(F.lit(line - 1)) + u > room, below + u).otherwise(s + u)
 
+        most = F.greatest(F.lit(1), (F.lit(height) / (size * line_ratio)).cast("int"))
+
         def inside(s: Column) -> Column:
             lines = F.shiftright(s, bits)
-            most = F.greatest(F.lit(1), (F.lit(height) / (size * line_ratio)).cast("int"))
             return (lines <= most) & (t["total"] * size / 4 / lines <= width)
 
-        return F.aggregate(t["chars"], F.lit(line).cast("long"), wrap, inside)
+        folded = F.aggregate(t["chars"], F.lit(line).cast("long"), wrap, inside)
+        # No line holds more than the room; one that is wrapped lacks less than a wide character (4) of it.
+        over, under = t["total"] > most * room * (1 + 1e-9), t["total"] < (most - 1 - t["newlines"]) * (room - 4) * (1 - 1e-9)
+        return F.when((room > 4) & over, False).when((room > 4) & (most > t["newlines"]) & under, True).otherwise(folded)
 
     def halve(t: Column):
         def once(s: Column, _: Column) -> Column:
@@ -135,7 +141,8 @@ def font_size(text: Column, width: float, height: float, low: float = 6.0, high:
     steps = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(max(2.0, (high - low) / step))) + 1)))
     start = F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(low).alias("best"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, u: n + F.greatest(u, F.lit(0).cast("long")))
-    texts = F.transform(F.array(chars), lambda c: F.struct(c.alias("chars"), total(c).alias("total")))
+    newlines = count(F.coalesce(text, F.lit("")), "\n")
+    texts = F.transform(F.array(chars), lambda c: F.struct(c.alias("chars"), total(c).alias("total"), newlines.alias("newlines")))
     return F.get(F.transform(texts, lambda t: F.aggregate(steps, start, halve(t), lambda s: s["best"])), F.lit(0))
 
 

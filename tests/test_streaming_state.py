@@ -93,3 +93,12 @@ def test_placeholders_keep_their_order_in_changed_words():
         assert re.findall("<<<[^>]*>>>", found) == keys
     assert repairs.recover_in_order("a", "b", ["<<<K_1>>>"]) == ("a <<<K_1>>>", [("<<<K_1>>>", "append")])
     assert repairs.recover_in_order("", "<<<K_1>>> b", ["<<<K_1>>>"])[1] == [("<<<K_1>>>", "start")]
+
+
+def test_font_sizes_at_the_bounds_that_need_no_fold(spark):
+    """Texts that fill their lines exactly or lack one character of it, with wide characters and newlines, equal the plain search."""
+    texts = [c * n + end for c in ("x", "\u6c49", " ", "x\n", "x\u6c49") for n in (0, 1, 2, 9, 10, 11, 66, 67, 133, 134, 400) for end in ("", "\n", "\u6c49")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for width, height in ((200.0, 60.0), (6.0, 60.0), (3.0, 20.0)):
+        found = {r.i: r.s for r in rows.select("i", geometry.font_size(F.col("t"), width, height).alias("s")).collect()}
+        assert found == {i: repairs.fit_font(t, width, height) for i, t in enumerate(texts)}
