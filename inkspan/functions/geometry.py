@@ -73,7 +73,31 @@ def shrink_to_width(text: Column, size: Column, width: Column, height: Column) -
 
 
 def lines_needed(text: Column, size: Column, width: Column) -> Column:
-    """Lines a text takes when characters wrap at the width."""
+    """Lines a text takes when characters wrap at the width.
+
+    A character becomes a letter for each quarter of the size it is wide, ``l``
+    and then ``c``; a line is the longest run of them that ends with a character.
+    Where a line may be too narrow for a character, characters are folded over.
+    """
+    room = F.floor(F.least(F.try_divide(4.0 * width, size), F.lit(1e9))).cast("int")
+    line = F.concat(F.lit("[lc]{1,"), room.cast("string"), F.lit("}(?!c)"))
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+
+    def units(bare: Column) -> Column:
+        others, far = r"[^ \t\n\u3000-\x{3FFFF}]", r"[\u3000-\x{3FFFF}]"
+        wide = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, others, "lc"), WIDE, "lccc"), far, "lc")
+        made = F.when(bare.rlike(far), wide).otherwise(F.regexp_replace(bare, r"[^ \t\n]", "lc"))
+        return F.replace(F.replace(made, F.lit(" "), F.lit("l")), F.lit("\t"), F.lit("l"))
+
+    def wrapped(made: Column) -> Column:
+        return (1 + F.length(made) - F.length(F.replace(made, F.lit("\n"), F.lit(""))) + F.regexp_count(made, line) - F.regexp_count(made, F.lit("[lc]+"))).cast("long")
+
+    lines = bound(bound(F.replace(text, F.lit("\r"), F.lit("")), units), wrapped)
+    folded = _lines_folded(text, size, width)
+    return F.when((width <= 0) | (size <= 0), F.lit(1).cast("long")).when(room >= 4, lines).otherwise(folded)
+
+
+def _lines_folded(text: Column, size: Column, width: Column) -> Column:
     chars = F.filter(F.split(text, ""), lambda c: (c != "") & (c != "\r"))
 
     def step(state: Column, c: Column) -> Column:
@@ -85,13 +109,13 @@ def lines_needed(text: Column, size: Column, width: Column) -> Column:
         )
 
     start = F.struct(F.lit(1).cast("long").alias("lines"), F.lit(0.0).alias("used"))
-    return F.when((width <= 0) | (size <= 0), F.lit(1).cast("long")).otherwise(F.aggregate(chars, start, step, lambda s: s["lines"]))
+    return F.aggregate(chars, start, step, lambda s: s["lines"])
 
 
-def fits_bounds(text: Column, size: Column, width: Column, height: Column, line_ratio: float = 1.2) -> Column:
-    """The text's lines fit the height, and its mean line the width."""
+def fits_bounds(text: Column, size: Column, width: Column, height: Column, line_ratio: float = 1.2, lines: Column | None = None) -> Column:
+    """The text's lines fit the height, and its mean line the width. ``lines``: what ``lines_needed`` gives, where it is at hand."""
     most = F.greatest(F.floor(F.try_divide(height, size * line_ratio)), F.lit(1))
-    lines = lines_needed(text, size, width)
+    lines = lines_needed(text, size, width) if lines is None else lines
     newline = count(text, "[\n\r]")
     total = string_width(text, size) - newline * 0.5 * size
     return F.when(size <= 0, False).otherwise((lines <= most) & (F.try_divide(total, lines) <= width))

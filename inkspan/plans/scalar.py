@@ -225,9 +225,8 @@ FROM (SELECT *, {WRAP} AS l FROM blocks)
 """)
 def text_wrapping(t):
     c, size = F.col("text"), F.col("font_size")
-    return t.blocks.select(
-        "doc_id", "pos", geometry.lines_needed(c, size, F.lit(200.0)).alias("lines"), geometry.fits_bounds(c, size, F.lit(200.0), F.lit(60.0)).alias("fits")
-    )
+    rows = t.blocks.withColumn("lines", geometry.lines_needed(c, size, F.lit(200.0)))
+    return rows.select("doc_id", "pos", "lines", geometry.fits_bounds(c, size, F.lit(200.0), F.lit(60.0), lines=F.col("lines")).alias("fits"))
 
 
 CLS = "(['title', 'text', 'page_footer', 'picture', 'caption', 'table', 'caption', 'footnote', 'formula', 'caption'])"
