@@ -159,11 +159,15 @@ def nesting_error(c: Column) -> Column:
 
 def line_class(line: Column) -> Column:
     """``definition``, ``table``, ``markup``, ``prose`` or ``other`` by a line's content; null for blanks and comments."""
-    t = strip(line)
+    return _class_of_stripped(strip(line))
+
+
+def _class_of_stripped(t: Column) -> Column:
     defines = t.rlike(r"^\\(?:" + "|".join(DEFINITIONS) + ")")
-    table = t.startswith("&") | t.endswith("\\\\")
+    marked = F.lit(False)
     for mark in TABLE_MARKS:
-        table = table | t.contains("\\" + mark)
+        marked = marked | t.contains("\\" + mark)
+    table = t.startswith("&") | t.endswith("\\\\") | (t.contains("\\") & marked)
     prose = count(t, "[a-zA-Z]{3,}") >= 3
     return (
         F.when((t == "") | t.startswith("%"), None)
@@ -175,24 +179,37 @@ def line_class(line: Column) -> Column:
     )
 
 
-def _count_class(c: Column, name: str) -> Column:
-    return F.size(F.filter(F.split(c, "\n", -1), lambda x: F.coalesce(line_class(x) == name, F.lit(False))))
+def _stripped_lines(c: Column) -> Column:
+    return F.transform(F.split(c, "\n", -1), strip)
 
 
 def needs_translation(c: Column) -> Column:
-    """Three prose lines at least, and five where tables or definitions prevail."""
-    prose, table, defs = (_count_class(c, n) for n in ("prose", "table", "definition"))
+    """Three prose lines at least, and five where tables or definitions prevail.
+
+    Each line is stripped and classed once: a column that is used several times inside a lambda is worked out each time.
+    """
     has_table = c.contains("\\begin{table") | c.contains("\\begin{tabular")
-    ratio = F.coalesce(F.try_divide(table + defs, table + defs + prose), F.lit(0.0))
-    return ~(has_table & (prose < 5)) & ~((ratio > 0.8) & (prose < 5)) & (prose >= 3)
+
+    def decided(classes: Column) -> Column:
+        prose, table, defs = (F.size(F.filter(classes, lambda k: k.eqNullSafe(name))) for name in ("prose", "table", "definition"))  # noqa: B023
+        return F.struct(prose.alias("prose"), (table + defs).alias("rest"))
+
+    def judged(n: Column) -> Column:
+        ratio = F.coalesce(F.try_divide(n["rest"], n["rest"] + n["prose"]), F.lit(0.0))
+        return ~(has_table & (n["prose"] < 5)) & ~((ratio > 0.8) & (n["prose"] < 5)) & (n["prose"] >= 3)
+
+    classes = F.transform(_stripped_lines(c), _class_of_stripped)
+    return F.get(F.transform(F.transform(F.array(classes), decided), judged), F.lit(0))
 
 
 def is_mostly_code(c: Column) -> Column:
     """Over 0.8 of the lines that say something are commands, drawing or letterless."""
-    lines = F.filter(F.transform(F.split(c, "\n", -1), strip), lambda t: (t != "") & ~t.startswith("%"))
     drawing = r"\\(?:" + "|".join(DRAWING) + ")"
-    code = F.size(F.filter(lines, lambda t: t.startswith("\\") | t.rlike(drawing) | ~t.rlike("[a-zA-Z]")))
-    return F.when(F.size(lines) == 0, True).otherwise(F.try_divide(code, F.size(lines)) > 0.8)
+    says = lambda t: (t != "") & ~t.startswith("%")
+    code = lambda t: t.startswith("\\") | t.rlike(drawing) | ~t.rlike("[a-zA-Z]")
+    kinds = F.transform(_stripped_lines(c), lambda t: F.when(says(t), code(t)))
+    share = lambda k: F.when(F.size(k) == 0, True).otherwise(F.try_divide(F.size(F.filter(k, lambda x: x)), F.size(k)) > 0.8)
+    return F.get(F.transform(F.transform(F.array(kinds), F.array_compact), share), F.lit(0))
 
 
 def has_translatable_text(c: Column) -> Column:

@@ -35,3 +35,12 @@ def test_wrapping_does_not_fold_over_characters(spark):
     rows = spark.range(1).select(F.repeat(F.lit("some words "), 300_000).alias("t"))
     assert rows.select(geometry.lines_needed(F.col("t"), F.lit(10.0), F.lit(200.0)).alias("n")).first().n > 1000
     assert time.time() - start < 8
+
+
+def times(spark, name: str, pattern: str) -> int:
+    """How often an expression stands in a query's optimised plan."""
+    return catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count(pattern)
+
+
+def test_lines_are_stripped_once_for_each_predicate(spark):
+    assert times(spark, "document_predicates", r"\s+\z") <= 2
