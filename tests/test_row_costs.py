@@ -44,3 +44,7 @@ def times(spark, name: str, pattern: str) -> int:
 
 def test_lines_are_stripped_once_for_each_predicate(spark):
     assert times(spark, "document_predicates", r"\s+\z") <= 2
+
+
+def test_words_of_a_line_are_made_once_for_a_text(spark):
+    assert times(spark, "repair_cells", "[^A-Za-z0-9]+") <= 1 and times(spark, "repair_line_signs", "[^A-Za-z0-9]+") <= 2
