@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import count, is_all_upper, strip
+from inkspan.functions.text import count, is_all_upper, lower_contains, strip
 
 # Symbol sets and keyword lists of the predicates below.
 SYMBOLS = "∫∑∏√∂∇±×÷≤≥≠≈∞∈∉⊂⊃∪∩∧∨¬∀∃αβγδεζηθικλμνξοπρστυφχψω"
@@ -28,13 +28,13 @@ def is_postscript(c: Column) -> Column:
     """Looks like PostScript: definitions, markers, operators, or three names in slash form outside URLs."""
     low = F.lower(c)
     defines = (c.contains(" def ") | c.endswith(" def")) & c.contains("/")
-    names = F.size(F.filter(F.split(c, r"\s+"), lambda w: w.rlike(r"^/[A-Za-z0-9_@]+\z")))
-    many = ~c.contains("://") & ~low.contains("http") & (names >= 3)
-    return defines | low.rlike(r"null def|/burl|burl@") | c.rlike("@stx|@etx") | low.rlike(POSTSCRIPT) | many
+    names = count(c, r"(?<!\S)/[A-Za-z0-9_@]+(?!\S)")
+    many = c.contains("/") & ~c.contains("://") & ~low.contains("http") & (names >= 3)
+    return defines | lower_contains(c, "null def", "/burl", "burl@") | c.contains("@stx") | c.contains("@etx") | lower_contains(c, *POSTSCRIPT.split("|")) | many
 
 
 def is_postscript_short(c: Column) -> Column:
-    return ((c.contains(" def ") | c.endswith(" def")) & c.contains("/")) | F.lower(c).rlike(POSTSCRIPT_SHORT)
+    return ((c.contains(" def ") | c.endswith(" def")) & c.contains("/")) | lower_contains(c, *POSTSCRIPT_SHORT.split("|"))
 
 
 def is_unprintable(c: Column) -> Column:
@@ -54,7 +54,7 @@ def is_formula_parsed(c: Column) -> Column:
 def is_formula_glyph(c: Column) -> Column:
     symbols = count_chars(c, "-+*/=<>^_" + SYMBOLS + SCRIPTS)
     ratio = F.coalesce(F.try_divide(symbols, F.length(c)) > 0.25, F.lit(False))
-    function = c.contains("=") & c.rlike("[()]") & (F.octet_length(c) < 50) & (count(c, "[A-Za-z]") < 10) & (symbols > 2)
+    function = c.contains("=") & c.rlike("[()]") & (F.octet_length(c) < 50) & (count_class(c, "[A-Za-z]") < 10) & (symbols > 2)
     return ratio | c.rlike(BIG) | c.rlike("[²³¹⁰⁴-⁹₀-₉]") | function
 
 
@@ -64,8 +64,15 @@ def is_formula_bytes(c: Column) -> Column:
 
 
 def count_chars(c: Column, chars: str) -> Column:
-    """Characters of a text that are in a set; faster than a pattern with a long class."""
-    return (F.length(c) - F.length(F.translate(c, chars, ""))).cast("long")
+    """Characters of a text that are in a set. Those beyond Latin-1 are behind a range, so that common characters are told by two tests."""
+    latin, rest = (sorted(x for x in set(chars) if (x < "\u0100") is near) for near in (True, False))
+    far = f"[{rest[0]}-{rest[-1]}&&[{''.join(rest)}]]" if rest else ""
+    return count_class(c, "[" + "".join("\\" + x if x < "\x80" and not x.isalnum() else x for x in latin) + far + "]")
+
+
+def count_class(c: Column, pattern: str) -> Column:
+    """Characters of a text in a class; runs of them are matched whole."""
+    return (F.length(c) - F.length(F.regexp_replace(c, pattern + "+", ""))).cast("long")
 
 
 def word_count(c: Column) -> Column:
@@ -143,7 +150,7 @@ def is_line_numbers(c: Column) -> Column:
 
 def should_translate(t: Column) -> Column:
     """Stripped text of three bytes or more, neither line numbers nor formula, and 0.3 of its bytes ASCII letters."""
-    letters = F.coalesce(F.try_divide(count(t, "[A-Za-z]"), F.octet_length(t)), F.lit(0.0))
+    letters = F.coalesce(F.try_divide(count_class(t, "[A-Za-z]"), F.octet_length(t)), F.lit(0.0))
     return (F.octet_length(t) >= 3) & ~is_line_numbers(t) & ~is_formula_bytes(t) & (letters >= 0.3)
 
 

@@ -48,3 +48,9 @@ def test_lines_are_stripped_once_for_each_predicate(spark):
 
 def test_words_of_a_line_are_made_once_for_a_text(spark):
     assert times(spark, "repair_cells", "[^A-Za-z0-9]+") <= 1 and times(spark, "repair_line_signs", "[^A-Za-z0-9]+") <= 2
+
+
+def test_sets_of_characters_are_no_long_alternatives(spark):
+    """Symbols are told from common characters by a class with a range; PostScript's words are sought as they are, words of a text are not split."""
+    plan = catalog.queries()["block_predicates"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "moveto|" not in plan and "split(text#" not in plan.split("Generate")[0].split("line_numbers")[0]
