@@ -17,7 +17,9 @@ def expand(edges: DataFrame, start: DataFrame, depth: int | None = None) -> Data
     until nothing new is found, which cycles do not prevent.
 
     Rounds join only the pairs that the last round found; each round is cut off
-    from the ones before by a checkpoint, and an empty frontier ends it.
+    from the ones before by a checkpoint, and an empty frontier ends it. Roots
+    that nothing leads to take no part in the rounds: they reach what the nodes
+    after them reach, one edge further.
     """
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -26,7 +28,20 @@ def expand(edges: DataFrame, start: DataFrame, depth: int | None = None) -> Data
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder)
     steps = edges.select(F.col("parent").alias("node"), F.col("child").alias("next")).distinct()
-    frontier = start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    within = lambda: steps.select(F.col("next").alias("root")).distinct()
+    inner, outer = start.join(within(), "root", "left_semi"), start.join(within(), "root", "left_anti")
+    first = outer.join(steps.withColumnRenamed("node", "root"), "root")
+    core = _rounds(steps, inner.unionByName(first.select(F.col("next").alias("root"))).distinct(), depth)
+    through = core.select(F.col("root").alias("next"), "node", (F.col("depth") + 1).alias("depth"))
+    if depth is not None:
+        through = through.filter(F.col("depth") <= depth)
+    reached = first.repartition("root").join(through, "next").groupBy("root", "node").agg(F.min("depth").alias("depth"))
+    own = outer.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    return core.join(inner, "root").select("root", "node", "depth").unionByName(own).unionByName(reached)
+
+
+def _rounds(steps: DataFrame, roots: DataFrame, depth: int | None) -> DataFrame:
+    frontier = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     found = frontier
     for at in count(1) if depth is None else range(1, depth + 1):
         reached = frontier.join(steps, "node").select("root", F.col("next").alias("node"), F.lit(at).alias("depth")).distinct()

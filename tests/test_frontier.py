@@ -45,3 +45,16 @@ def test_includes_are_resolved_beside_the_file_and_from_the_top(spark):
     paths = {p: {(r.path, r.depth) for r in found if r.project == p} for p in (1, 2, 3)}
     assert paths[1] == {("parts/a.tex", 1), ("b.tex", 1), ("parts/c.tex", 2), ("parts/d.tex", 2), ("e.tex", 3)} and not paths[2]
     assert paths[3] == {(f"f{i}.tex", i) for i in range(1, 31)}
+
+
+def test_roots_that_nothing_leads_to_take_no_part_in_the_rounds(spark, monkeypatch):
+    edges = [(1, 2), (2, 3), (3, 2), (9, 1), (8, 3), (7, 7)]
+    seen = []
+    whole = frontier._rounds
+    monkeypatch.setattr(frontier, "_rounds", lambda steps, roots, depth: (seen.extend(r.root for r in roots.collect()), whole(steps, roots, depth))[1])
+    made, start = spark.createDataFrame(edges, "parent int, child int"), spark.createDataFrame([(9,), (8,), (7,), (2,), (5,)], "root int")
+    for depth in (None, 1):
+        found = sorted(tuple(r) for r in frontier.expand(made, start, depth).collect())
+        wanted = [(2, 2, 0), (2, 3, 1), (5, 5, 0), (7, 7, 0), (8, 2, 2), (8, 3, 1), (8, 8, 0), (9, 1, 1), (9, 2, 2), (9, 3, 3), (9, 9, 0)]
+        assert found == [w for w in wanted if depth is None or w[2] <= depth]
+    assert not {8, 9, 5} & set(seen)
