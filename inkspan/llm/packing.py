@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 END = 0
 #: Remainders packed together; bounds the time of a group and the memory of a task.
 GROUP = 512
+#: Pieces that a task holds before it hands them on: 2 MB of ids where a sequence has 1024.
+HELD = 512
 #: No cut leaves a piece shorter than this, unless a document is.
 LEAST_CUT = 16
 #: Strings that are one id wherever a text holds them, as the vocabulary's ``tokenizers`` file has it.
@@ -157,13 +159,13 @@ def _rows(batches, path: str, capacity: int, names: list[str]):
             whole = len(tokens) // capacity * capacity
             for start in range(0, whole, capacity):
                 emit([(doc, tokens[start : start + capacity], start, len(tokens))])
-                if len(out) >= 4096:
+                if len(out) >= HELD:
                     yield batch()
             if whole < len(tokens):
                 waiting.append((doc, tokens[whole:].copy(), whole, len(tokens)))
             if len(waiting) >= GROUP:
                 flush()
-            if len(out) >= 4096:
+            if len(out) >= HELD:
                 yield batch()
     if waiting:
         flush()

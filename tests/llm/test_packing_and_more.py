@@ -300,3 +300,18 @@ def test_long_conversations_are_numbered_across_stretches(spark):
 def test_canonical_json(spark):
     rows = spark.createDataFrame([('{"b":{"d":1,"c":[2, 1]},"a":null}',), ("no",), (None,)], "j string")
     assert [r.c for r in rows.select(chat.canonical(F.col("j")).alias("c")).collect()] == ['{"a":null,"b":{"c":[2,1],"d":1}}', None, None]
+
+
+def test_pieces_are_handed_on_before_many_are_held(monkeypatch):
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from inkspan.llm import packing
+
+    monkeypatch.setattr(packing, "tokenizer", lambda _: SimpleNamespace(encode_to_numpy=lambda text, allowed_special: np.ones(len(text), np.uint32)))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1500)), "text": ["x" * 5200] * 1500})
+    found = list(packing._rows([batch], "", 1024, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]))
+    assert max(x.num_rows for x in found) < 4 * packing.HELD < 4096 and sum(sum(x.column(2).to_pylist()) for x in found) == 1500 * 5201
