@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Code-point ranges that layout widths treat as wide; not the same set as the Han script.
 WIDE = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}\x{3000}-\x{303F}]"
+# Unicode white space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # Misspelt commands and their corrections.
 TYPOS = {"\\begn{": "\\begin{", "\\ened{": "\\end{", "\\docmentclass": "\\documentclass", "\\usepackge": "\\usepackage"}
 # Signs of text decoded with the wrong charset.
@@ -20,6 +22,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
+def strip_short(c: Column) -> Column:
+    """``strip`` that looks at the ends only; for values of a line's size."""
+    return F.btrim(c, F.lit(BLANKS))
+
+
 def lower_contains(c: Column, *needles: str) -> Column:
     low = F.lower(c)
     found = F.lit(False)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkspan.functions.checks import completeness_score
-from inkspan.functions.text import strip
+from inkspan.functions.text import strip, strip_short
 
 # Heading patterns by kind and level, tried in this order, and titles that translate each other.
 PATTERNS = [
@@ -27,31 +29,43 @@ SYNONYMS = {
 NUMBERED = ["section", "subsection", "subsubsection", "appendix", "appendix_subsection"]
 
 
-def extract_sections(blocks: DataFrame) -> DataFrame:
-    """``(doc_id, page, pos, type, level, number, title, is_appendix)`` of the blocks that read as headings.
+def headings(blocks: DataFrame) -> DataFrame:
+    """Blocks that read as headings (type, level, number, title) or only mention an appendix (type null), row by row.
 
     A block is 2 to 150 bytes; unnumbered kinds also need a size of 11 or the
-    heading type. From the first mention of an appendix on, all are appendix. Of
-    sections that repeat a type and number (or title, without case, if
-    unnumbered) the first counts.
+    heading type. Few blocks are left, so what follows shuffles and sorts few.
     """
-    t = strip(F.col("text"))
-    rows = blocks.withColumn("t", t).filter((F.octet_length("t") >= 2) & (F.octet_length("t") <= 150))
-    w = W.partitionBy("doc_id").orderBy("page", "pos")
-    mention = F.lower("t").contains("appendix") | F.col("t").contains("附录")
-    rows = rows.withColumn("in_appendix", F.max(mention).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    t, size = F.col("t"), F.octet_length("t")
     likely = (F.col("font_size") >= 11) | (F.col("block_type") == "heading")
-    found = F.lit(None).cast("struct<type:string,level:int,number:string,title:string>")
-    for pattern, kind, level in reversed(PATTERNS):
-        fits = F.col("t").rlike(pattern) & (F.lit(kind in NUMBERED) | likely)
-        title = strip(F.regexp_extract("t", pattern, 2))
-        own = F.struct(F.lit(kind).alias("type"), F.lit(level).alias("level"), F.regexp_extract("t", pattern, 1).alias("number"), F.when(title == "", F.col("t")).otherwise(title).alias("title"))
-        found = F.when(fits, own).otherwise(found)
-    named = rows.withColumn("s", found).filter("s is not null").select("doc_id", "page", "pos", "s.*", "in_appendix")
-    named = named.withColumn("is_appendix", F.col("in_appendix") | F.col("type").contains("appendix")).drop("in_appendix")
-    key = section_key(F.col("type"), F.col("number"), F.col("title"))
-    first = W.partitionBy("doc_id", "key").orderBy("page", "pos")
-    return named.withColumn("key", key).withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "key")
+    fits = [t.rlike(pattern) & (F.lit(kind in NUMBERED) | likely) for pattern, kind, _ in PATTERNS]
+    pick = lambda values: reduce(lambda a, i: a.when(F.col("fit") == i, values[i]), range(1, len(values)), F.when(F.col("fit") == 0, values[0]))
+    group = lambda g: pick([F.regexp_extract(t, pattern, g) if kind in NUMBERED else F.lit("") for pattern, kind, _ in PATTERNS])
+    fit = reduce(lambda a, i: a.when(fits[i], i), range(1, len(fits)), F.when(fits[0], 0))
+    rows = blocks.withColumn("t", strip_short(F.col("text"))).filter((size >= 2) & (size <= 150))
+    rows = rows.withColumns({"fit": fit, "mention": F.lower(t).contains("appendix") | t.contains("附录")}).filter(F.col("fit").isNotNull() | F.col("mention"))
+    rows = rows.withColumns({"type": pick([F.lit(k) for _, k, _ in PATTERNS]), "level": pick([F.lit(n) for _, _, n in PATTERNS]), "number": group(1), "title": strip(group(2))})
+    return rows.select("doc_id", "page", "pos", "type", "level", "number", F.when(F.col("title") == "", t).otherwise(F.col("title")).alias("title"), "mention")
+
+
+def first_sections(rows: DataFrame, versions: list[str]) -> DataFrame:
+    """Headings that count as sections of a version; a boolean column for each version tells its rows, and afterwards its sections.
+
+    From the first mention of an appendix in a version on, all of it is appendix
+    (``<version>_appendix``). Of sections that repeat a type and number (or
+    title, without case, if unnumbered) the first counts.
+    """
+    so_far = W.partitionBy("doc_id").orderBy("page", "pos").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({f"{v}_appendix": F.max(F.col("mention") & F.col(v)).over(so_far) | F.col("type").contains("appendix") for v in versions})
+    rows = rows.filter("type is not null").withColumn("key", section_key(F.col("type"), F.col("number"), F.col("title")))
+    of_key = W.partitionBy("doc_id", "key").orderBy("page", "pos").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({f"{v}_nth": F.count_if(v).over(of_key) for v in versions})
+    rows = rows.withColumns({v: F.col(v) & (F.col(f"{v}_nth") == 1) for v in versions})
+    return rows.filter(reduce(lambda a, b: a | b, [F.col(v) for v in versions])).drop("mention", "key", *[f"{v}_nth" for v in versions])
+
+
+def extract_sections(blocks: DataFrame) -> DataFrame:
+    """``(doc_id, page, pos, type, level, number, title, is_appendix)`` of the blocks that read as headings, the first of each key."""
+    return first_sections(headings(blocks).withColumn("own", F.lit(True)), ["own"]).withColumnRenamed("own_appendix", "is_appendix").drop("own")
 
 
 def section_key(kind: Column, number: Column, title: Column) -> Column:
@@ -67,32 +81,53 @@ def titles_similar(a: Column, b: Column) -> Column:
     return alike
 
 
-def missing_sections(original: DataFrame, translated: DataFrame) -> DataFrame:
-    """Sections of the original without a counterpart: by key, then by type, nearby page and similar title.
+def mark_missing(rows: DataFrame) -> DataFrame:
+    """Adds ``missing``: a section ``in_original`` without a counterpart ``in_translated``, by key, then by type, nearby page and similar title.
 
-    Both anti joins are keyed on the document; the second also on the type.
+    Both versions lie in one frame, so their rows meet in windows of a document
+    without a join; the second looks at five pages and one type at a time.
     """
-    keyed = lambda s: s.withColumn("key", section_key(F.col("type"), F.col("number"), F.col("title")))
-    left = keyed(original).join(keyed(translated).select("doc_id", "key"), ["doc_id", "key"], "left_anti")
-    other = translated.select(F.col("doc_id").alias("d"), F.col("type").alias("k"), F.col("page").alias("p"), F.col("title").alias("n"))
-    near = (F.col("doc_id") == F.col("d")) & (F.col("type") == F.col("k")) & (F.abs(F.col("page") - F.col("p")) <= 2) & titles_similar(F.col("title"), F.col("n"))
-    return left.join(other, near, "left_anti").drop("key")
+    c = F.col
+    same = W.partitionBy("doc_id", "key")
+    near = W.partitionBy("doc_id", "type").orderBy("page").rangeBetween(-2, 2)
+    keyed = rows.withColumn("key", section_key(c("type"), c("number"), c("title"))).withColumn("has_key", F.max("in_translated").over(same))
+    keyed = keyed.withColumn("near", F.collect_list(F.when(c("in_translated") & c("page").isNotNull(), c("title"))).over(near))
+    return keyed.withColumn("missing", c("in_original") & ~c("has_key") & ~F.exists("near", lambda t: titles_similar(c("title"), t))).drop("key", "has_key", "near")
 
 
-def page_difference(original: DataFrame, translated: DataFrame, threshold: float = 0.15) -> DataFrame:
-    """Pages of both versions (doc_id, pages) and whether too many were lost."""
-    joined = original.select("doc_id", F.col("pages").alias("original_pages")).join(translated.select("doc_id", F.col("pages").alias("translated_pages")), "doc_id")
+def missing_sections(original: DataFrame, translated: DataFrame) -> DataFrame:
+    """Sections of the original without a counterpart among those of the translation."""
+    both = original.withColumns({"in_original": F.lit(True), "in_translated": F.lit(False)}).unionByName(
+        translated.withColumns({"in_original": F.lit(False), "in_translated": F.lit(True)}), allowMissingColumns=True
+    )
+    return mark_missing(both).filter("missing").drop("missing", "in_original", "in_translated")
+
+
+def page_loss(pages: DataFrame, threshold: float = 0.15) -> DataFrame:
+    """Pages of both versions (doc_id, original_pages, translated_pages) and whether too many were lost."""
     difference = F.col("original_pages") - F.col("translated_pages")
     share = F.coalesce(F.try_divide(difference, F.col("original_pages")), F.lit(0.0))
-    return joined.withColumns({"difference": difference, "diff_percent": share, "is_suspicious": share > threshold})
+    return pages.withColumns({"difference": difference, "diff_percent": share, "is_suspicious": share > threshold})
 
 
-def validate_content(pages: DataFrame, original: DataFrame, translated: DataFrame) -> DataFrame:
-    """Per document of ``pages``: completeness score, and complete if nothing is missing and it is 70 or more."""
-    tally = lambda s, total, app: s.groupBy("doc_id").agg(F.count("*").alias(total), F.count_if("is_appendix").alias(app))
-    missing = missing_sections(original, translated).groupBy("doc_id").agg(F.count("*").alias("missing"))
-    rows = pages.join(tally(original, "total", "appendices"), "doc_id", "left").join(tally(translated, "kept", "kept_appendices"), "doc_id", "left").join(missing, "doc_id", "left")
-    rows = rows.fillna(0, ["total", "appendices", "kept_appendices", "missing"])
+def page_difference(original: DataFrame, translated: DataFrame, threshold: float = 0.15) -> DataFrame:
+    """``page_loss`` of two tables (doc_id, pages)."""
+    joined = original.select("doc_id", F.col("pages").alias("original_pages")).join(translated.select("doc_id", F.col("pages").alias("translated_pages")), "doc_id")
+    return page_loss(joined, threshold)
+
+
+def validate_content(pages: DataFrame, rows: DataFrame) -> DataFrame:
+    """Per document of ``pages`` (of ``page_loss``): completeness score, and complete if nothing is missing and it is 70 or more.
+
+    ``rows`` are the headings of both versions, told by ``in_original`` and
+    ``in_translated``; one that both have stands once or twice.
+    """
     c = F.col
+    found = mark_missing(first_sections(rows, ["in_original", "in_translated"]))
+    tally = found.groupBy("doc_id").agg(
+        F.count_if("in_original").alias("total"), F.count_if(c("in_original") & c("in_original_appendix")).alias("appendices"),
+        F.count_if(c("in_translated") & c("in_translated_appendix")).alias("kept_appendices"), F.count_if("missing").alias("missing"),
+    )
+    rows = pages.join(tally, "doc_id", "left").fillna(0, ["total", "appendices", "kept_appendices", "missing"])
     score = completeness_score(c("is_suspicious"), c("diff_percent"), c("total"), c("missing"), c("appendices"), c("kept_appendices"))
-    return rows.withColumn("score", score).withColumn("is_complete", (F.col("missing") == 0) & (F.col("score") >= 70)).select("doc_id", "total", "missing", "score", "is_complete")
+    return rows.withColumn("score", score).withColumn("is_complete", (c("missing") == 0) & (c("score") >= 70)).select("doc_id", "total", "missing", "score", "is_complete")
