@@ -13,17 +13,27 @@ from pyspark.sql import functions as F
 from inkspan.llm.scratch import discard, materialise
 
 
+def unbroadcast(side: DataFrame) -> DataFrame:
+    """``side``, to be joined by sorting whatever size Spark takes it for.
+
+    Spark sizes a table by its compressed files and takes an explode to add
+    nothing, so a side of many times the broadcast limit can pass under it, and
+    would go through the driver whole.
+    """
+    return side.hint("merge")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Point every larger neighbour of a node at the least node of its closed neighbourhood."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(unbroadcast(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Point a node and its smaller neighbours at the least of them. Edges have u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    inner = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    inner = edges.join(unbroadcast(least), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return inner.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

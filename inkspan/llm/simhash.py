@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.components import connected_components
+from inkspan.llm.components import connected_components, unbroadcast
 from inkspan.llm.scratch import Tables, discard
 
 BITS = 64
@@ -111,7 +111,7 @@ def midpoint_links(classes: DataFrame, key: str, value: str = "fingerprint") ->
     points = points.select("a", F.col("f").bitwiseXOR(F.col("flip")).alias("point"))
     named = points.groupBy("point").agg(F.min("a").alias("b"), F.max("a").alias("most"))
     shared = named.filter("b <> most").select("point", "b")
-    return points.join(shared, "point").filter("a <> b").select("a", "b").distinct()
+    return points.join(unbroadcast(shared), "point").filter("a <> b").select("a", "b").distinct()
 
 
 def _signed(x: int) -> int:
@@ -183,7 +183,7 @@ def hamming_links(
         first = F.when(F.bit_count(_segment(differing, s, w)) <= r, i).otherwise(first)
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("segment", "at", "mask", "part", "main")]
     apart = (F.col("a.k") < F.col("b.k")) & (F.col("a.g") != F.col("b.g"))
-    joined = a.join(b, reduce(and_, same) & apart & (F.bit_count(differing) <= radius) & (first == F.col("a.segment")))
+    joined = a.join(unbroadcast(b), reduce(and_, same) & apart & (F.bit_count(differing) <= radius) & (first == F.col("a.segment")))
     ends = (F.least("a.g", "b.g"), F.greatest("a.g", "b.g")) if group else (F.col("a.k"), F.col("b.k"))
     return joined.select(ends[0].alias("a"), ends[1].alias("b")).distinct()
 
@@ -210,7 +210,7 @@ def near_duplicates(
     classes = passing.write(prints.groupBy("fingerprint").agg(F.min(id_col).alias("rep")), "classes")
     if radius >= 2:
         near = connected_components(midpoint_links(classes, "rep"), "a", "b")
-        joined = classes.join(near, F.col("rep") == F.col("node"), "left")
+        joined = classes.join(unbroadcast(near), F.col("rep") == F.col("node"), "left")
     else:
         joined, near = classes.withColumn("component", F.col("rep")), None
     classes = read.write(joined.select("fingerprint", "rep", F.coalesce("component", "rep").alias("near")), "classes")
@@ -219,8 +219,8 @@ def near_duplicates(
     links = hamming_links(classes, "rep", radius=radius, count=segment_count, group="near", tables=passing)
     labels = connected_components(links, "a", "b")
     passing.clear()
-    named = classes.join(labels, F.col("near") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "near").alias("component_id"))
-    return prints.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
+    named = classes.join(unbroadcast(labels), F.col("near") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "near").alias("component_id"))
+    return prints.join(unbroadcast(named), "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkspan.llm.components import connected_components
 from inkspan.llm.exact_dedup import deduplicate, mark_duplicates
+from inkspan.llm.scratch import materialise
 from inkspan.llm.simhash import block_masks, fingerprint, hamming_links, keep_representatives, midpoint_links, near_duplicates, segments
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -162,6 +163,15 @@ def test_midpoints_connect_all_pairs_within_two_bits(spark):
     assert links == wanted
 
 
+def test_pairs_are_not_formed_by_a_broadcast(spark):
+    """Spark takes these small files for their exploded rows, so without a hint it broadcasts them."""
+    rows = materialise(spark.range(500).select(F.col("id").alias("rep"), F.xxhash64("id").alias("fingerprint")), "rows")
+    texts = spark.range(500).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    for found in (midpoint_links(rows, "rep"), hamming_links(rows, "rep"), near_duplicates(texts)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"BroadcastHashJoin.* Inner", plan), plan
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(150)]
